@@ -7,6 +7,7 @@ regex pass per detector; positions are worked out only where there are matches.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -17,16 +18,34 @@ from inkveil.functions.text import DETECTION, DETECTION_FIELDS, text_length
 
 Chosen = list[tuple[int, Detector]]
 
+HIT = "struct<slot:int,found:array<string>,gaps:array<string>>"
 SPAN = "struct<start:int,`end`:int,value:string,message:string>"
 TYPE_COUNT = "struct<ordinal:int,type:string,category:string,severity:string,n:int>"
 
 
+def _literal_test(text: str, d: Detector) -> str | None:
+    tests = " OR ".join(f"contains({text}, {literal(each)})" for each in d.literals)
+    return f"({tests})" if tests else None
+
+
 def _guarded(text: str, d: Detector, result: str) -> str:
     """``result``, but NULL where a byte search shows that nothing can match."""
-    if not d.literals:
-        return result
-    tests = " OR ".join(f"contains({text}, {literal(each)})" for each in d.literals)
-    return f"CASE WHEN {tests} THEN {result} END"
+    test = _literal_test(text, d)
+    return f"CASE WHEN {test} THEN {result} END" if test else result
+
+
+def _screened(chosen: Chosen) -> list[tuple[str | None, Chosen]]:
+    """Detectors by the screen they share, so that each screen runs once per text."""
+    groups: dict[str | None, Chosen] = {}
+    for entry in chosen:
+        groups.setdefault(entry[1].screen, []).append(entry)
+    return list(groups.items())
+
+
+def _screen_test(text: str, screen: str) -> str:
+    if re.escape(screen) == screen:
+        return f"contains({text}, {literal(screen)})"
+    return f"rlike({text}, {literal(screen)})"
 
 
 def _pattern_sql(d: Detector) -> str:
@@ -137,7 +156,14 @@ def detections_sql(text: str, chosen: Chosen, utf16: bool = False) -> str:
     nothing = empty_array(DETECTION)
     if not chosen:
         return nothing
-    hits = ", ".join(_hit(text, slot, d) for slot, (_, d) in enumerate(chosen))
+    slots = {d.name: slot for slot, (_, d) in enumerate(chosen)}
+    groups = []
+    for screen, members in _screened(chosen):
+        hits = f"array({', '.join(_hit(text, slots[d.name], d) for _, d in members)})"
+        if screen is not None:
+            test = _screen_test(text, screen)
+            hits = f"CASE WHEN {test} THEN {hits} ELSE {empty_array(HIT)} END"
+        groups.append(hits)
     placed = f"filter(transform(_hits, _hit -> {_placed(text, chosen, utf16)}), _f -> _f IS NOT NULL)"
     # sorted by (start, ordinal): equal starts stay in detector order
     ordered = f"sort_array(flatten({placed}))"
@@ -145,7 +171,7 @@ def detections_sql(text: str, chosen: Chosen, utf16: bool = False) -> str:
     found = f"transform({ordered}, _d -> {fields})"
     return let(
         "_hits",
-        f"filter(array({hits}), _h -> size(_h.found) > 0)",
+        f"filter(concat({', '.join(groups)}), _h -> size(_h.found) > 0)",
         f"CASE WHEN size(_hits) > 0 THEN {found} ELSE {nothing} END",
     )
 
@@ -187,8 +213,13 @@ def finding_count(
 ) -> Column:
     """Number of findings in a text column, without working out their positions."""
     text = column(text)
-    counts = [_count(text, d) for _, d in selected(enabled, min_severity)]
-    return expr(_unless_null(text, " + ".join(counts) or "0", "0"))
+    sums = []
+    for screen, members in _screened(selected(enabled, min_severity)):
+        total = " + ".join(_count(text, d) for _, d in members)
+        if screen is not None:
+            total = f"CASE WHEN {_screen_test(text, screen)} THEN {total} ELSE 0 END"
+        sums.append(f"({total})")
+    return expr(_unless_null(text, " + ".join(sums) or "0", "0"))
 
 
 def counts_by_type(
@@ -196,20 +227,26 @@ def counts_by_type(
 ) -> Column:
     """``array<struct<ordinal, type, category, severity, n>>`` of the types found."""
     text = column(text)
-    counts = [
-        struct(
-            ordinal=str(ordinal),
-            type=literal(d.name),
-            category=literal(d.category),
-            severity=literal(d.severity),
-            n=_count(text, d),
-        )
-        for ordinal, d in selected(enabled, min_severity)
-    ]
     nothing = empty_array(TYPE_COUNT)
-    if not counts:
+    groups = []
+    for screen, members in _screened(selected(enabled, min_severity)):
+        counts = [
+            struct(
+                ordinal=str(ordinal),
+                type=literal(d.name),
+                category=literal(d.category),
+                severity=literal(d.severity),
+                n=_count(text, d),
+            )
+            for ordinal, d in members
+        ]
+        group = f"array({', '.join(counts)})"
+        if screen is not None:
+            group = f"CASE WHEN {_screen_test(text, screen)} THEN {group} ELSE {nothing} END"
+        groups.append(group)
+    if not groups:
         return expr(nothing)
-    found = f"filter(array({', '.join(counts)}), _c -> _c.n > 0)"
+    found = f"filter(concat({', '.join(groups)}), _c -> _c.n > 0)"
     return expr(_unless_null(text, found, nothing))
 
 
@@ -218,10 +255,8 @@ def _present(text: str, d: Detector) -> str:
         test = f"rlike({text}, {_pattern_sql(d)})"
     else:
         test = f"{_count(text, d)} > 0"
-    if not d.literals:
-        return test
-    guard = " OR ".join(f"contains({text}, {literal(each)})" for each in d.literals)
-    return f"(({guard}) AND {test})"
+    guard = _literal_test(text, d)
+    return f"({guard} AND {test})" if guard else f"({test})"
 
 
 def has_findings(
@@ -232,7 +267,10 @@ def has_findings(
     Detectors that a byte search can rule out go first, checked matches last.
     """
     text = column(text)
-    chosen = [d for _, d in selected(enabled, min_severity)]
-    chosen.sort(key=lambda d: (not d.literals, d.check is not None))
-    tests = " OR ".join(_present(text, d) for d in chosen) or "false"
-    return expr(_unless_null(text, f"({tests})", "false"))
+    chosen = selected(enabled, min_severity)
+    chosen.sort(key=lambda entry: (not entry[1].literals, entry[1].check is not None))
+    tests = []
+    for screen, members in _screened(chosen):
+        test = " OR ".join(_present(text, d) for _, d in members)
+        tests.append(f"({_screen_test(text, screen)} AND ({test}))" if screen else f"({test})")
+    return expr(_unless_null(text, f"({' OR '.join(tests) or 'false'})", "false"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import patterns as P
 from inkveil.functions.cards import card_number_sql
-from inkveil.functions.entropy import THRESHOLD, entropy_message_sql
+from inkveil.functions.entropy import THRESHOLD, distinct_needed, entropy_message_sql
 from inkveil.functions.sqltext import literal
 
 # --- fixed values: severities, lowest first ---------------------------------
@@ -34,6 +34,9 @@ class Detector:
     ``literals`` are strings of which at least one is in every match: texts
     without any are passed over by a byte search.
 
+    ``screen`` is a cheaper pattern found in every text with a match; detectors
+    with the same screen share one test.
+
     ``check`` is SQL text over ``value`` that gives the message of a match, or
     NULL to reject it.
 
@@ -51,6 +54,7 @@ class Detector:
     group: int = 0
     check: str | None = None
     finder: str | None = None
+    screen: str | None = None
 
     def __post_init__(self) -> None:
         severity_rank(self.severity)
@@ -81,6 +85,7 @@ def entropy_detector(threshold: float = THRESHOLD) -> Detector:
         description="High-entropy strings (Shannon > 4.5)",
         pattern=P.TOKEN_RUN,
         check=entropy_message_sql("value", threshold),
+        screen=P.long_word(max(P.TOKEN_RUN_MIN, distinct_needed(threshold))),
     )
 
 
@@ -112,6 +117,7 @@ BUILT_IN: tuple[Detector, ...] = (
         "US Social Security Numbers",
         P.SSN,
         ("-",),
+        screen=P.NINE_DIGITS,
     ),
     Detector(
         "credit-card",
@@ -120,6 +126,7 @@ BUILT_IN: tuple[Detector, ...] = (
         "Credit card number detected (Luhn validated)",
         "Credit card numbers (Luhn validated)",
         P.CARD,
+        screen=P.NINE_DIGITS,
         check=(
             f"CASE WHEN {card_number_sql('value')}"
             " THEN 'Credit card number detected (Luhn validated)' END"
@@ -143,6 +150,7 @@ BUILT_IN: tuple[Detector, ...] = (
         P.AWS_SECRET_KEY,
         ("aws_secret_access_key", "AWS_SECRET_ACCESS_KEY"),
         group=1,
+        screen="_",
     ),
     Detector(
         "github-pat",
@@ -152,6 +160,7 @@ BUILT_IN: tuple[Detector, ...] = (
         "GitHub Personal Access Tokens",
         P.GITHUB_PAT,
         ("ghp_", "github_pat_"),
+        screen="_",
     ),
     Detector(
         "stripe-key",
@@ -161,6 +170,7 @@ BUILT_IN: tuple[Detector, ...] = (
         "Stripe API keys",
         P.STRIPE_KEY,
         ("_live_", "_test_"),
+        screen="_",
     ),
     Detector(
         "google-api-key",
@@ -180,6 +190,7 @@ BUILT_IN: tuple[Detector, ...] = (
         P.GOOGLE_OAUTH_SECRET,
         ("client_secret", "GOOGLE_CLIENT_SECRET"),
         group=1,
+        screen="_",
     ),
     Detector(
         "ssh-private-key",
@@ -190,7 +201,7 @@ BUILT_IN: tuple[Detector, ...] = (
         P.PRIVATE_KEY_BLOCK,
         ("PRIVATE KEY-----",),
     ),
-    Detector("jwt", "token", "high", "JWT token detected", "JWT tokens", P.JWT, ("eyJ",)),
+    Detector("jwt", "token", "high", "JWT token detected", "JWT tokens", P.JWT, (".eyJ",)),
     Detector(
         "db-connection-string",
         "credential",

@@ -59,18 +59,22 @@ def rejection(candidate: str) -> Column:
     return expr(rejection_sql(column(candidate)))
 
 
+def distinct_needed(threshold: float) -> int:
+    """Fewest distinct characters that can exceed ``threshold``: ``d`` of them have
+    at most ``log2(d)`` bits."""
+    return math.floor(2**threshold) + 1
+
+
 def entropy_message_sql(candidate: str, threshold: float) -> str:
     """Message for a token run above the threshold that is a likely secret, else NULL.
 
-    A text of ``d`` distinct characters has at most ``log2(d)`` bits, so most
-    runs are settled by counting characters.
+    Most runs are settled by counting their distinct characters.
     """
-    needed = math.floor(2**threshold) + 1
     message = "format_string('High-entropy string detected (entropy: %.2f)', round(_bits, 2))"
     measured = let(
         "_bits",
         entropy_sql(candidate, "_chars"),
         f"CASE WHEN _bits > {threshold}D THEN {message} END",
     )
-    likely = f"size(_chars) >= {needed} AND ({rejection_sql(candidate)}) IS NULL"
+    likely = f"size(_chars) >= {distinct_needed(threshold)} AND ({rejection_sql(candidate)}) IS NULL"
     return let("_chars", distinct_chars(candidate), f"CASE WHEN {likely} THEN {measured} END")

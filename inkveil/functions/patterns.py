@@ -79,4 +79,18 @@ DATABASE_URL = (
     rf"[^{SPACE}'\"`,}}{{)]++"
 )
 
-TOKEN_RUN = rf"{TOKEN_CHAR}{{20,200}}"
+TOKEN_RUN_MIN, TOKEN_RUN_MAX = 20, 200
+TOKEN_RUN = rf"{TOKEN_CHAR}{{{TOKEN_RUN_MIN},{TOKEN_RUN_MAX}}}+"
+
+# --- screens: cheap tests that every text with a match passes ----------------
+# digits of a social security or card number, at least nine
+NINE_DIGITS = r"\d(?:[ -]*+\d){8}"
+
+
+def long_word(length: int) -> str:
+    """A stretch of ``length`` characters without blank or line feed.
+
+    Walks word by word and never looks at a character twice, where searching
+    for the run itself would start anew at every character.
+    """
+    return rf"\A(?:[^ \n]{{0,{length - 1}}}+[ \n]++)*+[^ \n]{{{length}}}"
