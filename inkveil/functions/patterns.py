@@ -44,7 +44,9 @@ PHONE = rf"\+[1-9]\d{{0,2}}[{SPACE}.-]?\(?\d{{1,4}}\)?[{SPACE}.-]?\d{{1,4}}[{SPA
 
 SSN = rf"\d(?<!{WORD}\d)\d{{2}}-\d{{2}}-\d{{4}}{WORD_ENDS}"
 
-CARD = rf"\d(?<!{WORD}\d)(?:[ -]*+\d){{12,18}}{WORD_ENDS}"
+# 13 to 19 digits: separators may stand between the first 13, after those the
+# number ends at the first one
+CARD = rf"\d(?<!{WORD}\d)(?:[ -]*+\d){{12}}\d{{0,6}}+{WORD_ENDS}"
 
 AWS_ACCESS_KEY = rf"AKIA(?<!{WORD}AKIA)[0-9A-Z]{{16}}{WORD_ENDS}"
 
