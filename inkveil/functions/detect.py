@@ -152,6 +152,15 @@ def _placed(text: str, chosen: Chosen, utf16: bool) -> str:
     return let("_label", f"{_labels(chosen)}[_hit.slot]", let("_values", values, checked))
 
 
+def _bound(text: str, result: str, otherwise: str) -> str:
+    """``result`` over the variable ``_text``, or ``otherwise`` for NULL.
+
+    A filter is pushed below the projection that makes its columns.  With one
+    mention of the text, an expression behind it is copied there only once.
+    """
+    return let("_text", text, f"CASE WHEN _text IS NULL THEN {otherwise} ELSE {result} END")
+
+
 def detections_sql(text: str, chosen: Chosen, utf16: bool = False) -> str:
     nothing = empty_array(DETECTION)
     if not chosen:
@@ -159,21 +168,22 @@ def detections_sql(text: str, chosen: Chosen, utf16: bool = False) -> str:
     slots = {d.name: slot for slot, (_, d) in enumerate(chosen)}
     groups = []
     for screen, members in _screened(chosen):
-        hits = f"array({', '.join(_hit(text, slots[d.name], d) for _, d in members)})"
+        hits = f"array({', '.join(_hit('_text', slots[d.name], d) for _, d in members)})"
         if screen is not None:
-            test = _screen_test(text, screen)
+            test = _screen_test("_text", screen)
             hits = f"CASE WHEN {test} THEN {hits} ELSE {empty_array(HIT)} END"
         groups.append(hits)
-    placed = f"filter(transform(_hits, _hit -> {_placed(text, chosen, utf16)}), _f -> _f IS NOT NULL)"
+    placed = f"transform(_hits, _hit -> {_placed('_text', chosen, utf16)})"
     # sorted by (start, ordinal): equal starts stay in detector order
-    ordered = f"sort_array(flatten({placed}))"
+    ordered = f"sort_array(flatten(filter({placed}, _f -> _f IS NOT NULL)))"
     fields = struct(**{name: f"_d.`{name}`" for name in DETECTION_FIELDS})
     found = f"transform({ordered}, _d -> {fields})"
-    return let(
+    result = let(
         "_hits",
         f"filter(concat({', '.join(groups)}), _h -> size(_h.found) > 0)",
         f"CASE WHEN size(_hits) > 0 THEN {found} ELSE {nothing} END",
     )
+    return _bound(text, result, nothing)
 
 
 def detections(
@@ -204,29 +214,23 @@ def _count(text: str, d: Detector) -> str:
     return f"coalesce({_guarded(text, d, f'size({values})')}, 0)"
 
 
-def _unless_null(text: str, result: str, otherwise: str) -> str:
-    return f"CASE WHEN {text} IS NULL THEN {otherwise} ELSE {result} END"
-
-
 def finding_count(
     text: str, enabled: Iterable[str] | None = None, min_severity: str = "low"
 ) -> Column:
     """Number of findings in a text column, without working out their positions."""
-    text = column(text)
     sums = []
     for screen, members in _screened(selected(enabled, min_severity)):
-        total = " + ".join(_count(text, d) for _, d in members)
+        total = " + ".join(_count('_text', d) for _, d in members)
         if screen is not None:
-            total = f"CASE WHEN {_screen_test(text, screen)} THEN {total} ELSE 0 END"
+            total = f"CASE WHEN {_screen_test('_text', screen)} THEN {total} ELSE 0 END"
         sums.append(f"({total})")
-    return expr(_unless_null(text, " + ".join(sums) or "0", "0"))
+    return expr(_bound(column(text), " + ".join(sums) or "0", "0"))
 
 
 def counts_by_type(
     text: str, enabled: Iterable[str] | None = None, min_severity: str = "low"
 ) -> Column:
     """``array<struct<ordinal, type, category, severity, n>>`` of the types found."""
-    text = column(text)
     nothing = empty_array(TYPE_COUNT)
     groups = []
     for screen, members in _screened(selected(enabled, min_severity)):
@@ -236,18 +240,18 @@ def counts_by_type(
                 type=literal(d.name),
                 category=literal(d.category),
                 severity=literal(d.severity),
-                n=_count(text, d),
+                n=_count('_text', d),
             )
             for ordinal, d in members
         ]
         group = f"array({', '.join(counts)})"
         if screen is not None:
-            group = f"CASE WHEN {_screen_test(text, screen)} THEN {group} ELSE {nothing} END"
+            group = f"CASE WHEN {_screen_test('_text', screen)} THEN {group} ELSE {nothing} END"
         groups.append(group)
     if not groups:
         return expr(nothing)
     found = f"filter(concat({', '.join(groups)}), _c -> _c.n > 0)"
-    return expr(_unless_null(text, found, nothing))
+    return expr(_bound(column(text), found, nothing))
 
 
 def _present(text: str, d: Detector) -> str:
@@ -266,11 +270,10 @@ def has_findings(
 
     Detectors that a byte search can rule out go first, checked matches last.
     """
-    text = column(text)
     chosen = selected(enabled, min_severity)
     chosen.sort(key=lambda entry: (not entry[1].literals, entry[1].check is not None))
     tests = []
     for screen, members in _screened(chosen):
-        test = " OR ".join(_present(text, d) for _, d in members)
-        tests.append(f"({_screen_test(text, screen)} AND ({test}))" if screen else f"({test})")
-    return expr(_unless_null(text, f"({' OR '.join(tests) or 'false'})", "false"))
+        test = " OR ".join(_present('_text', d) for _, d in members)
+        tests.append(f"({_screen_test('_text', screen)} AND ({test}))" if screen else f"({test})")
+    return expr(_bound(column(text), f"({' OR '.join(tests) or 'false'})", "false"))

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkveil.functions.detect import has_findings
 from inkveil.functions.redaction import redact
 from inkveil.operators.scan import policy_count, policy_detections
 from inkveil.operators.summary import summary_text
@@ -52,9 +53,9 @@ def conversation_totals(
     policy = policy or ScanPolicy.interception()
     return (
         messages.select(conversation, policy_count(text, policy).alias("_n"))
-        .where(F.col("_n") > 0)
         .groupBy(conversation)
-        .agg(F.sum("_n").alias("n_total"), F.count(F.lit(1)).alias("n_messages_hit"))
+        .agg(F.sum("_n").alias("n_total"), F.count_if(F.col("_n") > 0).alias("n_messages_hit"))
+        .where(F.col("n_total") > 0)
     )
 
 
@@ -102,20 +103,23 @@ def blocked(
 ) -> DataFrame:
     """Blocked conversations: their first message with a finding and a report on it.
 
-    Only the first bad message of each input partition is shuffled, and only
-    its counts, not its text.
+    Each input partition sends one row per conversation, with the counts of its
+    first bad message there, not its text.
     """
     policy = policy or ScanPolicy.interception()
-    hits = messages.select(
+    scanned = messages.select(
         conversation, turn, policy_detections(text, policy).alias("_found")
-    ).where(F.size("_found") > 0)
+    )
+    bad_turn = F.when(F.size("_found") > 0, F.col(turn))
     report = F.struct(
         F.size("_found").alias("n_findings"), summary_text("_found").alias("summary")
     )
-    first = hits.groupBy(conversation).agg(
-        F.min(turn).alias("blocked_turn"), F.min_by(report, turn).alias("_report")
+    first = scanned.groupBy(conversation).agg(
+        F.min(bad_turn).alias("blocked_turn"), F.min_by(report, bad_turn).alias("_report")
+    )
+    return first.where(F.col("blocked_turn").isNotNull()).select(
+        conversation, "blocked_turn", "_report.n_findings", "_report.summary"
     )
-    return first.select(conversation, "blocked_turn", "_report.n_findings", "_report.summary")
 
 
 def not_blocked(
@@ -125,11 +129,14 @@ def not_blocked(
     policy: ScanPolicy | None = None,
 ) -> DataFrame:
     """Messages of the conversations that may go on."""
-    from inkveil.functions.detect import has_findings
-
     policy = policy or ScanPolicy.interception()
     dirty = has_findings(text, policy.detectors, policy.min_severity)
-    stopped = messages.where(dirty).select(conversation).distinct()
+    stopped = (
+        messages.select(conversation, dirty.alias("_dirty"))
+        .groupBy(conversation)
+        .agg(F.bool_or("_dirty").alias("_dirty"))
+        .where("_dirty")
+    )
     return messages.join(stopped, conversation, "left_anti")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkveil.operators.scan import policy_detections, with_line_numbers
+from inkveil.operators.scan import policy_count, policy_detections, with_line_numbers
 from inkveil.plans.policy import ScanPolicy
 
 LABEL_WIDTH = 10
@@ -35,11 +35,12 @@ def marked_lines(
         source.cast("string").alias("source"),
         text,
         policy_detections(text, policy).alias("detections"),
-    ).where(F.size("detections") > 0)
+    )
     rows = (
         with_line_numbers(found, text)
-        .withColumn("_lines", F.split(F.col(text), "\n", -1))
-        .select(*keys, "source", "_lines", F.inline("detections"))
+        .withColumn("_lines", F.when(F.size("detections") > 0, F.split(F.col(text), "\n", -1)))
+        .select(*keys, "source", "_lines", F.inline_outer("detections"))
+        .where(F.col("ordinal").isNotNull())
         .withColumn("line_text", F.get("_lines", F.col("line") - 1))
     )
     line_start = F.col("start") - F.col("col")
@@ -74,8 +75,6 @@ def headlines(
     policy: ScanPolicy | None = None,
 ) -> DataFrame:
     """First line of the report of each source: ``clean``, or the number of findings."""
-    from inkveil.operators.scan import policy_count
-
     policy = policy or ScanPolicy.batch()
     counted = df.select(
         *keys, source.cast("string").alias("source"), policy_count(text, policy).alias("n")

@@ -35,6 +35,17 @@ def policy_count(text: str, policy: ScanPolicy) -> Column:
     return F.when(too_long(text, policy), F.lit(0)).otherwise(found)
 
 
+def one_row_each(df: DataFrame, keys: Sequence[str], found: str) -> DataFrame:
+    """One row per element of the nested column ``found``.
+
+    ``inline`` makes the optimizer add a filter on its argument, and a filter on
+    a computed column is pushed below the projection: both would run the scan a
+    second time.  ``inline_outer`` keeps it at one; empty rows are dropped after.
+    """
+    rows = df.select(*keys, F.inline_outer(found))
+    return rows.where(F.col("ordinal").isNotNull())
+
+
 def scan(
     df: DataFrame,
     text: str = "text",
@@ -76,7 +87,7 @@ def findings(
     found = df.select(*keys, text, policy_detections(text, policy, utf16).alias("detections"))
     if lines:
         found = with_line_numbers(found, text)
-    return found.select(*keys, F.inline("detections"))
+    return one_row_each(found, keys, "detections")
 
 
 def with_line_numbers(df: DataFrame, text: str, found: str = "detections") -> DataFrame:
@@ -122,9 +133,9 @@ def overlaps(
     )
     return (
         df.select(*keys, policy_detections(text, policy).alias("detections"))
-        .where(F.size("detections") > 1)
         .select(*keys, ordered.alias("_ordered"), expr(covering_sql("detections")).alias("_cover"))
-        .select(*keys, F.explode(inside).alias("_pair"))
+        .select(*keys, F.explode_outer(inside).alias("_pair"))
+        .where(F.col("_pair").isNotNull())
         .select(
             *keys,
             F.col("_pair._ordered.type").alias("type"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.detect import counts_by_type
 from inkveil.functions.detectors import detector_catalog
-from inkveil.operators.scan import policy_count, policy_detections, too_long
+from inkveil.operators.scan import one_row_each, policy_count, policy_detections, too_long
 from inkveil.plans.policy import DISPLAY_LEVELS, ScanPolicy
 
 
@@ -28,7 +28,7 @@ def type_counts(
     policy = policy or ScanPolicy()
     scanned = df if policy.max_chars is None else df.where(~too_long(text, policy))
     counts = counts_by_type(text, policy.detectors, policy.min_severity)
-    return scanned.select(*keys, counts.alias("_counts")).select(*keys, F.inline("_counts"))
+    return one_row_each(scanned.select(*keys, counts.alias("_counts")), keys, "_counts")
 
 
 def count_by_type(
@@ -95,8 +95,11 @@ def first_seen_types(
     policy: ScanPolicy | None = None,
 ) -> DataFrame:
     """Counts per type of every row with findings as one text, in the order of first sight."""
-    found = df.select(*keys, policy_detections(text, policy or ScanPolicy()).alias("_found"))
-    return found.where(F.size("_found") > 0).select(*keys, summary_text("_found").alias("summary"))
+    policy = policy or ScanPolicy()
+    found = df.select(*keys, policy_detections(text, policy).alias("_found"))
+    line = F.when(F.size("_found") > 0, F.array(summary_text("_found")))
+    rows = found.select(*keys, F.explode_outer(line).alias("summary"))
+    return rows.where(F.col("summary").isNotNull())
 
 
 def display_level(
