@@ -19,7 +19,6 @@ from inkveil.functions.text import DETECTION, DETECTION_FIELDS, text_length
 Chosen = list[tuple[int, Detector]]
 
 HIT = "struct<slot:int,found:array<string>,gaps:array<string>>"
-SPAN = "struct<start:int,`end`:int,value:string,message:string>"
 TYPE_COUNT = "struct<ordinal:int,type:string,category:string,severity:string,n:int>"
 
 
@@ -111,34 +110,23 @@ def _placed(text: str, chosen: Chosen, utf16: bool) -> str:
         value="_values[_i]",
         message="_messages[_i]",
     ) + ")"
-    spans = running(
-        steps,
-        "0",
-        lambda end, part: f"{end} + {part}.step",
-        lambda before, end, part: struct(
-            start=f"{end} - {part}.width",
-            end=end,
-            value=f"{part}.value",
-            message=f"{part}.message",
-        ),
-        SPAN,
-        "span",
-    )
+    ends = running("_steps", "0", lambda end, part: f"{end} + {part}.step", "int", "end")
     finding = struct(
-        start="_span.start",
+        start="_ends[_i] - _part.width",
         ordinal="_label.ordinal",
-        end="_span.end",
-        value="_span.value",
-        message="_span.message",
+        end="_ends[_i]",
+        value="_part.value",
+        message="_part.message",
         type="_label.type",
         category="_label.category",
         severity="_label.severity",
     )
-    kept = f"filter({spans}, _span -> _span.message IS NOT NULL)"
+    all_found = f"transform(_steps, (_part, _i) -> {finding})"
+    kept = f"filter({all_found}, _f -> _f.message IS NOT NULL)"
     findings = let(
         "_gaps",
         f"coalesce(_hit.gaps, split({text}, _label.pattern, -1))",
-        f"transform({kept}, _span -> {finding})",
+        let("_steps", steps, let("_ends", ends, kept)),
     )
     checked = let(
         "_messages",

@@ -38,7 +38,6 @@ def covering_sql(found: str) -> str:
         ordered,
         struct(start="0", end="0", type="cast(NULL AS string)"),
         advance,
-        lambda before, after, item: after,
         GROUP,
         "group",
     )

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BLOCK = 256
+BLOCK = 32
 
 
 def literal(value: str) -> str:
@@ -49,38 +49,35 @@ def let(name: str, value: str, body: str) -> str:
 
 
 def running(
-    items: str,
-    start: str,
-    advance: Callable[[str, str], str],
-    emit: Callable[[str, str, str], str],
-    emitted_type: str,
-    tag: str,
+    items: str, start: str, advance: Callable[[str, str], str], state_type: str, tag: str
 ) -> str:
-    """Left-to-right fold over ``items`` that emits one value per item.
+    """The states of a left-to-right fold over ``items``, one per item.
 
-    ``advance(state, item)`` gives the next state, ``emit(before, after, item)``
-    the value.  Values are collected in blocks of ``BLOCK``: appending to one
-    growing array would copy it each time, quadratic for a text with very many
-    matches.  ``tag`` keeps the variables of nested folds apart.
+    ``advance(state, item)`` gives the next state.  ``aggregate`` copies its
+    buffer at every step, so collecting n states in one buffer takes n * n / 2
+    copies.  Here blocks of about sqrt(n) items are folded one after another,
+    which takes n * sqrt(n).  ``tag`` keeps the variables of nested folds apart.
     """
-    acc, item, after, block = (f"_{part}_{tag}" for part in ("acc", "item", "after", "block"))
-    nothing = empty_array(emitted_type)
-    zero = struct(
-        state=start, block=nothing, full=empty_array(f"array<{emitted_type}>")
+    names = ("states", "item", "acc", "block", "done", "n", "items", "width")
+    states, item, acc, block, done, n, bound, width = (f"_{name}_{tag}" for name in names)
+    within = (
+        f"aggregate({block}, array({acc}.state), ({states}, {item}) -> "
+        f"array_append({states}, {advance(f'{states}[size({states}) - 1]', item)}))"
     )
-    appended = f"array_append({acc}.block, {emit(f'{acc}.state', after, item)})"
-    room_left = struct(state=after, block=block, full=f"{acc}.full")
-    block_full = struct(state=after, block=nothing, full=f"array_append({acc}.full, {block})")
     step = let(
-        after,
-        advance(f"{acc}.state", item),
-        let(
-            block,
-            appended,
-            f"CASE WHEN size({block}) < {BLOCK} THEN {room_left} ELSE {block_full} END",
+        done,
+        within,
+        struct(
+            state=f"{done}[size({done}) - 1]",
+            full=f"array_append({acc}.full, slice({done}, 2, size({block})))",
         ),
     )
-    return (
-        f"aggregate({items}, {zero}, ({acc}, {item}) -> {step}, "
-        f"{acc} -> flatten(array_append({acc}.full, {acc}.block)))"
+    zero = struct(state=start, full=empty_array(f"array<{state_type}>"))
+    blocks = (
+        f"transform(sequence(0, ({n} - 1) div {width}), "
+        f"_b -> slice({bound}, cast(_b * {width} + 1 AS int), {width}))"
     )
+    folded = f"aggregate({blocks}, {zero}, ({acc}, {block}) -> {step}, {acc} -> flatten({acc}.full))"
+    sized = let(width, f"cast(greatest({BLOCK}, ceil(sqrt({n}))) AS int)", folded)
+    guarded = f"CASE WHEN {n} > 0 THEN {sized} ELSE {empty_array(state_type)} END"
+    return let(bound, items, let(n, f"size({bound})", guarded))

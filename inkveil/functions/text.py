@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.functions.sqltext import literal, running, struct
+from inkveil.functions.sqltext import let, literal, running, struct
 
 PIECE = 4096
 
@@ -11,7 +11,7 @@ DETECTION = (
     "struct<type:string,category:string,severity:string,start:int,`end`:int,"
     "message:string,value:string,ordinal:int>"
 )
-LINED_DETECTION = DETECTION[:-1] + ",line:int,col:int>"
+POSITION = "struct<pos:int,line:int,col:int>"
 
 
 def text_length(text: str, utf16: bool = False) -> str:
@@ -57,12 +57,9 @@ def with_lines(parts: str, found: str) -> str:
                 f"CASE WHEN size(_lines) > 1 THEN 0 ELSE {at}.col END + length(_lines[size(_lines) - 1])"
             ),
         )
-        return f"transform(array({between}), _lines -> {moved})[0]"
+        return let("_lines", between, moved)
 
-    def emit(before: str, after: str, item: str) -> str:
-        kept = {name: f"{item}.`{name}`" for name in DETECTION_FIELDS}
-        return struct(**kept, line=f"{after}.line", col=f"{after}.col")
-
-    return running(
-        found, struct(pos="0", line="1", col="0"), advance, emit, LINED_DETECTION, "line"
-    )
+    at = running(found, struct(pos="0", line="1", col="0"), advance, POSITION, "line")
+    kept = {name: f"_d.`{name}`" for name in DETECTION_FIELDS}
+    lined = struct(**kept, line="_at[_i].line", col="_at[_i].col")
+    return let("_at", at, f"transform({found}, (_d, _i) -> {lined})")
