@@ -19,7 +19,7 @@ from inkveil.functions.text import DETECTION, DETECTION_FIELDS, text_length
 Chosen = list[tuple[int, Detector]]
 
 HIT = "struct<slot:int,found:array<string>,gaps:array<string>>"
-TYPE_COUNT = "struct<ordinal:int,type:string,category:string,severity:string,n:int>"
+TYPE_COUNT = "struct<ordinal:int,type:string,category:string,severity:string,n_findings:int>"
 
 
 def _literal_test(text: str, d: Detector) -> str | None:
@@ -218,7 +218,7 @@ def finding_count(
 def counts_by_type(
     text: str, enabled: Iterable[str] | None = None, min_severity: str = "low"
 ) -> Column:
-    """``array<struct<ordinal, type, category, severity, n>>`` of the types found."""
+    """``array<struct<ordinal, type, category, severity, n_findings>>`` of the types found."""
     nothing = empty_array(TYPE_COUNT)
     groups = []
     for screen, members in _screened(selected(enabled, min_severity)):
@@ -228,7 +228,7 @@ def counts_by_type(
                 type=literal(d.name),
                 category=literal(d.category),
                 severity=literal(d.severity),
-                n=_count('_text', d),
+                n_findings=_count('_text', d),
             )
             for ordinal, d in members
         ]
@@ -238,7 +238,7 @@ def counts_by_type(
         groups.append(group)
     if not groups:
         return expr(nothing)
-    found = f"filter(concat({', '.join(groups)}), _c -> _c.n > 0)"
+    found = f"filter(concat({', '.join(groups)}), _c -> _c.n_findings > 0)"
     return expr(_bound(column(text), found, nothing))
 
 

@@ -77,11 +77,11 @@ def headlines(
     """First line of the report of each source: ``clean``, or the number of findings."""
     policy = policy or ScanPolicy.batch()
     counted = df.select(
-        *keys, source.cast("string").alias("source"), policy_count(text, policy).alias("n")
+        *keys, source.cast("string").alias("source"), policy_count(text, policy).alias("_n")
     )
     clean = F.concat(F.col("source"), F.lit(": clean"))
-    dirty = F.concat(F.col("source"), F.lit(": "), F.col("n").cast("string"), F.lit(" finding(s)"))
-    return counted.withColumn("headline", F.when(F.col("n") == 0, clean).otherwise(dirty))
+    dirty = F.concat(F.col("source"), F.lit(": "), F.col("_n").cast("string"), F.lit(" finding(s)"))
+    return counted.withColumn("headline", F.when(F.col("_n") == 0, clean).otherwise(dirty)).drop("_n")
 
 
 def json_report(

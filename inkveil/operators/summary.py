@@ -24,7 +24,7 @@ def type_counts(
     text: str = "text",
     policy: ScanPolicy | None = None,
 ) -> DataFrame:
-    """One row per input row and type found: ordinal, type, category, severity, n."""
+    """One row per input row and type found: ordinal, type, category, severity, n_findings."""
     policy = policy or ScanPolicy()
     scanned = df if policy.max_chars is None else df.where(~too_long(text, policy))
     counts = counts_by_type(text, policy.detectors, policy.min_severity)
@@ -39,7 +39,7 @@ def count_by_type(
 ) -> DataFrame:
     """Findings per type, over the whole table or per key."""
     counts = type_counts(df, keys, text, policy)
-    return counts.groupBy(*keys, "type").agg(F.sum("n").alias("n_findings"))
+    return counts.groupBy(*keys, "type").agg(F.sum("n_findings").alias("n_findings"))
 
 
 def count_by_type_severity(
@@ -50,7 +50,7 @@ def count_by_type_severity(
 ) -> DataFrame:
     """Findings per type and severity, with a line of text for each."""
     counts = type_counts(df, keys, text, policy)
-    grouped = counts.groupBy(*keys, "type", "severity").agg(F.sum("n").alias("n_findings"))
+    grouped = counts.groupBy(*keys, "type", "severity").agg(F.sum("n_findings").alias("n_findings"))
     return grouped.withColumn(
         "line", summary_line(F.col("type"), F.col("severity"), F.col("n_findings"))
     )
@@ -123,7 +123,7 @@ def count_by_level(
 ) -> DataFrame:
     counts = type_counts(df, (), text, policy)
     level = display_level(F.col("category"), pii, secret).alias("level")
-    return counts.groupBy(level).agg(F.sum("n").alias("n_findings"))
+    return counts.groupBy(level).agg(F.sum("n_findings").alias("n_findings"))
 
 
 def catalog_coverage(df: DataFrame, text: str = "text") -> DataFrame:

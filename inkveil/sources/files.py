@@ -13,20 +13,23 @@ def read_texts(spark: SparkSession, path: str | list[str], pattern: str | None =
     be read are left out; :func:`read_listed` finds out which.
     """
     reader = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
+        spark.read.option("recursiveFileLookup", True)
         .option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
     )
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(path).select(
+    return reader.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source"), F.make_valid_utf8("value").alias("text")
     )
 
 
 def list_files(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
-    """``source`` and ``bytes`` of every file under ``path``; contents are not read."""
+    """``source`` and ``bytes`` of every file under ``path``; contents are not read.
+
+    Spark's file sources pass over files of zero length: they have no text to
+    scan and do not show up here nor in :func:`read_texts`.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

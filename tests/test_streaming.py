@@ -1,0 +1,178 @@
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from checks.queries import with_spikes
+from inkveil import ScanPolicy, findings
+from inkveil.operators import intercept
+from inkveil.streaming.debounce import GAP_MS, last_of_bursts, last_of_bursts_stream
+from inkveil.streaming.latch import BlockLatch
+from inkveil.streaming.latest import LatestFindings, latest_per_key
+from inkveil.streaming.scan import write_stream
+
+START = datetime(2024, 1, 1)
+
+
+def changes(spark, n=600, hot=True):
+    rng = random.Random(11)
+    rows, at = [], 0
+    for i in range(n):
+        at += rng.choice([1, 5, 10, 50, 100, 100, 150, 300, 700])
+        key = 0 if hot and i % 3 == 0 else rng.randint(1, 4)
+        rows.append((i, key, START + timedelta(milliseconds=at), f"text {i} u{i}@x.org"))
+    return rows, spark.createDataFrame(rows, "id long, key long, ts timestamp, text string")
+
+
+def brute_force(rows):
+    kept = []
+    for key in {r[1] for r in rows}:
+        mine = sorted((r[2], r[0]) for r in rows if r[1] == key)
+        for (ts, ident), following in zip(mine, mine[1:] + [None]):
+            if following is None or following[0] - ts > timedelta(milliseconds=GAP_MS):
+                kept.append(ident)
+    return sorted(kept)
+
+
+def ids(df):
+    return sorted(r.id for r in df.select("id").collect())
+
+
+def test_debounce(spark):
+    rows, df = changes(spark)
+    expected = brute_force(rows)
+    assert ids(last_of_bursts(df, "key", "ts", "id")) == expected
+    assert ids(last_of_bursts_stream(df, "key", "ts", "id")) == expected
+    assert 100 < len(expected) < 500
+
+
+def test_debounce_hot_key_is_split(spark):
+    _, df = changes(spark)
+    plan = last_of_bursts(df, "key", "ts", "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(key") == 1
+    partitioning = plan.split("hashpartitioning(")[1].split(")")[0].split(", ")
+    assert len(partitioning) == 3, "key, slice of time, number of partitions"
+
+
+def write_parts(df, folder, parts):
+    """The rows in order, one file per part."""
+    for part in range(parts):
+        df.where(F.col("part") == part).drop("part").coalesce(1).write.parquet(
+            f"{folder}/part={part}"
+        )
+
+
+def stream_of(spark, folder, schema):
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    return reader.option("recursiveFileLookup", True).parquet(folder)
+
+
+def test_debounce_stream(spark, tmp_path):
+    rows, df = changes(spark, 200)
+    end = [(9999, 99, START + timedelta(days=1), "later")]
+    last = spark.createDataFrame(end, df.schema)
+    write_parts(
+        df.withColumn("part", F.floor(F.col("id") / 50).cast("int")).unionByName(
+            last.withColumn("part", F.lit(4))
+        ),
+        str(tmp_path / "in"),
+        5,
+    )
+    stream = stream_of(spark, str(tmp_path / "in"), df.schema)
+    debounced = last_of_bursts_stream(stream, "key", "ts", "id", delay="1 minute")
+    found = findings(debounced, ["id", "key"])
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    write_stream(found, out, state, available_now=True).awaitTermination()
+    kept = spark.read.schema(found.schema).parquet(out)
+    assert ids(kept) == brute_force(rows)
+    assert {r.type for r in kept.collect()} == {"email"}
+
+
+def test_latest_per_key(spark):
+    df = spark.createDataFrame(
+        [(1, 1, "a", False), (1, 2, "b", False), (2, 1, "c", False), (2, 2, "d", True)],
+        "key long, at long, text string, closed boolean",
+    )
+    rows = latest_per_key(df, ["key"], ["at"], F.col("closed")).collect()
+    assert [(r.key, r.text) for r in rows] == [(1, "b")]
+
+
+def test_latest_findings(spark, tmp_path):
+    def batch(*rows):
+        return spark.createDataFrame(list(rows), "doc string, at long, kind string, text string")
+
+    def state(table):
+        return {r.doc: len(r.detections) for r in table.read(spark).collect()}
+
+    def make(path):
+        return LatestFindings(str(path), ["doc"], ["at"], closed="kind = 'close'")
+
+    table = make(tmp_path / "a")
+    first = batch(("x", 1, "change", "a@b.com"), ("x", 2, "change", "a@b.com c@d.com"),
+                  ("y", 1, "change", "clean"))
+    second = batch(("x", 3, "change", "none"), ("y", 2, "close", None), ("z", 1, "open", "a@b.com"))
+    table(first, 0)
+    assert state(table) == {"x": 2, "y": 0}
+    table(second, 1)
+    table(second, 1)
+    assert state(table) == {"x": 0, "z": 1}
+    folded = table.compact(spark, str(tmp_path / "b"))
+    assert state(folded) == {"x": 0, "z": 1}
+    folded(batch(("y", 1, "change", "late a@b.com"), ("z", 2, "change", "x@y.z u@v.w")), 2)
+    assert state(folded) == {"x": 0, "z": 2}
+    stored = folded.read(spark).select(F.explode("detections").alias("d")).select("d.*")
+    assert "value" not in stored.columns
+
+
+@pytest.fixture(scope="module")
+def conversations(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    return with_spikes(table)
+
+
+def test_block_latch(spark, conversations, tmp_path):
+    """Fed in three parts, with a part run twice, the latch equals the batch rule."""
+    schema = conversations.schema
+    write_parts(
+        conversations.withColumn("part", F.least(F.floor(F.col("turn") / 2), F.lit(2)).cast("int")),
+        str(tmp_path / "in"),
+        3,
+    )
+    latch = BlockLatch(str(tmp_path / "latch"))
+    seen = []
+
+    def twice(batch, batch_id):
+        seen.append(batch_id)
+        latch(batch, batch_id)
+        latch(batch, batch_id)
+
+    stream = stream_of(spark, str(tmp_path / "in"), schema)
+    query = stream.writeStream.foreachBatch(twice).trigger(availableNow=True)
+    query.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+    assert len(seen) == 3
+    decided = {(r.conv_id, r.turn): r.held for r in latch.decided(spark).collect()}
+    first = {r.conv_id: r.blocked_turn for r in intercept.blocked(conversations).collect()}
+    rows = conversations.select("conv_id", "turn").collect()
+    assert len(decided) == len(rows)
+    for r in rows:
+        held = r.conv_id in first and r.turn >= first[r.conv_id]
+        assert decided[(r.conv_id, r.turn)] == held
+    assert any(decided.values()) and not all(decided.values())
+
+
+def test_stream_equals_batch(spark, conversations, tmp_path):
+    write_parts(
+        conversations.withColumn("part", (F.col("conv_id") % 3).cast("int")), str(tmp_path / "in"), 3
+    )
+    stream = stream_of(spark, str(tmp_path / "in"), conversations.schema)
+    policy = ScanPolicy.interception()
+    found = findings(stream, ["conv_id", "turn"], "text", policy, lines=True)
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    write_stream(found, out, state, available_now=True).awaitTermination()
+    streamed = spark.read.schema(found.schema).parquet(out)
+    batch = findings(conversations, ["conv_id", "turn"], "text", policy, lines=True)
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+    assert batch.count() > 0
