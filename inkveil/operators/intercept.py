@@ -103,22 +103,30 @@ def blocked(
 ) -> DataFrame:
     """Blocked conversations: their first message with a finding and a report on it.
 
-    Each input partition sends one row per conversation, with the counts of its
-    first bad message there, not its text.
+    Each input partition sends one row per bad conversation, with the counts of
+    its first bad message there, not its text.
     """
     policy = policy or ScanPolicy.interception()
     scanned = messages.select(
-        conversation, turn, policy_detections(text, policy).alias("_found")
+        conversation, F.col(turn).alias("_turn"), policy_detections(text, policy).alias("_found")
     )
-    bad_turn = F.when(F.size("_found") > 0, F.col(turn))
     report = F.struct(
-        F.size("_found").alias("n_findings"), summary_text("_found").alias("summary")
+        F.col("_turn").alias("turn"),
+        F.size("_found").alias("n_findings"),
+        summary_text("_found").alias("summary"),
     )
-    first = scanned.groupBy(conversation).agg(
-        F.min(bad_turn).alias("blocked_turn"), F.min_by(report, bad_turn).alias("_report")
+    bad = F.when(F.size("_found") > 0, F.array(report))
+    hits = scanned.select(conversation, F.explode_outer(bad).alias("_hit"))
+    first = (
+        hits.where(F.col("_hit").isNotNull())
+        .groupBy(conversation)
+        .agg(F.min_by("_hit", "_hit.turn").alias("_hit"))
     )
-    return first.where(F.col("blocked_turn").isNotNull()).select(
-        conversation, "blocked_turn", "_report.n_findings", "_report.summary"
+    return first.select(
+        conversation,
+        F.col("_hit.turn").alias("blocked_turn"),
+        "_hit.n_findings",
+        "_hit.summary",
     )
 
 

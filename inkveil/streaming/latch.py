@@ -57,6 +57,11 @@ class BlockLatch:
             stored = stored.where(F.col("batch") <= up_to)
         return stored.groupBy(self.conversation).agg(F.min("blocked_turn").alias("blocked_turn"))
 
+    def compact(self, spark: SparkSession, path: str) -> BlockLatch:
+        """Fold the first bad turns into one folder at a new place and return the latch there."""
+        self.blocked(spark).write.mode("overwrite").parquet(f"{path}/blocked/batch=-1")
+        return BlockLatch(path, self.conversation, self.turn, self.text, self.policy)
+
     def decided(self, spark: SparkSession) -> DataFrame:
         folder = f"{self.path}/decided"
         return spark.read.option("basePath", folder).parquet(folder).drop("batch")

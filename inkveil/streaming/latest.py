@@ -63,6 +63,13 @@ class LatestFindings:
         )
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
+    def under(self, policy: ScanPolicy) -> LatestFindings:
+        """The same table under a new policy; feed it all open documents to scan them again.
+
+        A policy that is not active clears their findings.
+        """
+        return LatestFindings(self.path, self.keys, self.order, self.text, self.closed, policy)
+
     def _last(self, spark: SparkSession) -> DataFrame:
         stored = spark.read.option("basePath", self.path).parquet(self.path)
         return latest_per_key(stored, self.keys, ["version", "batch"])

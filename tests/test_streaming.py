@@ -123,6 +123,9 @@ def test_latest_findings(spark, tmp_path):
     assert state(folded) == {"x": 0, "z": 1}
     folded(batch(("y", 1, "change", "late a@b.com"), ("z", 2, "change", "x@y.z u@v.w")), 2)
     assert state(folded) == {"x": 0, "z": 2}
+    high = folded.under(ScanPolicy.documents().with_(min_severity="high"))
+    high(batch(("x", 3, "change", "none"), ("z", 2, "change", "x@y.z u@v.w 123-45-6789")), 3)
+    assert state(high) == {"x": 0, "z": 1}
     stored = folded.read(spark).select(F.explode("detections").alias("d")).select("d.*")
     assert "value" not in stored.columns
 
@@ -161,6 +164,8 @@ def test_block_latch(spark, conversations, tmp_path):
         held = r.conv_id in first and r.turn >= first[r.conv_id]
         assert decided[(r.conv_id, r.turn)] == held
     assert any(decided.values()) and not all(decided.values())
+    folded = latch.compact(spark, str(tmp_path / "folded"))
+    assert {r.conv_id: r.blocked_turn for r in folded.blocked(spark).collect()} == first
 
 
 def test_stream_equals_batch(spark, conversations, tmp_path):
