@@ -18,7 +18,6 @@ from inkveil.functions.text import DETECTION, DETECTION_FIELDS, text_length
 
 Chosen = list[tuple[int, Detector]]
 
-HIT = "struct<slot:int,found:array<string>,gaps:array<string>>"
 TYPE_COUNT = "struct<ordinal:int,type:string,category:string,severity:string,n_findings:int>"
 
 
@@ -63,7 +62,7 @@ def _spans(text: str, d: Detector) -> str:
 def _hit(text: str, slot: int, d: Detector) -> str:
     """Matches of one detector: ``slot``, ``found`` and, from a finder, the ``gaps``."""
     if d.pattern:
-        found = _guarded(text, d, _matches(text, d))
+        found = _matches(text, d)
         return struct(slot=str(slot), found=found, gaps="cast(NULL AS array<string>)")
     values = f"transform(_spans, _s -> substring({text}, _s.start + 1, _s.end - _s.start))"
     before = "CASE WHEN _i = 0 THEN 0 ELSE _spans[_i - 1].end END"
@@ -153,14 +152,14 @@ def detections_sql(text: str, chosen: Chosen, utf16: bool = False) -> str:
     nothing = empty_array(DETECTION)
     if not chosen:
         return nothing
-    slots = {d.name: slot for slot, (_, d) in enumerate(chosen)}
-    groups = []
-    for screen, members in _screened(chosen):
-        hits = f"array({', '.join(_hit('_text', slots[d.name], d) for _, d in members)})"
-        if screen is not None:
-            test = _screen_test("_text", screen)
-            hits = f"CASE WHEN {test} THEN {hits} ELSE {empty_array(HIT)} END"
-        groups.append(hits)
+    screens = [screen for screen, _ in _screened(chosen) if screen is not None]
+    hits = []
+    for slot, (_, d) in enumerate(chosen):
+        tests = [f"_screens[{screens.index(d.screen)}]"] if d.screen else []
+        literals = _literal_test("_text", d)
+        tests += [literals] if literals else []
+        hit = _hit("_text", slot, d)
+        hits.append(f"CASE WHEN {' AND '.join(tests)} THEN {hit} END" if tests else hit)
     placed = f"transform(_hits, _hit -> {_placed('_text', chosen, utf16)})"
     # sorted by (start, ordinal): equal starts stay in detector order
     ordered = f"sort_array(flatten(filter({placed}, _f -> _f IS NOT NULL)))"
@@ -168,9 +167,12 @@ def detections_sql(text: str, chosen: Chosen, utf16: bool = False) -> str:
     found = f"transform({ordered}, _d -> {fields})"
     result = let(
         "_hits",
-        f"filter(concat({', '.join(groups)}), _h -> size(_h.found) > 0)",
+        f"filter(array({', '.join(hits)}), _h -> _h IS NOT NULL AND size(_h.found) > 0)",
         f"CASE WHEN size(_hits) > 0 THEN {found} ELSE {nothing} END",
     )
+    if screens:
+        tests = ", ".join(_screen_test("_text", screen) for screen in screens)
+        result = let("_screens", f"array({tests})", result)
     return _bound(text, result, nothing)
 
 

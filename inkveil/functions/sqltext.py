@@ -43,9 +43,10 @@ def let(name: str, value: str, body: str) -> str:
     """``body`` with ``name`` bound to ``value``, computed once per row.
 
     Catalyst would otherwise paste ``value`` into every place where ``body``
-    uses it, and run it as often.
+    uses it, and run it as often.  ``element_at`` rather than ``[0]``: the latter
+    works out the type of its argument anew for every row.
     """
-    return f"transform(array({value}), {name} -> {body})[0]"
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
 def running(
