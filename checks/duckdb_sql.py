@@ -287,10 +287,14 @@ def oracle_sql() -> dict[str, str]:
           SELECT doc_id, (CASE WHEN doc_id IN (SELECT doc_id FROM found) THEN {hit} ELSE 0 END)::INT
             AS verdict FROM src"""
     sql["q_corpus_gate"] = f"""{ctes(DOCS, "doc_id")}, v AS (
-        SELECT CASE WHEN doc_id % 97 = 13 THEN 3
-          WHEN doc_id IN (SELECT doc_id FROM found) THEN 1 ELSE 0 END AS verdict FROM src)
+        SELECT CASE WHEN doc_id IN (SELECT doc_id FROM found) THEN 1 ELSE 0 END AS verdict FROM src)
       SELECT max(verdict)::INT AS verdict, count(*) AS n_sources,
         count(*) FILTER (WHERE verdict > 0) AS n_not_clean FROM v"""
+    sql["q_unreadable_sources"] = f"""{ctes(DOCS, "doc_id")}, v AS (
+        SELECT CASE WHEN o_orderkey NOT IN (SELECT doc_id FROM src) THEN 3
+          WHEN o_orderkey IN (SELECT doc_id FROM found) THEN 1 ELSE 0 END AS verdict
+        FROM (SELECT DISTINCT o_orderkey FROM orders))
+      SELECT verdict::INT AS verdict, count(*) AS n FROM v GROUP BY ALL"""
 
     per_conv = ctes(CONV, "conv_id, turn")
     sql["q_intercept_warn"] = f"""{per_conv},
@@ -314,7 +318,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT * FROM src WHERE conv_id NOT IN (SELECT conv_id FROM found)"""
     sql["q_forward_roles"] = """SELECT conv_id, turn,
         CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role,
-        CASE WHEN turn % 5 = 4 THEN '' ELSE text || chr(10) || role END AS text FROM conversations"""
+        text || chr(10) || role AS text FROM conversations"""
     users = f"SELECT * FROM ({CONV}) WHERE role = 'user'"
     sql["q_prompt_check"] = f"""{ctes(users, "conv_id, turn", None, "medium")},
       picked AS (SELECT * FROM found), {REDACT_SAFE.format(keys="conv_id, turn")},
@@ -355,7 +359,7 @@ def oracle_sql() -> dict[str, str]:
         ORDER BY ts, event_id) AS following FROM events)
       SELECT event_id, user_id, ts, event_type FROM n
       WHERE following IS NULL OR following > ts + INTERVAL 2 HOURS"""
-    sql["q_debounce_stream"] = sql["q_debounce_events"]
+    sql["q_debounce_sessions"] = sql["q_debounce_events"]
     sql["q_latest_state"] = """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id
         ORDER BY ts DESC, event_id DESC) AS rn FROM events)
       SELECT user_id, event_id, ts, event_type, value FROM n WHERE rn = 1 AND event_type <> 'error'"""

@@ -19,6 +19,7 @@ from inkveil.operators.redact import redacted
 from inkveil.operators.scan import findings, order_findings, overlaps, scan, with_scheme
 from inkveil.plans.policy import ScanPolicy
 from inkveil.session import shared_folder
+from inkveil.sources.files import read_listed
 from inkveil.sources.tables import read_table, spread
 from inkveil.streaming.debounce import last_of_bursts, last_of_bursts_stream
 from inkveil.streaming.latch import BlockLatch
@@ -278,8 +279,15 @@ def q_gate_critical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_corpus_gate(spark: SparkSession, sf: str) -> DataFrame:
-    judged = gate.verdicts(documents(spark, sf), unreadable=F.col("doc_id") % 97 == 13)
-    return gate.run_verdict(judged)
+    return gate.run_verdict(gate.verdicts(documents(spark, sf)))
+
+
+def q_unreadable_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Order keys as the sources asked for, documents as the texts that could be read."""
+    asked = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("source")).distinct()
+    texts = documents(spark, sf).withColumnRenamed("doc_id", "source")
+    judged = gate.verdicts(read_listed(asked, texts), unreadable=F.col("unreadable"))
+    return judged.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- interception -----------------------------------------------------------
@@ -301,8 +309,7 @@ def q_forwarded_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_forward_roles(spark: SparkSession, sf: str) -> DataFrame:
     table = read_table(spark, sf, "conversations")
-    parts = F.when(F.col("turn") % 5 != 4, F.array("text", F.lit(None), "role"))
-    messages = table.withColumn("parts", parts).withColumn(
+    messages = table.withColumn("parts", F.array("text", F.lit(None), "role")).withColumn(
         "text", intercept.join_text_parts("parts")
     )
     return intercept.forward(messages.drop("parts")).select("conv_id", "turn", "role", "text")
@@ -344,7 +351,7 @@ def q_debounce_events(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("event_id", "user_id", "ts", "event_type")
 
 
-def q_debounce_stream(spark: SparkSession, sf: str) -> DataFrame:
+def q_debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """The session windows of the stream, here over the table in batch."""
     last = last_of_bursts_stream(events(spark, sf), "user_id", "ts", "event_id", TWO_HOURS_MS)
     return last.select("event_id", "user_id", "ts", "event_type")
