@@ -193,7 +193,7 @@ BUILT_IN: tuple[Detector, ...] = (
         "SSH private key detected",
         "SSH private keys (RSA, ED25519)",
         P.PRIVATE_KEY_BLOCK,
-        ("PRIVATE KEY-----",),
+        ("-----END ",),
     ),
     Detector("jwt", "token", "high", "JWT token detected", "JWT tokens", P.JWT, (".eyJ",)),
     Detector(
