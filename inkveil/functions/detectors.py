@@ -79,7 +79,7 @@ def entropy_detector(threshold: float = THRESHOLD) -> Detector:
         description="High-entropy strings (Shannon > 4.5)",
         pattern=P.TOKEN_RUN,
         check=entropy_message_sql("value", threshold),
-        screen=P.long_word(max(P.TOKEN_RUN_MIN, distinct_needed(threshold))),
+        screen=P.long_run(max(P.TOKEN_RUN_MIN, distinct_needed(threshold))),
     )
 
 
@@ -203,7 +203,8 @@ BUILT_IN: tuple[Detector, ...] = (
         "Database connection string detected",
         "Database connection strings",
         P.DATABASE_URL,
-        ("://",),
+        ("sql://", "postgres://", "mongodb"),
+        screen="://",
     ),
     entropy_detector(),
 )

@@ -89,10 +89,11 @@ TOKEN_RUN = rf"{TOKEN_CHAR}{{{TOKEN_RUN_MIN},{TOKEN_RUN_MAX}}}+"
 NINE_DIGITS = r"\d(?:[ -]*+\d){8}"
 
 
-def long_word(length: int) -> str:
-    """A stretch of ``length`` characters without blank or line feed.
+def long_run(length: int) -> str:
+    """A run of at least ``length`` token characters.
 
-    Walks word by word and never looks at a character twice, where searching
+    Walks from run to run and never looks at a character twice, where searching
     for the run itself would start anew at every character.
     """
-    return rf"\A(?:[^ \n]{{0,{length - 1}}}+[ \n]++)*+[^ \n]{{{length}}}"
+    between = f"[^{TOKEN_CHAR[1:]}"
+    return rf"\A(?:{TOKEN_CHAR}{{0,{length - 1}}}+{between}++)*+{TOKEN_CHAR}{{{length}}}"
