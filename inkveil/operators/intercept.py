@@ -6,7 +6,7 @@ first bad message) is aggregated per conversation first, with partial sums in
 each input partition, and joined back.  So no task ever holds a conversation,
 and one with a third of all messages arrives as one row per partition.  The
 join may then meet a hot key on the message side only, which adaptive execution
-splits (``spark.sql.adaptive.skewJoin``); the other side has one row per
+splits (see :mod:`inkveil.operators.joins`); the other side has one row per
 conversation and is broadcast by Spark only below its size limit.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.detect import has_findings
 from inkveil.functions.redaction import redact
+from inkveil.operators.joins import join_per_key
 from inkveil.operators.scan import policy_count, policy_detections
 from inkveil.operators.summary import summary_text
 from inkveil.plans.policy import ScanPolicy
@@ -73,7 +74,7 @@ def warn(
 ) -> DataFrame:
     """All messages unchanged, with the total of their conversation and a notice."""
     totals = conversation_totals(messages, conversation, text, policy).drop("n_messages_hit")
-    joined = messages.join(totals, conversation, "left")
+    joined = join_per_key(messages, totals, conversation, "left")
     total = F.coalesce("n_total", F.lit(0))
     return joined.withColumns({"n_total": total, "notice": notice(total, "warn")})
 
@@ -145,7 +146,7 @@ def not_blocked(
         .agg(F.bool_or("_dirty").alias("_dirty"))
         .where("_dirty")
     )
-    return messages.join(stopped, conversation, "left_anti")
+    return join_per_key(messages, stopped, conversation, "left_anti")
 
 
 def check_prompts(

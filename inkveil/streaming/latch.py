@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions.detect import has_findings
+from inkveil.operators.joins import join_per_key
 from inkveil.plans.policy import ScanPolicy
 
 
@@ -43,7 +44,7 @@ class BlockLatch:
         first.write.mode("overwrite").parquet(f"{self.path}/blocked/batch={batch_id}")
         held = F.coalesce(F.col(self.turn) >= F.col("blocked_turn"), F.lit(False))
         decided = (
-            batch.join(self.blocked(spark, batch_id), self.conversation, "left")
+            join_per_key(batch, self.blocked(spark, batch_id), self.conversation, "left")
             .withColumn("held", held)
             .drop("blocked_turn")
         )

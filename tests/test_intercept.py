@@ -83,3 +83,35 @@ def test_hot_conversation(spark):
     assert kept.where("conv_id = 0").count() == 0 and kept.count() == 20_000 - 20
     shown = intercept.warn(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in shown and "collect_" not in shown
+
+
+def test_hot_conversation_is_split_in_the_join(spark):
+    """With sizes scaled down, the join back to messages splits the hot key."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    df = spark.range(0, 60_000, 1, 8).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS conv_id",
+        "id AS turn",
+        "'user' AS role",
+        "CASE WHEN id % 1000 = 0 THEN 'a@b.com' ELSE sha2(string(id), 256) END AS text",
+    )
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        for joined, expected in ((intercept.warn(df), 60_000), (intercept.not_blocked(df), 39_960)):
+            assert len(joined.collect()) == expected
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "skew=true" in plan
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
