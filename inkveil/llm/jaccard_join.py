@@ -5,12 +5,13 @@
    with the same set are one member from here on, so copies cost nothing more.
 2. Bands are shuffled on their hash. In each bucket all members are held against
    its leader, the smallest one, on their full sets: n - 1 pairs, not n * n.
-3. Links give classes. Members that are unlike the leader of their bucket are
-   then held against the members of other classes in the bucket, unless the
-   triangle inequality of the Jaccard distance rules a link out.
-4. Links are counted per class against its leader: two members are certainly
-   linked if their distances to it add up to at most 0.2, certainly not if they
-   differ by more. What is left open is counted in blocks of members.
+3. Links give classes. In a bucket that its leader doesn't hold together and that
+   has members of several classes, links can be left. Its members are held against
+   each other in blocks of some hundred, each pair of blocks a product of matrices in
+   a task of its own; no pair becomes a row, only classes that it joins.
+4. Links are counted per class. Where all members are within half the allowed
+   distance of the class's middle, all are linked with all, by the triangle inequality
+   of the Jaccard distance. Other classes are counted in blocks.
 
 Results: every document has a class, its own if nothing is like it. NULL, empty
 and blank texts have no runs and no links; each such document is its own class.
@@ -146,26 +147,37 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
+def _linked(left: pd.Series, right: pd.Series, similarity: float) -> np.ndarray:
+    """Which of the left sets are linked with which of the right ones, in slices of their runs."""
+    sets = [np.frombuffer(x, _U) for x in [*left, *right]]
+    sizes = np.array([len(x) for x in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    n, both = len(left), np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    for low in range(0, int(codes[-1]) + 1, 4096):
+        a, b = np.searchsorted(codes, [low, low + 4096])
+        width = min(4096, int(codes[-1]) + 1 - low)
+        grid = np.zeros((len(sets), width), np.float32)
+        grid[owner[a:b], codes[a:b] - low] = 1
+        both += grid[:n] @ grid[n:].T
+    either = sizes[:n, None] + sizes[None, n:] - both
+    return 10 * both.astype(np.int64) >= round(10 * similarity) * either.astype(np.int64)
+
+
+def _sides(group: pd.DataFrame, i: int, j: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    left = group[group["block"] == i]
+    return left, left if i == j else group[group["block"] == j]
+
+
 def _block_counts(similarity: float):
     def counted(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        left = group[group["block"] == i]
-        right = group[group["block"] == j] if i != j else left
-        sets = [np.frombuffer(x, _U) for x in [*left["runs"], *right["runs"]]]
-        sizes = np.array([len(x) for x in sets])
-        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        n, both = len(left), np.zeros((len(left), len(right)), np.float32)
-        order = np.argsort(codes, kind="stable")
-        codes, owner = codes[order], owner[order]
-        for low in range(0, int(codes[-1]) + 1, 4096):
-            a, b = np.searchsorted(codes, [low, low + 4096])
-            grid = np.zeros((len(sets), 4096), np.float32)
-            grid[owner[a:b], codes[a:b] - low] = 1
-            both += grid[:n] @ grid[n:].T
-        either = sizes[:n, None] + sizes[None, n:] - both
-        linked = 10 * both.astype(np.int64) >= round(10 * similarity) * either.astype(np.int64)
-        if i == j:
+        left, right = _sides(group, *key[1:])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"member": [], "links": []})
+        linked = _linked(left["runs"], right["runs"], similarity)
+        if key[1] == key[2]:
             np.fill_diagonal(linked, False)
             return pd.DataFrame({"member": left["member"], "links": linked.sum(1)})
         return pd.DataFrame(
@@ -178,6 +190,38 @@ def _block_counts(similarity: float):
     return counted
 
 
+def _block_links(similarity: float):
+    def joined(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(group, *key[1:])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []})
+        at = np.argwhere(_linked(left["runs"], right["runs"], similarity))
+        a, b = left["root"].to_numpy()[at[:, 0]], right["root"].to_numpy()[at[:, 1]]
+        return pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()
+
+    return joined
+
+
+def _in_blocks(members: DataFrame, group: str, size: str, sets: DataFrame) -> DataFrame:
+    """Members of each group with their sets, once for each pair of blocks their block is in.
+
+    Blocks have some hundred members whatever the group's size, so the pairs of a
+    group are held against each other in tasks of bounded size and never as rows.
+    """
+    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = (
+        members.withColumn("blocks", blocks)
+        .withColumn("block", own)
+        .select(*dict.fromkeys([group, "member", "root", "block"]), other.alias("other"))
+    )
+    return spread.join(sets.hint("merge"), "member").select(
+        *dict.fromkeys([group, "member", "root", "block", "runs"]),
+        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+    )
+
+
 class _Join:
     """The tables of one join, each in the shared folder."""
 
@@ -226,7 +270,8 @@ class _Join:
             signed.join(named, "row").select(F.col("row").alias("member"), "doc_id", "s1", "s2"),
             "wanted",
         )
-        texts = wanted.join(self.docs.select("doc_id", "text"), "doc_id")
+        # the sides grow with the documents: the same join at every size
+        texts = self.docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")
         sets = texts.select("member", "s1", "s2", "text").mapInPandas(
             _sets, "member long, runs binary"
         )
@@ -237,7 +282,7 @@ class _Join:
         """Pairs with the size of their intersection and union."""
         left = sets.select(F.col("member").alias("a"), F.col("runs").alias("left_runs"))
         right = sets.select(F.col("member").alias("b"), F.col("runs").alias("right_runs"))
-        met = pairs.select("a", "b").join(left, "a").join(right, "b")
+        met = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
         return met.select("a", "b", "left_runs", "right_runs").mapInPandas(
             _verified, "a long, b long, both long, either long"
         )
@@ -274,41 +319,33 @@ def jaccard_classes(
     edges = verified.where(_similar(similarity)).select("a", "b")
     parts = connected(edges)
 
-    # members unlike their leader, against other classes in the bucket
-    far = verified.select("a", "b", _distance().alias("d"))
-    apart = staged(
-        found.where("member <> leader")
-        .join(far, (F.col("member") == F.col("a")) & (F.col("leader") == F.col("b")))
-        .select("band", "member", "d"),
-        "apart",
-    )
-    most = 1 - similarity + 1e-9
-    odd = apart.where(F.col("d") > most)
+    # buckets that the leader doesn't hold together: all members against each other
+    far = verified.select("a", "b", _similar(similarity).alias("near"))
     part = parts.select(F.col("node").alias("member"), "root")
-    inside = (
-        apart.join(odd.select("band").distinct(), "band", "left_semi")
-        .join(part, "member", "left")
+    inside = staged(
+        found.join(part, "member", "left")
         .withColumn("root", F.coalesce("root", "member"))
+        .join(far, (F.col("member") == F.col("a")) & (F.col("leader") == F.col("b")), "left")
+        .select("band", "member", "root", "near"),
+        "inside",
     )
-    inside = staged(inside, "inside")
-    x, y = inside.where(F.col("d") > most).alias("x"), inside.alias("y")
-    rest = staged(
-        x.join(
-            y,
-            (F.col("x.band") == F.col("y.band"))
-            & (F.col("x.root") != F.col("y.root"))
-            & (F.abs(F.col("x.d") - F.col("y.d")) <= most)
-            # a pair of two such members is met from one side only
-            & ((F.col("y.d") <= most) | (F.col("x.member") > F.col("y.member"))),
-        )
-        .select(
-            F.greatest("x.member", "y.member").alias("a"),
-            F.least("x.member", "y.member").alias("b"),
-        )
-        .distinct(),
-        "rest",
+    apart = inside.groupBy("band").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.bool_and(F.coalesce("near", F.lit(True))).alias("held"),
+    )
+    apart = staged(
+        apart.where("size > 2 AND low < high AND NOT held").select("band", "size"), "apart"
+    )
+    open_ = inside.join(apart, "band").select("band", "size", "member", "root")
+    grid = _in_blocks(open_, "band", "size", sets)
+    more = (
+        grid.groupBy("band", "i", "j")
+        .applyInPandas(_block_links(similarity), "a long, b long")
+        .distinct()
     )
-    more = staged(join.verify(rest, sets).where(_similar(similarity)).select("a", "b"), "more")
+    more = staged(more, "more")
     edges = edges.unionByName(more)
     if not more.isEmpty():
         parts = connected(edges)
@@ -363,19 +400,9 @@ def _links(join: _Join, members: DataFrame, sets: DataFrame, similarity: float)
         "member", (F.col("size") - 1).alias("links")
     )
     loose = placed.where(F.col("widest") > most / 2)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    grid = (
-        loose.withColumn("blocks", blocks)
-        .withColumn("block", own)
-        .select("root", "member", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-                .alias("other"))
-        .join(sets, "member")
-        .select("root", "member", "block", "runs", F.least("block", "other").alias("i"),
-                F.greatest("block", "other").alias("j"))
-    )
     counted = (
-        grid.groupBy("root", "i", "j")
+        _in_blocks(loose, "root", "size", sets)
+        .groupBy("root", "i", "j")
         .applyInPandas(_block_counts(similarity), "member long, links long")
         .groupBy("member")
         .agg(F.sum("links").alias("links"))
