@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from inkveil.session import shared_folder
 
-#: rows of a bucket, on average, where rows are numbered or summed in order
-ROWS_PER_BUCKET = 4096
+#: rows for each bucket, where rows are numbered or summed in order
+ROWS_PER_BUCKET = 1024
 #: range of the 32 bits that place a row in an order
 RANGE = 1 << 32
 
@@ -53,7 +53,7 @@ def running(
     """Adds ``before`` and ``number``: the amounts and the rows ahead of each row of its group.
 
     ``bits`` holds 32 even bits that ``order`` begins with. A group is cut into
-    buckets of some thousand rows along them: the buckets' sums are added up
+    buckets of a thousand rows at most, on average, along them: the buckets' sums are added up
     first, then the rows of each bucket, so no group is ever in one task.
     ``narrow`` has the same rows with fewer columns, where the sums can be had
     without reading all of ``df``.

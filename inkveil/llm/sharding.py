@@ -59,10 +59,14 @@ def _wishes(linked: DataFrame, loads: dict[int, int], quota: float) -> DataFrame
     )
 
 
+def _slice():
+    """The part of a flow that a document is in; not along the order of the slots."""
+    return F.pmod(F.xxhash64("bits", "wanted"), F.lit(SLICES)).cast("int")
+
+
 def _granted(wishes: DataFrame, loads: dict[int, int], quota: float) -> DataFrame:
     """(label, wanted, upto): the slices of each flow that fit its quota."""
-    slice_of = F.floor(F.col("bits") * SLICES / F.lit(RANGE)).cast("int")
-    sums = wishes.where("wants").groupBy("label", "wanted", slice_of.alias("slice"))
+    sums = wishes.where("wants").groupBy("label", "wanted", _slice().alias("slice"))
     sums = staged(sums.agg(F.sum("size").alias("bytes")), "flows")
     flow = sums.groupBy("label", "wanted").agg(F.sum("bytes").alias("flow"))
     back = flow.select(
@@ -134,9 +138,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
             break
         # one row for each pair of shards at most
         moved = wishes.join(F.broadcast(granted), ["label", "wanted"], "left")
-        accepted = F.col("wants") & (
-            F.floor(F.col("bits") * SLICES / F.lit(RANGE)) <= F.col("upto")
-        )
+        accepted = F.col("wants") & (_slice() <= F.col("upto"))
         linked = staged(
             moved.withColumn("label", F.when(accepted, F.col("wanted")).otherwise(F.col("label")))
             .select(*linked.columns),
