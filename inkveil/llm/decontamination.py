@@ -122,7 +122,9 @@ def _window_hits(n: int, sizes: list[int], table: bytes, bits: int):
                     {
                         "doc_id": own["doc_id"][some],
                         "text_hash": own["text_hash"][some],
-                        "keys": [sorted(set(x)) for x in hits if x],
+                        "keys": pd.Series(
+                            [sorted(set(x)) for x in hits if x], own.index[some], dtype=object
+                        ),
                     }
                 )
 

@@ -115,11 +115,10 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 len(x) > 0 and _identity(x) == (a, b)
                 for x, a, b in zip(sets, own["s1"], own["s2"], strict=True)
             ]
+            runs = [x.tobytes() for x, ok in zip(sets, same, strict=True) if ok]
+            member = own["member"][same]
             yield pd.DataFrame(
-                {
-                    "member": own["member"][same],
-                    "runs": [x.tobytes() for x, ok in zip(sets, same, strict=True) if ok],
-                }
+                {"member": member, "runs": pd.Series(runs, member.index, dtype=object)}
             )
 
 
@@ -175,7 +174,7 @@ def _block_counts(similarity: float):
     def counted(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         left, right = _sides(group, *key[1:])
         if not len(left) or not len(right):
-            return pd.DataFrame({"member": [], "links": []})
+            return pd.DataFrame({"member": [], "links": []}, dtype=np.int64)
         linked = _linked(left["runs"], right["runs"], similarity)
         if key[1] == key[2]:
             np.fill_diagonal(linked, False)
@@ -194,7 +193,7 @@ def _block_links(similarity: float):
     def joined(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         left, right = _sides(group, *key[1:])
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
         at = np.argwhere(_linked(left["runs"], right["runs"], similarity))
         a, b = left["root"].to_numpy()[at[:, 0]], right["root"].to_numpy()[at[:, 1]]
         return pd.DataFrame({"a": a, "b": b})[a != b].drop_duplicates()

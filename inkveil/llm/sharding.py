@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from inkveil.llm.common import RANGE, running, staged
 
 SHARDS = 8
-ROUNDS = 5
+ROUNDS = 8
 #: parts of the wishes between two shards that a quota accepts or leaves
 SLICES = 256
 

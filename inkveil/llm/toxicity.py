@@ -50,7 +50,7 @@ LOOKALIKES = {
 }
 SEPARATORS = ".-_*·"
 #: log costs of the channel
-COST = {"lookalike": -1.0, "repeat": -0.7, "separator": -0.5, "boundary": -6.0}
+COST = {"lookalike": -1.0, "repeat": -0.7, "pair": -4.0, "separator": -0.5, "boundary": -6.0}
 
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
 _TOKEN = re.compile(r"\S+")
@@ -178,8 +178,9 @@ def _options(span: str, i: int, spaced: bool) -> list[tuple[str | None, float]]:
     found: list[tuple[str | None, float]] = []
     if c.isalpha():
         found.append((c, 0.0))
-        if i and span[i - 1] == c:
-            found.append((None, COST["repeat"]))
+        if i and span[i - 1] == c:  # a letter written twice is common, three times is not
+            pair = (i < 2 or span[i - 2] != c) and span[i + 1 : i + 2] != c
+            found.append((None, COST["pair" if pair else "repeat"]))
     found += [(x, COST["lookalike"]) for x in LOOKALIKES.get(c, "")]
     if i and c in LOOKALIKES and span[i - 1] == c:
         found.append((None, COST["repeat"]))
@@ -265,7 +266,7 @@ def _statistics(odds: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     top = np.zeros(n)
     np.maximum.at(top, rows[odds > 0], odds[odds > 0])
     root = np.sqrt(length + 100.0)
-    return np.stack([np.log1p(hits), np.log1p(total), total / root, top, np.log1p(length)], axis=1)
+    return np.stack([np.log1p(hits), np.log1p(total), total / root, top], axis=1)
 
 
 def _document_counts(model: CharacterModel):
@@ -371,7 +372,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     toxic[found["slot"].to_numpy(dtype=np.int64)] = found["toxic"]
     documents = (int(clean[-1]), int(toxic[-1]))
     clean, toxic = clean[:-1], toxic[:-1]
-    width = 5
+    width = 4
     if not documents[0] or not documents[1]:
         base = 40.0 if documents[1] else -40.0
         weights = np.array([base] + [0.0] * width)
