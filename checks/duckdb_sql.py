@@ -15,7 +15,7 @@ WS = (
 )
 LABEL = "[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?"
 
-# ordinal, name, category, severity, message, description, group, pattern
+# --- fixed values: ordinal, name, category, severity, message, description, group, pattern
 RULES = [
     (0, "email", "pii", "medium", "Email address detected", "Email addresses (RFC 5322)", 0,
      rf"[a-zA-Z0-9.!#$%&''*+/=?^_`{{|}}~-]+@{LABEL}(?:\.{LABEL})*"),
@@ -228,10 +228,6 @@ def oracle_sql() -> dict[str, str]:
       SELECT c.ordinal::INT AS ordinal, name, c.category, c.severity, description,
         count(found.type) AS n_findings
       FROM catalog c LEFT JOIN found ON found.type = c.name GROUP BY ALL"""
-    sql["q_size_guard"] = f"""{ctes(DOCS, "doc_id", None, "medium")}
-      SELECT doc_id, length(text)::INT AS text_length, length(text) > 2000 AS skipped,
-        (count(found.type) FILTER (WHERE length(text) <= 2000))::INT AS n_findings
-      FROM src LEFT JOIN found USING (doc_id) GROUP BY doc_id, text"""
     sql["q_scheme_filter"] = f"""{ctes(
         f"SELECT page_id, {PAGES} AS text FROM pages WHERE url LIKE 'https:%'", "page_id")}
       SELECT * FROM found"""
@@ -280,6 +276,23 @@ def oracle_sql() -> dict[str, str]:
           ELSE '{{"source":"' || doc_id || '","clean":false,"detections":' || to_json(ds)::VARCHAR || '}}'
         END AS report
       FROM src LEFT JOIN lists USING (doc_id)"""
+    emoji = f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '\U0001f600\U0001f680 ' ELSE '' END || text
+      AS text FROM ({DOCS})"""
+    units = lambda at: f"{at} + len(regexp_extract_all(substr(text, 1, {at}), '[\\x{{10000}}-\\x{{10FFFF}}]'))"  # noqa: E731, E501
+    end = '"end"'
+    start = '"start"'
+    sql["q_json_report_utf16"] = f"""{lined(emoji, "doc_id")},
+      lists AS (SELECT doc_id, list({{'type': type, 'category': category, 'severity': severity,
+        'start': {units(start)}, 'end': {units(end)}, 'message': message, 'line': line}}
+        ORDER BY "start", ordinal) AS ds FROM lined GROUP BY doc_id)
+      SELECT doc_id, CASE WHEN ds IS NULL
+          THEN '{{"source":"' || doc_id || '","detections":[],"clean":true}}'
+          ELSE '{{"source":"' || doc_id || '","clean":false,"detections":' || to_json(ds)::VARCHAR || '}}'
+        END AS report
+      FROM src LEFT JOIN lists USING (doc_id)"""
+    sql["q_token_estimate_utf16"] = """SELECT conv_id, count(*) AS n_messages,
+        sum(ceil((length(text) + CASE WHEN conv_id % 3 = 0 THEN 5 ELSE 0 END) / 4))::BIGINT AS n_tokens
+      FROM conversations GROUP BY conv_id"""
     for name, severity, hit in (
         ("q_verdicts", "low", 1), ("q_verdicts_hook", "low", 2), ("q_gate_critical", "critical", 2)
     ):
@@ -363,6 +376,16 @@ def oracle_sql() -> dict[str, str]:
     sql["q_latest_state"] = """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id
         ORDER BY ts DESC, event_id DESC) AS rn FROM events)
       SELECT user_id, event_id, ts, event_type, value FROM n WHERE rn = 1 AND event_type <> 'error'"""
+    sql["q_rescan_policy"] = f"""{ctes(DOCS, "doc_id", None, "critical")}
+      SELECT doc_id, count(type)::INT AS n_findings FROM src LEFT JOIN found USING (doc_id) GROUP BY doc_id"""
+    sql["q_file_run"] = f"""{ctes(DOCS, "doc_id")}
+      SELECT doc_id, (CASE WHEN doc_id IN (SELECT doc_id FROM found) THEN 1 ELSE 0 END)::INT AS verdict
+      FROM src UNION ALL SELECT -1, 3"""
+    sql["q_sinks"] = redact_safe(
+        DOCS, "doc_id",
+        "doc_id, coalesce(n_redacted, 0)::INT AS n_findings, coalesce(n_redacted, 0) = 0 AS clean, "
+        "coalesce(redacted, text) AS redacted",
+    )
     sql["q_stream_scan"] = flat(CONV, "conv_id, turn")
     sql["q_block_latch"] = f"""{per_conv},
       first_turn AS (SELECT conv_id, min(turn) AS t FROM found GROUP BY conv_id)

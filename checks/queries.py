@@ -12,15 +12,16 @@ from checks.spikes import CONVERSATIONS, DOCUMENTS, PAGES
 from inkveil.functions import patterns
 from inkveil.functions.cards import digits_of, issuer, passes_luhn
 from inkveil.functions.detect import detections_sql
-from inkveil.functions.detectors import Detector, entropy_detector
+from inkveil.functions.detectors import entropy_detector, register_detector
 from inkveil.functions.entropy import rejection, shannon_entropy
 from inkveil.operators import gate, intercept, report, summary
 from inkveil.operators.redact import redacted
 from inkveil.operators.scan import findings, order_findings, overlaps, scan, with_scheme
 from inkveil.plans.policy import ScanPolicy
 from inkveil.session import shared_folder
-from inkveil.sources.files import read_listed
-from inkveil.sources.tables import read_table, spread
+from inkveil.sources import sinks
+from inkveil.sources.files import judge_listed, list_files, read_texts
+from inkveil.sources.tables import read_table
 from inkveil.streaming.debounce import last_of_bursts, last_of_bursts_stream
 from inkveil.streaming.latch import BlockLatch
 from inkveil.streaming.latest import LatestFindings, latest_per_key
@@ -33,7 +34,7 @@ TWO_HOURS_MS = 2 * 60 * 60 * 1000
 
 # --- inputs -----------------------------------------------------------------
 def raw_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return read_table(spark, sf, "documents").select("doc_id", "text")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +42,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    table = spread(read_table(spark, sf, "pages"))
+    table = read_table(spark, sf, "pages")
     return table.select("page_id", "url", F.expr(PAGES).alias("text"))
 
 
@@ -50,7 +51,7 @@ def with_spikes(conversations: DataFrame) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    return with_spikes(spread(read_table(spark, sf, "conversations")))
+    return with_spikes(read_table(spark, sf, "conversations"))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +114,8 @@ def q_entropy_low_threshold(spark: SparkSession, sf: str) -> DataFrame:
     found = F.expr(detections_sql("text", [(0, entropy_detector(3.5))]))
     return (
         documents(spark, sf)
-        .select("doc_id", F.explode(found).alias("d"))
+        .select("doc_id", F.explode_outer(found).alias("d"))
+        .where(F.col("d").isNotNull())
         .select("doc_id", "d.start", "d.end", "d.value")
         .select("doc_id", "start", "end", shannon_entropy("value").alias("bits"))
     )
@@ -151,7 +153,8 @@ def q_offsets(spark: SparkSession, sf: str) -> DataFrame:
     """Positions in code points and UTF-16 units, from two scans of the same row."""
     base = documents(spark, sf)
     both = scan(scan(base).withColumnRenamed("detections", "points"), utf16=True)
-    rows = both.select("doc_id", "text", F.explode(F.arrays_zip("points", "detections")).alias("z"))
+    zipped = F.explode_outer(F.arrays_zip("points", "detections")).alias("z")
+    rows = both.select("doc_id", "text", zipped).where(F.col("z").isNotNull())
     points = F.col("z.points")
     value = F.substring(F.col("text"), points["start"] + 1, points["end"] - points["start"])
     return rows.select(
@@ -178,9 +181,13 @@ def min_severity(level: str) -> Query:
 
 
 def q_ordered_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings are written before they are sorted: a range sort reads its input twice."""
     nested = scan(documents(spark, sf))
-    flat = nested.select("doc_id", F.posexplode("detections").alias("pos", "d"))
-    ordered = order_findings(flat.select("doc_id", "pos", "d.*"), ["doc_id"])
+    flat = nested.select("doc_id", F.posexplode_outer("detections").alias("pos", "d"))
+    flat = flat.where(F.col("pos").isNotNull()).select("doc_id", "pos", "d.*")
+    place = f"{_workspace(spark)}/found"
+    flat.drop("value").write.parquet(place)
+    ordered = order_findings(spark.read.schema(flat.drop("value").schema).parquet(place), ["doc_id"])
     return ordered.select("doc_id", (F.col("pos") + 1).alias("nth"), "type", "start")
 
 
@@ -192,34 +199,24 @@ def q_detector_catalog(spark: SparkSession, sf: str) -> DataFrame:
     return summary.catalog_coverage(documents(spark, sf))
 
 
-def q_size_guard(spark: SparkSession, sf: str) -> DataFrame:
-    policy = ScanPolicy.documents().with_(max_chars=2000)
-    return scan(documents(spark, sf), "text", policy).select(
-        "doc_id", "text_length", "skipped", F.size("detections").alias("n_findings")
-    )
-
-
 def q_scheme_filter(spark: SparkSession, sf: str) -> DataFrame:
     wanted = with_scheme(pages(spark, sf), "url", ("file", "untitled", "https"))
     return findings(wanted, ["page_id"])
 
 
 def q_custom_detector(spark: SparkSession, sf: str) -> DataFrame:
-    word = Detector(
+    word = register_detector(
         "capital-tion",
-        "pii",
-        "low",
-        "word",
-        pattern=r"(?<!\w)[A-Z][a-z]+tion(?!\w)",
-        literals=("tion",),
-        check="CASE WHEN length(value) % 2 = 0 THEN 'even word' END",
-    )
-    found = F.expr(detections_sql("text", [(14, word)]))
-    return (
-        raw_documents(spark, sf)
-        .select("doc_id", F.explode(found).alias("d"))
-        .select("doc_id", "d.type", "d.severity", "d.value")
+        r"(?<!\w)[A-Z][a-z]+tion(?!\w)",
+        category="pii",
+        severity="low",
+        message="word",
+        literals=["tion"],
+        accept="length(value) % 2 = 0",
     )
+    policy = ScanPolicy(enabled=(), extra=(word,))
+    found = findings(raw_documents(spark, sf), ["doc_id"], "text", policy)
+    return found.select("doc_id", "type", "severity", "value")
 
 
 # --- redaction --------------------------------------------------------------
@@ -286,7 +283,7 @@ def q_unreadable_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Order keys as the sources asked for, documents as the texts that could be read."""
     asked = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("source")).distinct()
     texts = documents(spark, sf).withColumnRenamed("doc_id", "source")
-    judged = gate.verdicts(read_listed(asked, texts), unreadable=F.col("unreadable"))
+    judged = judge_listed(asked, gate.verdicts(texts))
     return judged.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -324,6 +321,22 @@ def q_token_estimate(spark: SparkSession, sf: str) -> DataFrame:
     return intercept.conversation_tokens(read_table(spark, sf, "conversations"))
 
 
+def with_emoji(sf_table: DataFrame, key: str) -> DataFrame:
+    """Characters outside the basic plane in front of every third text."""
+    prefix = F.when(F.col(key) % 3 == 0, F.lit("\U0001f600\U0001f680 ")).otherwise("")
+    return sf_table.withColumn("text", F.concat(prefix, "text"))
+
+
+def q_token_estimate_utf16(spark: SparkSession, sf: str) -> DataFrame:
+    table = with_emoji(read_table(spark, sf, "conversations"), "conv_id")
+    return intercept.conversation_tokens(table, utf16=True)
+
+
+def q_json_report_utf16(spark: SparkSession, sf: str) -> DataFrame:
+    texts = with_emoji(documents(spark, sf), "doc_id")
+    return report.json_report(texts, ["doc_id"], F.col("doc_id"), utf16=True)
+
+
 # --- summaries --------------------------------------------------------------
 def q_count_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return summary.count_by_type(documents(spark, sf))
@@ -353,7 +366,9 @@ def q_debounce_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_debounce_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """The session windows of the stream, here over the table in batch."""
-    last = last_of_bursts_stream(events(spark, sf), "user_id", "ts", "event_id", TWO_HOURS_MS)
+    last = last_of_bursts_stream(
+        events(spark, sf), "user_id", "ts", "event_id", TWO_HOURS_MS, delay="10 seconds"
+    )
     return last.select("event_id", "user_id", "ts", "event_type")
 
 
@@ -401,6 +416,51 @@ def q_latest_findings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_rescan_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """All open documents scanned again after a change of policy."""
+    place = _workspace(spark)
+    texts = documents(spark, sf).withColumn("version", F.lit(1))
+    table = LatestFindings(f"{place}/table", ["doc_id"], ["version"])
+    table(texts, 0)
+    severe = table.rescan(texts, 1, ScanPolicy.documents().with_(min_severity="critical"))
+    return severe.read(spark).select("doc_id", F.size("detections").alias("n_findings"))
+
+
+def q_file_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts written as files, listed, read whole, judged; one listed file is not there."""
+    place = f"{_workspace(spark)}/files"
+    documents(spark, sf).write.partitionBy("doc_id").text(place)
+    listed = list_files(spark, place).select("source")
+    missing = spark.range(1).select(F.lit(f"{place}/doc_id=-1/missing.txt").alias("source"))
+    judged = judge_listed(listed.unionByName(missing), gate.verdicts(read_texts(spark, place)))
+    number = F.regexp_extract("source", "doc_id=(-?[0-9]+)", 1).cast("long")
+    return judged.select(number.alias("doc_id"), "verdict")
+
+
+def q_sinks(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings, JSON report and redacted texts, written and read back."""
+    place = _workspace(spark)
+    texts = documents(spark, sf)
+    sinks.write_findings(findings(texts, ["doc_id"]), f"{place}/found")
+    sinks.write_json_report(
+        report.json_report(texts, ["doc_id"], F.col("doc_id")), f"{place}/json"
+    )
+    sinks.write_redacted(redacted(texts), f"{place}/redacted")
+    found = spark.read.parquet(f"{place}/found").groupBy("doc_id").agg(F.count("*").alias("found"))
+    lines = spark.read.schema("source string, clean boolean").json(f"{place}/json")
+    clean = spark.read.parquet(f"{place}/redacted")
+    return (
+        clean.join(found, "doc_id", "left")
+        .join(lines.withColumn("doc_id", F.col("source").cast("long")), "doc_id")
+        .select(
+            "doc_id",
+            F.coalesce("found", F.lit(0)).cast("int").alias("n_findings"),
+            "clean",
+            "redacted",
+        )
+    )
+
+
 def queries() -> dict[str, Query]:
     detectors = {
         "q_email": one_detector("email", raw_documents),

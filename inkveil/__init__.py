@@ -6,7 +6,6 @@ from inkveil.functions.detectors import (
     Detector,
     detector_catalog,
     register_detector,
-    unregister_detector,
 )
 from inkveil.functions.entropy import shannon_entropy
 from inkveil.functions.redaction import only, redact
@@ -30,5 +29,4 @@ __all__ = [
     "register_detector",
     "scan",
     "shannon_entropy",
-    "unregister_detector",
 ]

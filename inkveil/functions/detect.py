@@ -50,8 +50,13 @@ def _pattern_sql(d: Detector) -> str:
     return literal(d.pattern)
 
 
+def _searched(text: str, d: Detector) -> str:
+    """The part of the text that a pattern is searched in."""
+    return let("text", text, d.within) if d.within else text
+
+
 def _matches(text: str, d: Detector, group: int = 0) -> str:
-    return f"regexp_extract_all({text}, {_pattern_sql(d)}, {group})"
+    return f"regexp_extract_all({_searched(text, d)}, {_pattern_sql(d)}, {group})"
 
 
 def _spans(text: str, d: Detector) -> str:
@@ -63,7 +68,10 @@ def _hit(text: str, slot: int, d: Detector) -> str:
     """Matches of one detector: ``slot``, ``found`` and, from a finder, the ``gaps``."""
     if d.pattern:
         found = _matches(text, d)
-        return struct(slot=str(slot), found=found, gaps="cast(NULL AS array<string>)")
+        gaps = "cast(NULL AS array<string>)"
+        if d.within:
+            gaps = f"split({_searched(text, d)}, {_pattern_sql(d)}, -1)"
+        return struct(slot=str(slot), found=found, gaps=gaps)
     values = f"transform(_spans, _s -> substring({text}, _s.start + 1, _s.end - _s.start))"
     before = "CASE WHEN _i = 0 THEN 0 ELSE _spans[_i - 1].end END"
     gaps = f"transform(_spans, (_s, _i) -> substring({text}, {before} + 1, _s.start - {before}))"
@@ -178,7 +186,7 @@ def detections_sql(text: str, chosen: Chosen, utf16: bool = False) -> str:
 
 def detections(
     text: str,
-    enabled: Iterable[str] | None = None,
+    enabled: Iterable[str | Detector] | None = None,
     min_severity: str = "low",
     *,
     utf16: bool = False,
@@ -205,7 +213,7 @@ def _count(text: str, d: Detector) -> str:
 
 
 def finding_count(
-    text: str, enabled: Iterable[str] | None = None, min_severity: str = "low"
+    text: str, enabled: Iterable[str | Detector] | None = None, min_severity: str = "low"
 ) -> Column:
     """Number of findings in a text column, without working out their positions."""
     sums = []
@@ -218,7 +226,7 @@ def finding_count(
 
 
 def counts_by_type(
-    text: str, enabled: Iterable[str] | None = None, min_severity: str = "low"
+    text: str, enabled: Iterable[str | Detector] | None = None, min_severity: str = "low"
 ) -> Column:
     """``array<struct<ordinal, type, category, severity, n_findings>>`` of the types found."""
     nothing = empty_array(TYPE_COUNT)
@@ -246,7 +254,7 @@ def counts_by_type(
 
 def _present(text: str, d: Detector) -> str:
     if d.pattern and not d.check:
-        test = f"rlike({text}, {_pattern_sql(d)})"
+        test = f"rlike({_searched(text, d)}, {_pattern_sql(d)})"
     else:
         test = f"{_count(text, d)} > 0"
     guard = _literal_test(text, d)
@@ -254,7 +262,7 @@ def _present(text: str, d: Detector) -> str:
 
 
 def has_findings(
-    text: str, enabled: Iterable[str] | None = None, min_severity: str = "low"
+    text: str, enabled: Iterable[str | Detector] | None = None, min_severity: str = "low"
 ) -> Column:
     """Whether a text column has any finding; stops at the first.
 

@@ -39,6 +39,9 @@ class Detector:
     ``check`` is SQL text over ``value`` that gives the message of a match, or
     NULL to reject it.
 
+    ``within`` is SQL text over ``text`` that gives the beginning of the text that
+    holds all matches, where searching the rest would cost too much.
+
     ``finder`` replaces the pattern by SQL text over ``text`` that gives an
     ``array<struct<start:int,end:int>>`` of spans, in order and not overlapping.
     """
@@ -54,6 +57,7 @@ class Detector:
     check: str | None = None
     finder: str | None = None
     screen: str | None = None
+    within: str | None = None
 
     def __post_init__(self) -> None:
         severity_rank(self.severity)
@@ -194,8 +198,9 @@ BUILT_IN: tuple[Detector, ...] = (
         "SSH private keys (RSA, ED25519)",
         P.PRIVATE_KEY_BLOCK,
         ("-----END ",),
+        within=f"regexp_extract(text, {literal(P.UP_TO_LAST_KEY)}, 0)",
     ),
-    Detector("jwt", "token", "high", "JWT token detected", "JWT tokens", P.JWT, (".eyJ",)),
+    Detector("jwt", "token", "high", "JWT token detected", "JWT tokens", P.JWT, (".eyJ",), 1),
     Detector(
         "db-connection-string",
         "credential",
@@ -225,43 +230,41 @@ def register_detector(
     accept: str | None = None,
     finder: str | None = None,
 ) -> Detector:
-    """Add a detector after the built-in ones.
+    """A detector of your own, to be run by the policies that carry it::
+
+        ScanPolicy(extra=(register_detector("order-id", "ORD-[0-9]+"),))
 
     ``accept`` is a condition over ``value`` in SQL text, such as
     ``"length(value) > 8"``; matches that do not meet it are dropped.
     """
     if name in DETECTORS:
-        raise ValueError(f"detector {name!r} exists already")
+        raise ValueError(f"detector {name!r} is built in")
     text = message or f"{name} detected"
     check = None if accept is None else f"CASE WHEN {accept} THEN {literal(text)} END"
-    detector = Detector(
+    return Detector(
         name, category, severity, text, description, pattern, tuple(literals), group, check, finder
     )
-    DETECTORS[name] = detector
-    return detector
-
-
-def unregister_detector(name: str) -> None:
-    if any(d.name == name for d in BUILT_IN):
-        raise ValueError(f"{name!r} is built in")
-    DETECTORS.pop(name, None)
 
 
 def selected(
-    enabled: Iterable[str] | None = None, min_severity: str = "low"
+    enabled: Iterable[str | Detector] | None = None, min_severity: str = "low"
 ) -> list[tuple[int, Detector]]:
     """Detectors to put into the plan, with their ordinals.
 
-    ``enabled=None`` means all, an empty list none; unknown names are ignored.
-    A detector has one severity, so the threshold is settled here as well.
+    ``enabled=None`` means all built-in ones, an empty list none; unknown names are
+    ignored, detectors that are not built in are taken as they are, in order.  A
+    detector has one severity, so the threshold is settled here as well.
     """
     floor = severity_rank(min_severity)
-    names = None if enabled is None else set(enabled)
-    return [
-        (ordinal, d)
-        for ordinal, d in enumerate(DETECTORS.values())
-        if (names is None or d.name in names) and severity_rank(d.severity) >= floor
-    ]
+    listed = list(DETECTORS) if enabled is None else list(enabled)
+    extra = [d for d in listed if isinstance(d, Detector)]
+    names = {d for d in listed if isinstance(d, str)}
+    own = [d.name for d in extra]
+    if len(set(own)) < len(own) or set(own) & set(DETECTORS):
+        raise ValueError(f"names of detectors must differ: {own}")
+    chosen = [entry for entry in enumerate(DETECTORS.values()) if entry[1].name in names]
+    chosen += enumerate(extra, len(DETECTORS))
+    return [(ordinal, d) for ordinal, d in chosen if severity_rank(d.severity) >= floor]
 
 
 def detector_catalog(spark: SparkSession) -> DataFrame:

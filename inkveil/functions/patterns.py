@@ -66,14 +66,20 @@ GOOGLE_OAUTH_SECRET = (
     rf"[{SPACE}]*+[\"']?({BASE64URL}{{24,}}+)"
 )
 
+PRIVATE_KEY_END = r"-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"
 PRIVATE_KEY_BLOCK = (
-    r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----[\s\S]*?"
-    r"-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"
+    r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----[\s\S]*?" + PRIVATE_KEY_END
 )
+# the text up to its last end line: behind it a begin line would be searched in vain, each
+# to the end of the text
+UP_TO_LAST_KEY = rf"(?s)\A.*{PRIVATE_KEY_END}"
 
+JWT_TAIL = rf"\.eyJ{BASE64URL}{{10,}}+\.{BASE64URL}{{10,}}(?<={WORD}){WORD_ENDS}"
+# tried once per run of characters: the look-ahead asks for the tail behind the run, only
+# then is the first `eyJ` in it looked for; the token is group 1
 JWT = (
-    rf"eyJ(?<!{WORD}eyJ){BASE64URL}{{10,}}+\.eyJ{BASE64URL}{{10,}}+\."
-    rf"{BASE64URL}{{10,}}(?<={WORD}){WORD_ENDS}"
+    rf"(?<!{BASE64URL})(?={BASE64URL}{{13,}}+{JWT_TAIL}){BASE64URL}*?"
+    rf"((?<!{WORD})eyJ{BASE64URL}{{10,}}+{JWT_TAIL})"
 )
 
 DATABASE_URL = (

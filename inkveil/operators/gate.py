@@ -6,22 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions.detect import has_findings
-from inkveil.operators.scan import too_long
 from inkveil.plans.policy import ScanPolicy
 
 # --- fixed values: verdicts --------------------------------------------------
 CLEAN, FINDINGS, BLOCK, UNREADABLE = 0, 1, 2, 3
+# ours: nothing was looked for, so nothing can be said
+NOT_SCANNED = 4
 
 
 def verdict(
     text: str, policy: ScanPolicy, *, hook: bool = False, unreadable: Column | None = None
 ) -> Column:
-    """0 clean, 1 findings (2 with ``hook``), 3 if the text could not be read.
+    """0 clean, 1 findings (2 with ``hook``), 3 if the text could not be read,
+    4 under a policy that is not active.
 
     Asks only whether there is a finding, and stops at the first.
     """
-    dirty = has_findings(text, policy.detectors, policy.min_severity) & ~too_long(text, policy)
-    result = F.when(dirty, BLOCK if hook else FINDINGS).otherwise(CLEAN)
+    if policy.active:
+        dirty = has_findings(text, policy.detectors, policy.min_severity)
+        result = F.when(dirty, BLOCK if hook else FINDINGS).otherwise(CLEAN)
+    else:
+        result = F.lit(NOT_SCANNED)
     return result if unreadable is None else F.when(unreadable, UNREADABLE).otherwise(result)
 
 

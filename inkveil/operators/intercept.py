@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.detect import has_findings
 from inkveil.functions.redaction import redact
+from inkveil.functions.sqltext import column, expr
+from inkveil.functions.text import text_length
 from inkveil.operators.joins import join_per_key
 from inkveil.operators.scan import policy_count, policy_detections
 from inkveil.operators.summary import summary_text
@@ -169,15 +171,19 @@ def check_prompts(
     )
 
 
-def token_estimate(text: str) -> Column:
-    """Rough number of tokens of a text."""
-    chars = F.coalesce(F.length(F.col(text)), F.lit(0))
+def token_estimate(text: str, utf16: bool = False) -> Column:
+    """Rough number of tokens of a text, from its code points or UTF-16 units."""
+    chars = F.coalesce(expr(text_length(column(text), utf16)), F.lit(0))
     return F.ceil(chars / CHARS_PER_TOKEN).cast("long")
 
 
 def conversation_tokens(
-    messages: DataFrame, conversation: str = "conv_id", text: str = "text"
+    messages: DataFrame,
+    conversation: str = "conv_id",
+    text: str = "text",
+    *,
+    utf16: bool = False,
 ) -> DataFrame:
     return messages.groupBy(conversation).agg(
-        F.sum(token_estimate(text)).alias("n_tokens"), F.count(F.lit(1)).alias("n_messages")
+        F.sum(token_estimate(text, utf16)).alias("n_tokens"), F.count(F.lit(1)).alias("n_messages")
     )

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from inkveil.operators.scan import policy_count, policy_detections, with_line_numbers
 from inkveil.plans.policy import ScanPolicy
 
+# --- fixed value: width of a severity label -----------------------------------
 LABEL_WIDTH = 10
 
+#: characters that are two units in UTF-16
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
+
 
 def severity_label(severity: Column) -> Column:
     return F.rpad(F.concat(F.lit("["), F.upper(severity), F.lit("]")), LABEL_WIDTH, " ")
@@ -49,6 +53,7 @@ def marked_lines(
         F.repeat(F.lit(" "), F.col("col")),
         F.repeat(F.lit("^"), F.greatest(F.lit(1), marked_to - F.col("col"))),
     )
+    # fixed wording of an entry
     entry = F.concat(
         F.lit("  "), severity_label(F.col("severity")), F.lit(" "), F.col("message"),
         F.lit("\n    "), F.col("source"), F.lit(":"), F.col("line").cast("string"),
@@ -79,6 +84,7 @@ def headlines(
     counted = df.select(
         *keys, source.cast("string").alias("source"), policy_count(text, policy).alias("_n")
     )
+    # fixed wording of a headline
     clean = F.concat(F.col("source"), F.lit(": clean"))
     dirty = F.concat(F.col("source"), F.lit(": "), F.col("_n").cast("string"), F.lit(" finding(s)"))
     return counted.withColumn("headline", F.when(F.col("_n") == 0, clean).otherwise(dirty)).drop("_n")
@@ -90,8 +96,15 @@ def json_report(
     source: Column,
     text: str = "text",
     policy: ScanPolicy | None = None,
+    *,
+    utf16: bool = False,
 ) -> DataFrame:
-    """One JSON object per source, in the column ``report``."""
+    """One JSON object per source, in the column ``report``.
+
+    Positions are code points, or UTF-16 units with ``utf16``.  Both are the same for
+    almost all texts; only those with characters outside the basic plane are scanned
+    for units as well.
+    """
     policy = policy or ScanPolicy.batch()
     scanned = with_line_numbers(
         df.select(
@@ -102,6 +115,19 @@ def json_report(
         ),
         text,
     )
+    if utf16:
+        units = F.when(F.col(text).rlike(ASTRAL), policy_detections(text, policy, utf16=True))
+        scanned = scanned.withColumn("_units", units).withColumn(
+            "detections",
+            F.when(
+                F.col("_units").isNotNull(),
+                F.zip_with(
+                    "detections",
+                    "_units",
+                    lambda d, u: d.withField("start", u["start"]).withField("end", u["end"]),
+                ),
+            ).otherwise(F.col("detections")),
+        )
     listed = F.transform(
         "detections",
         lambda d: F.struct(

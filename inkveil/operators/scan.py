@@ -10,30 +10,18 @@ from pyspark.sql import functions as F
 from inkveil.functions.detect import detections, finding_count
 from inkveil.functions.detectors import SEVERITIES, severity_rank
 from inkveil.functions.redaction import covering_sql
-from inkveil.functions.sqltext import column, empty_array, expr, struct
-from inkveil.functions.text import DETECTION, pieces, text_length, with_lines
+from inkveil.functions.sqltext import column, expr, struct
+from inkveil.functions.text import pieces, text_length, with_lines
 from inkveil.plans.policy import DOCUMENT_SCHEMES, ScanPolicy
 
 
-def too_long(text: str, policy: ScanPolicy) -> Column:
-    if policy.max_chars is None:
-        return F.lit(False)
-    return F.coalesce(F.length(F.col(text)) > policy.max_chars, F.lit(False))
-
-
 def policy_detections(text: str, policy: ScanPolicy, utf16: bool = False) -> Column:
-    found = detections(text, policy.detectors, policy.min_severity, utf16=utf16)
-    if policy.max_chars is None:
-        return found
-    return F.when(too_long(text, policy), expr(empty_array(DETECTION))).otherwise(found)
+    return detections(text, policy.detectors, policy.min_severity, utf16=utf16)
 
 
 def policy_count(text: str, policy: ScanPolicy) -> Column:
     """Number of findings under a policy; cheaper than the findings themselves."""
-    found = finding_count(text, policy.detectors, policy.min_severity)
-    if policy.max_chars is None:
-        return found
-    return F.when(too_long(text, policy), F.lit(0)).otherwise(found)
+    return finding_count(text, policy.detectors, policy.min_severity)
 
 
 def one_row_each(df: DataFrame, keys: Sequence[str], found: str) -> DataFrame:
@@ -54,7 +42,7 @@ def scan(
     *,
     utf16: bool = False,
 ) -> DataFrame:
-    """Add ``detections``, ``text_length``, ``skipped`` and ``scanned_at`` to every row.
+    """Add ``detections``, ``text_length`` and ``scanned_at`` to every row.
 
     A narrow projection: rows stay in their partitions, in batch and in streams.
     """
@@ -63,7 +51,6 @@ def scan(
         {
             "detections": policy_detections(text, policy, utf16),
             "text_length": F.coalesce(expr(text_length(column(text), utf16)), F.lit(0)),
-            "skipped": too_long(text, policy),
             "scanned_at": F.current_timestamp(),
         }
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions.detect import counts_by_type
 from inkveil.functions.detectors import detector_catalog
-from inkveil.operators.scan import one_row_each, policy_count, policy_detections, too_long
+from inkveil.operators.scan import one_row_each, policy_count, policy_detections
 from inkveil.plans.policy import DISPLAY_LEVELS, ScanPolicy
 
 
@@ -26,9 +26,8 @@ def type_counts(
 ) -> DataFrame:
     """One row per input row and type found: ordinal, type, category, severity, n_findings."""
     policy = policy or ScanPolicy()
-    scanned = df if policy.max_chars is None else df.where(~too_long(text, policy))
     counts = counts_by_type(text, policy.detectors, policy.min_severity)
-    return one_row_each(scanned.select(*keys, counts.alias("_counts")), keys, "_counts")
+    return one_row_each(df.select(*keys, counts.alias("_counts")), keys, "_counts")
 
 
 def count_by_type(
@@ -58,6 +57,7 @@ def count_by_type_severity(
 
 def summary_line(kind: Column, severity: Column, n: Column) -> Column:
     mark = F.when(severity == "critical", "error").otherwise("warning")
+    # fixed wording of a line
     return F.concat(
         F.lit("- $("), mark, F.lit(") **"), kind, F.lit(" ("), severity, F.lit(")**: "),
         n.cast("string"), F.lit(" occurrence"), F.when(n > 1, "s").otherwise(""),

@@ -5,27 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from inkveil.functions.detectors import severity_rank
+from inkveil.functions.detectors import BUILT_IN, Detector, severity_rank
 
-# --- fixed values: limits and display levels --------------------------------
-MAX_DOCUMENT_CHARS = 1_000_000
+# --- fixed values: schemes and display levels -------------------------------
 DOCUMENT_SCHEMES = ("file", "untitled")
 DISPLAY_LEVELS = ("information", "warning", "error")
 
 
 @dataclass(frozen=True)
 class ScanPolicy:
-    """Detectors to run, lowest severity to report, longest text to scan.
+    """Detectors to run and lowest severity to report.
 
-    ``enabled=None`` runs all detectors.  Texts over ``max_chars`` are kept in
-    the result, but flagged as skipped instead of scanned.  A policy that is
-    not ``active`` scans nothing.
+    ``enabled=None`` runs all built-in detectors.  ``extra`` are detectors of the
+    caller's own; they come after the built-in ones.  A policy that is not
+    ``active`` scans nothing, and no verdict is given under it.
     """
 
     enabled: tuple[str, ...] | None = None
     min_severity: str = "low"
-    max_chars: int | None = None
     active: bool = True
+    extra: tuple[Detector, ...] = ()
 
     def __post_init__(self) -> None:
         severity_rank(self.min_severity)
@@ -33,8 +32,14 @@ class ScanPolicy:
             object.__setattr__(self, "enabled", tuple(self.enabled))
 
     @property
-    def detectors(self) -> tuple[str, ...] | None:
-        return self.enabled if self.active else ()
+    def detectors(self) -> tuple[str | Detector, ...] | None:
+        """What to hand to the column functions as ``enabled``."""
+        if not self.active:
+            return ()
+        if not self.extra:
+            return self.enabled
+        names = tuple(d.name for d in BUILT_IN) if self.enabled is None else self.enabled
+        return (*names, *self.extra)
 
     def with_(self, **changes: object) -> ScanPolicy:
         return replace(self, **changes)
@@ -42,7 +47,7 @@ class ScanPolicy:
     @classmethod
     def documents(cls, enabled: Iterable[str] = ()) -> ScanPolicy:
         """Documents while they are edited; an empty list of detectors means all."""
-        return cls(tuple(enabled) or None, "medium", MAX_DOCUMENT_CHARS)
+        return cls(tuple(enabled) or None, "medium")
 
     @classmethod
     def chat(cls, enabled: Iterable[str] = ()) -> ScanPolicy:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -31,16 +29,11 @@ def session(app: str = "inkveil", master: str | None = None, **settings: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see, named by the cluster.
+    """The folder that all executors see, named by the cluster or by the caller.
 
-    Only where none is named (tests in local mode) a temporary one is made.
+    It is ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkveil-"))
-        folder = spark.sparkContext.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     return folder

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkveil.operators.gate import UNREADABLE
+
 
 def read_texts(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
     """``source`` and ``text`` of every file under ``path``.
 
     Bytes that are not UTF-8 become replacement characters.  Files that cannot
-    be read are left out; :func:`read_listed` finds out which.
+    be read are left out; :func:`judge_listed` finds out which.
     """
     reader = (
         spark.read.option("recursiveFileLookup", True)
@@ -38,12 +40,13 @@ def list_files(spark: SparkSession, path: str | list[str], pattern: str | None =
     )
 
 
-def read_listed(expected: DataFrame, texts: DataFrame) -> DataFrame:
-    """The expected sources with their texts; ``unreadable`` where there is none.
+def judge_listed(expected: DataFrame, judged: DataFrame) -> DataFrame:
+    """``source, verdict`` of the expected sources; unreadable where no text was judged.
 
     ``expected`` has a column ``source``: a listing, or the paths someone asked
-    for.  Sources are unique on both sides, so the join has no hot key.
+    for; ``judged`` the verdicts of the texts that were read.  Only names and numbers
+    are joined, texts are not.  Sources are unique on both sides: no hot key.
     """
-    known = texts.withColumn("_read", F.lit(True))
-    joined = expected.select("source").join(known, "source", "left")
-    return joined.withColumn("unreadable", F.col("_read").isNull()).drop("_read")
+    verdicts = judged.select("source", "verdict")
+    joined = expected.select("source").join(verdicts, "source", "left")
+    return joined.withColumn("verdict", F.coalesce("verdict", F.lit(UNREADABLE)))

@@ -4,30 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SMALL_INPUT = (1 << 19, 1 << 30)
-
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def planned_bytes(df: DataFrame) -> int | None:
-    """Spark's own estimate of the input size, None where it cannot be had."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, bounds: tuple[int, int] = SMALL_INPUT) -> DataFrame:
-    """Give all cores a share of a small input.
-
-    A file of one row group is one task, however long the scan takes per byte.
-    Inputs over the upper bound have row groups enough and are left alone, so
-    nothing large is ever shuffled here; tiny ones are not worth it.
-    """
-    smallest, largest = bounds
-    size = planned_bytes(df)
-    if size is None or not smallest <= size <= largest:
-        return df
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)

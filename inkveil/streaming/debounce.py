@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import TimestampNTZType
 
 # --- fixed value: quiet time after which a change is scanned ------------------
@@ -36,7 +37,8 @@ def last_of_bursts(
     """
     gap = gap_ms * 1000
     width = gap * SLICE_GAPS
-    own = F.floor(F.col("_us") / F.lit(width))
+    timeless = -1 - F.pmod(F.xxhash64(order), F.lit(1 << 20))  # rows without a time, spread out
+    own = F.coalesce(F.floor(F.col("_us") / F.lit(width)), timeless)
     own_slot = F.struct(own.alias("slice"), F.lit(False).alias("marker"))
     before_slot = F.struct((own - 1).alias("slice"), F.lit(True).alias("marker"))
     near_start = F.col("_us") - own * width <= gap
@@ -53,26 +55,45 @@ def last_of_bursts(
 
 
 def last_of_bursts_stream(
-    changes: DataFrame,
-    key: str,
-    ts: str,
-    order: str,
-    gap_ms: int = GAP_MS,
-    delay: str = "10 seconds",
+    changes: DataFrame, key: str, ts: str, order: str, gap_ms: int = GAP_MS, *, delay: str
 ) -> DataFrame:
     """The same for a stream: one row per burst, once the watermark has passed its end.
 
-    Bursts are session windows; the state per open burst is its last change
-    only.  Changes later than ``delay`` are dropped.  Works in batch as well.
+    Bursts are session windows, kept by key *and* slice of time: the state of a busy
+    key is many rows in many tasks, each the last change of an open burst in its
+    slice.  As in batch, changes near the start of a slice are copied to the slice
+    before; a burst there that ends with such a marker goes on in the next slice.
+
+    There is no rule for late data: ``delay`` says how late changes may come, and
+    :func:`dropped_late` counts those that came later.  Rows without a time have no
+    place in a stream of bursts and are left out.  Works in batch as well.
     """
-    changes.sparkSession.conf.set(
-        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
-    )
     columns = changes.columns
-    last = F.max_by(F.struct(*columns), F.struct(ts, order)).alias("_last")
-    bursts = (
+    gap = gap_ms * 1000
+    width = gap * SLICE_GAPS
+    own = F.floor(F.col("_us") / F.lit(width))
+    slot = lambda n, marker: F.struct(n.alias("slice"), F.lit(marker).alias("marker"))
+    near_start = F.col("_us") - own * width <= gap
+    slots = F.when(near_start, F.array(slot(own, False), slot(own - 1, True))).otherwise(
+        F.array(slot(own, False))
+    )
+    placed = (
         changes.withWatermark(ts, delay)
-        .groupBy(F.session_window(ts, f"{gap_ms} milliseconds"), key)
-        .agg(last)
+        .withColumn("_us", _micros(changes, ts))
+        .withColumn("_slot", F.explode_outer(slots))
+        .withColumn("_slice", F.col("_slot.slice"))
+    )
+    last = F.max_by(F.struct("_slot.marker", *columns), F.struct(ts, order)).alias("_last")
+    bursts = placed.groupBy(F.session_window(ts, f"{gap_ms} milliseconds"), key, "_slice").agg(last)
+    return bursts.where(~F.col("_last.marker")).select(
+        *[F.col(f"_last.{name}").alias(name) for name in columns]
+    )
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that a running or ended stream has dropped as later than its delay."""
+    return sum(
+        int(state["numRowsDroppedByWatermark"])
+        for progress in query.recentProgress
+        for state in progress["stateOperators"]
     )
-    return bursts.select(*[F.col(f"_last.{name}").alias(name) for name in columns])

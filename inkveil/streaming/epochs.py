@@ -1,0 +1,87 @@
+"""Keyed state of a stream as folders, of which a batch reads a bounded number.
+
+Batches are grouped into epochs.  Each batch writes its own folder of changes, so a
+batch that is run again overwrites its own only.  The first batch of an epoch folds
+the state before it into one snapshot.  A batch reads its epoch's snapshot and the
+changes of the epoch before itself, however long the stream has run.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BATCHES = 16
+
+
+class Epochs:
+    """``fold`` makes one row per key of rows with a column ``batch``; snapshots have -1 there."""
+
+    def __init__(self, path: str, fold: Callable[[DataFrame], DataFrame], batches: int = BATCHES):
+        self.path = path
+        self.fold = fold
+        self.batches = batches
+
+    def folder(self, batch_id: int) -> str:
+        return f"{self.path}/changes/epoch={batch_id // self.batches}/batch={batch_id}"
+
+    def write(self, changes: DataFrame, batch_id: int) -> None:
+        changes.write.mode("overwrite").parquet(self.folder(batch_id))
+
+    def written(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The changes of one batch, as they were written."""
+        return spark.read.parquet(self.folder(batch_id))
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        """The state that batches before this one have made; None if there is none."""
+        epoch = batch_id // self.batches
+        if epoch and batch_id % self.batches == 0:
+            folded = self.state(spark, epoch - 1).drop("batch")
+            folded.write.mode("overwrite").parquet(f"{self.path}/snapshots/epoch={epoch}")
+        return self._folded(spark, epoch, F.col("batch") < batch_id)
+
+    def state(self, spark: SparkSession, epoch: int | None = None) -> DataFrame:
+        """The state at the end of an epoch, or the present one."""
+        epoch = self._last_epoch(spark) if epoch is None else epoch
+        state = self._folded(spark, epoch, F.lit(True))
+        if state is None:
+            raise ValueError(f"no batch has been written to {self.path}")
+        return state
+
+    def _folded(self, spark: SparkSession, epoch: int, wanted) -> DataFrame | None:
+        parts = []
+        snapshot = self._read(spark, f"{self.path}/snapshots/epoch={epoch}") if epoch else None
+        if snapshot is not None:
+            parts.append(snapshot.withColumn("batch", F.lit(-1)))
+        changes = self._read(spark, f"{self.path}/changes/epoch={epoch}")
+        if changes is not None:
+            parts.append(changes.where(wanted))
+        return self.fold(reduce(DataFrame.unionByName, parts)) if parts else None
+
+    @staticmethod
+    def _read(spark: SparkSession, folder: str) -> DataFrame | None:
+        try:
+            return spark.read.option("basePath", folder).parquet(folder)
+        except AnalysisException as error:
+            if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
+
+    def _last_epoch(self, spark: SparkSession) -> int:
+        """Epochs have no holes, so the last one is found by doubling and halving."""
+
+        def exists(epoch: int) -> bool:
+            return self._read(spark, f"{self.path}/changes/epoch={epoch}") is not None
+
+        high = 1
+        while exists(high):
+            high *= 2
+        low = high // 2
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if exists(middle) else (low, middle)
+        return low

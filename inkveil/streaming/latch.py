@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from inkveil.functions.detect import has_findings
 from inkveil.operators.joins import join_per_key
 from inkveil.plans.policy import ScanPolicy
+from inkveil.streaming.epochs import BATCHES, Epochs
 
 
 class BlockLatch:
     """Decides on messages of a stream in ``foreachBatch``.
 
-    ``blocked`` holds the first bad turn of conversations, one folder per batch,
-    so that a batch that is run again gives the same.  Each batch adds its own
-    first bad turns and joins its messages with those of all batches so far.
-    Messages of a conversation are expected to arrive in order of their turns.
+    A conversation that an earlier batch has blocked is held, whatever the turn of a
+    message that arrives now; within a batch, messages from the first bad turn on
+    are.  What is kept is one row per blocked conversation (see
+    :class:`~inkveil.streaming.epochs.Epochs`), and a batch looks up its own
+    conversations only.
     """
 
     def __init__(
@@ -26,12 +28,17 @@ class BlockLatch:
         turn: str = "turn",
         text: str = "text",
         policy: ScanPolicy | None = None,
+        batches: int = BATCHES,
     ) -> None:
         self.path = path
         self.conversation = conversation
         self.turn = turn
         self.text = text
         self.policy = policy or ScanPolicy.interception()
+        self.state = Epochs(f"{path}/blocked", self._fold, batches)
+
+    def _fold(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(self.conversation).agg(F.min("blocked_turn").alias("blocked_turn"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -41,27 +48,31 @@ class BlockLatch:
             .groupBy(self.conversation)
             .agg(F.min(self.turn).alias("blocked_turn"))
         )
-        first.write.mode("overwrite").parquet(f"{self.path}/blocked/batch={batch_id}")
-        held = F.coalesce(F.col(self.turn) >= F.col("blocked_turn"), F.lit(False))
+        earlier = self.state.before(spark, batch_id)
+        self.state.write(first, batch_id)
+        own = self.state.written(spark, batch_id)
+        marks = [own.select(self.conversation, "blocked_turn", F.lit(False).alias("_earlier"))]
+        if earlier is not None:
+            present = batch.select(self.conversation).distinct()
+            known = earlier.join(present, self.conversation, "left_semi")
+            marks.append(
+                known.select(self.conversation, "blocked_turn", F.lit(True).alias("_earlier"))
+            )
+        known = marks[0] if len(marks) == 1 else marks[0].unionByName(marks[1])
+        known = known.groupBy(self.conversation).agg(
+            F.min("blocked_turn").alias("blocked_turn"), F.bool_or("_earlier").alias("_earlier")
+        )
+        held = F.col("_earlier") | (F.col(self.turn) >= F.col("blocked_turn"))
         decided = (
-            join_per_key(batch, self.blocked(spark, batch_id), self.conversation, "left")
-            .withColumn("held", held)
-            .drop("blocked_turn")
+            join_per_key(batch, known, self.conversation, "left")
+            .withColumn("held", F.coalesce(held, F.lit(False)))
+            .drop("blocked_turn", "_earlier")
         )
         decided.write.mode("overwrite").parquet(f"{self.path}/decided/batch={batch_id}")
 
-    def blocked(self, spark: SparkSession, up_to: int | None = None) -> DataFrame:
-        """First bad turn of every blocked conversation, up to a batch."""
-        folder = f"{self.path}/blocked"
-        stored = spark.read.option("basePath", folder).parquet(folder)
-        if up_to is not None:
-            stored = stored.where(F.col("batch") <= up_to)
-        return stored.groupBy(self.conversation).agg(F.min("blocked_turn").alias("blocked_turn"))
-
-    def compact(self, spark: SparkSession, path: str) -> BlockLatch:
-        """Fold the first bad turns into one folder at a new place and return the latch there."""
-        self.blocked(spark).write.mode("overwrite").parquet(f"{path}/blocked/batch=-1")
-        return BlockLatch(path, self.conversation, self.turn, self.text, self.policy)
+    def blocked(self, spark: SparkSession) -> DataFrame:
+        """First bad turn of every blocked conversation."""
+        return self.state.state(spark)
 
     def decided(self, spark: SparkSession) -> DataFrame:
         folder = f"{self.path}/decided"

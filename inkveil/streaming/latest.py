@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkveil.operators.scan import scan
 from inkveil.plans.policy import ScanPolicy
+from inkveil.streaming.epochs import BATCHES, Epochs
 
 
 def latest_per_key(
@@ -30,10 +31,10 @@ def latest_per_key(
 class LatestFindings:
     """Keyed table of the latest findings, fed by ``foreachBatch``.
 
-    Every micro-batch writes its own folder, under its batch number: a batch
-    that is run again overwrites its own folder only, and no batch rewrites the
-    table.  Reading keeps the last row per key; ``compact`` folds the folders
-    into one when there are many.
+    Every micro-batch writes its own folder of changes; snapshots keep the number of
+    folders that a read needs bounded (see :class:`~inkveil.streaming.epochs.Epochs`).
+    Closed documents stay in them as closed, so that a late change cannot bring back
+    an older state.
     """
 
     def __init__(
@@ -44,6 +45,7 @@ class LatestFindings:
         text: str = "text",
         closed: str | None = None,
         policy: ScanPolicy | None = None,
+        batches: int = BATCHES,
     ) -> None:
         self.path = path
         self.keys = list(keys)
@@ -51,6 +53,10 @@ class LatestFindings:
         self.text = text
         self.closed = closed
         self.policy = policy or ScanPolicy.documents()
+        self.state = Epochs(path, self._fold, batches)
+
+    def _fold(self, rows: DataFrame) -> DataFrame:
+        return latest_per_key(rows, self.keys, ["version", "batch"])
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         last = latest_per_key(batch, self.keys, self.order)
@@ -61,30 +67,29 @@ class LatestFindings:
             F.coalesce(is_closed, F.lit(False)).alias("closed"),
             F.transform("detections", lambda d: d.dropFields("value")).alias("detections"),
         )
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        self.state.before(batch.sparkSession, batch_id)  # folds the epoch before, if one ended
+        self.state.write(rows, batch_id)
 
     def under(self, policy: ScanPolicy) -> LatestFindings:
-        """The same table under a new policy; feed it all open documents to scan them again.
+        """The same table under a new policy."""
+        return LatestFindings(
+            self.path, self.keys, self.order, self.text, self.closed, policy, self.state.batches
+        )
 
-        A policy that is not active clears their findings.
-        """
-        return LatestFindings(self.path, self.keys, self.order, self.text, self.closed, policy)
+    def rescan(
+        self, documents: DataFrame, batch_id: int, policy: ScanPolicy
+    ) -> LatestFindings:
+        """Scan all open documents again under a new policy, as the batch of this number.
 
-    def _last(self, spark: SparkSession) -> DataFrame:
-        stored = spark.read.option("basePath", self.path).parquet(self.path)
-        return latest_per_key(stored, self.keys, ["version", "batch"])
+        ``documents`` have the present texts, with keys and order; those that are
+        closed here are left alone.  A policy that is not active clears all findings.
+        """
+        table = self.under(policy)
+        open_keys = self.read(documents.sparkSession).select(*self.keys)
+        table(documents.join(open_keys, self.keys, "left_semi"), batch_id)
+        return table
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The present findings of every open document."""
-        return self._last(spark).where(~F.col("closed")).select(
-            *self.keys, "version", "detections"
-        )
-
-    def compact(self, spark: SparkSession, path: str) -> LatestFindings:
-        """Fold all folders into one at a new place and return the table there.
-
-        Closed documents stay as closed, so that a late change cannot bring
-        back an older state.
-        """
-        self._last(spark).drop("batch").write.mode("overwrite").parquet(f"{path}/batch=-1")
-        return LatestFindings(path, self.keys, self.order, self.text, self.closed, self.policy)
+        state = self.state.state(spark)
+        return state.where(~F.col("closed")).select(*self.keys, "version", "detections")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from checks import duckdb_sql, queries
 from checks.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = queries.queries()
+SQL = duckdb_sql.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -8,8 +8,8 @@ from inkveil import findings, redacted
 from inkveil.operators import gate, report
 from inkveil.session import shared_folder
 from inkveil.sources import sinks
-from inkveil.sources.files import list_files, read_listed, read_texts
-from inkveil.sources.tables import planned_bytes, read_table, spread
+from inkveil.sources.files import judge_listed, list_files, read_texts
+from inkveil.sources.tables import read_table
 
 SF = "/root/testdata/sf0.01"
 
@@ -45,7 +45,7 @@ def test_missing_files_do_not_stop_the_run(spark, tmp_path):
     asked = list_files(spark, str(tmp_path)).select("source").union(
         spark.createDataFrame([("file:/nowhere/gone.txt",)], "source string")
     )
-    judged = gate.verdicts(read_listed(asked, texts), unreadable=F.col("unreadable"))
+    judged = judge_listed(asked, gate.verdicts(texts))
     rows = {r.f: r.verdict for r in judged.select(name("source").alias("f"), "verdict").collect()}
     assert rows == {"a.env": 1, "b.txt": 0, "bad.txt": 1, "gone.txt": 3}
     assert gate.run_verdict(judged).first().verdict == 3
@@ -72,13 +72,5 @@ def test_sinks(spark, texts, tmp_path):
     assert spark.read.text(str(tmp_path / "report"), wholetext=True).first().value.count("^") == 7
 
 
-def test_spread(spark):
-    documents = read_table(spark, SF, "documents")
-    assert spread(documents).rdd.getNumPartitions() > 1
-    assert spread(documents, (0, 10)) is documents
-    assert spread(read_table(spark, SF, "labels")).columns == ["doc_id", "quality", "toxic"]
-    assert planned_bytes(documents) > 100_000
-
-
 def test_shared_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")

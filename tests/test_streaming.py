@@ -45,10 +45,52 @@ def test_debounce(spark):
     rows, df = changes(spark)
     expected = brute_force(rows)
     assert ids(last_of_bursts(df, "key", "ts", "id")) == expected
-    assert ids(last_of_bursts_stream(df, "key", "ts", "id")) == expected
+    assert ids(last_of_bursts_stream(df, "key", "ts", "id", delay="1 minute")) == expected
     assert 100 < len(expected) < 500
 
 
+def test_state_is_read_in_bounded_parts(spark, tmp_path):
+    """Six epochs of three batches; each batch reads its epoch and one snapshot."""
+    table = LatestFindings(str(tmp_path), ["doc"], ["at"], batches=3)
+    for n in range(17):
+        rows = [(n % 5, n, f"a{n}@b.com"), (100 + n, n, "clean")]
+        df = spark.createDataFrame(rows, "doc long, at long, text string")
+        table(df, n)
+        if n in (4, 9):
+            table(df, n)
+        folders = table.state.before(spark, n + 1) if (n + 1) % 3 else None
+        if folders is not None:
+            read = {f.split("/batch=")[0] + f.count("batch=") * "b" for f in folders.inputFiles()}
+            assert len({f.rsplit("/", 1)[0] for f in folders.inputFiles()}) <= 3 + 1, read
+    last = {r.doc: r.version.at for r in table.read(spark).collect()}
+    assert last == {**{d: max(n for n in range(17) if n % 5 == d) for d in range(5)},
+                    **{100 + n: n for n in range(17)}}
+
+
+def test_latch_holds_by_arrival(spark, tmp_path):
+    latch = BlockLatch(str(tmp_path), batches=2)
+    batches = [[(1, 5, "mail a@b.com"), (2, 1, "clean")], [(1, 2, "late"), (2, 2, "x")], [(2, 3, "u@v.w")],
+               [(2, 1, "again"), (3, 1, "clean")]]
+    for n, rows in enumerate(batches):
+        latch(spark.createDataFrame(rows, "conv_id long, turn long, text string"), n)
+    held = {(r.conv_id, r.text): r.held for r in latch.decided(spark).collect()}
+    assert held == {(1, "mail a@b.com"): True, (2, "clean"): False, (1, "late"): True, (2, "x"): False,
+                    (2, "u@v.w"): True, (2, "again"): True, (3, "clean"): False}
+
+
+def test_debounce_without_time(spark):
+    rows = [(i, 1, None, "t") for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, key long, ts timestamp, text string")
+    assert ids(last_of_bursts(df, "key", "ts", "id")) == list(range(50))
+
+
+def test_debounce_stream_hot_key_is_split(spark):
+    _, df = changes(spark)
+    stream = last_of_bursts_stream(df, "key", "ts", "id", delay="1 minute")
+    plan = stream._jdf.queryExecution().executedPlan().toString()
+    assert "_slice" in plan.split("hashpartitioning(")[1].split(")")[0]
+
+
 def test_debounce_hot_key_is_split(spark):
     _, df = changes(spark)
     plan = last_of_bursts(df, "key", "ts", "id")._jdf.queryExecution().executedPlan().toString()
@@ -119,13 +161,17 @@ def test_latest_findings(spark, tmp_path):
     table(second, 1)
     table(second, 1)
     assert state(table) == {"x": 0, "z": 1}
-    folded = table.compact(spark, str(tmp_path / "b"))
-    assert state(folded) == {"x": 0, "z": 1}
+    folded = table
     folded(batch(("y", 1, "change", "late a@b.com"), ("z", 2, "change", "x@y.z u@v.w")), 2)
     assert state(folded) == {"x": 0, "z": 2}
-    high = folded.under(ScanPolicy.documents().with_(min_severity="high"))
-    high(batch(("x", 3, "change", "none"), ("z", 2, "change", "x@y.z u@v.w 123-45-6789")), 3)
+    present = batch(("x", 3, "change", "none"), ("y", 2, "change", "closed a@b.com"),
+                    ("z", 2, "change", "x@y.z u@v.w 123-45-6789"))
+    high = folded.rescan(present, 3, ScanPolicy.documents().with_(min_severity="high"))
     assert state(high) == {"x": 0, "z": 1}
+    off = high.rescan(present, 4, ScanPolicy.documents().with_(active=False))
+    assert state(off) == {"x": 0, "z": 0}
+    folded = high.rescan(present, 5, ScanPolicy.documents())
+    assert state(folded) == {"x": 0, "z": 3}
     stored = folded.read(spark).select(F.explode("detections").alias("d")).select("d.*")
     assert "value" not in stored.columns
 
@@ -164,8 +210,7 @@ def test_block_latch(spark, conversations, tmp_path):
         held = r.conv_id in first and r.turn >= first[r.conv_id]
         assert decided[(r.conv_id, r.turn)] == held
     assert any(decided.values()) and not all(decided.values())
-    folded = latch.compact(spark, str(tmp_path / "folded"))
-    assert {r.conv_id: r.blocked_turn for r in folded.blocked(spark).collect()} == first
+    assert {r.conv_id: r.blocked_turn for r in latch.blocked(spark).collect()} == first
 
 
 def test_stream_equals_batch(spark, conversations, tmp_path):
