@@ -29,6 +29,22 @@ def test_query(spark, con, name):
     assert rows > 0
 
 
+#: these write or stream before they return
+WRITING = {"q_file_run", "q_sinks", "q_stream_scan", "q_block_latch", "q_latest_findings",
+           "q_rescan_policy", "q_ordered_findings"}
+#: two scans of each row by definition; UTF-16 units only where a text has such characters
+TWICE = {"q_offsets", "q_json_report_utf16"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITING))
+def test_one_scan_per_query(spark, name):
+    """A detector's pattern is in the plan once for its matches and once for their positions."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    scans = 2 if name in TWICE else 1
+    assert plan.count("AKIA(?<!") <= 2 * scans
+    assert plan.count("regexp_extract_all(") <= 18 * scans
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns[:2] == ["doc_id", "type"] and df.count() > 0
