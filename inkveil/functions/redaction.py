@@ -58,17 +58,73 @@ def _rebuilt(text: str, groups: str) -> str:
     return let("_pieces", pieces(text), joined)
 
 
-def _folded(text: str, found: str) -> str:
-    """Spans replaced from last to first at their original offsets, overlaps included."""
+def _clusters_sql(found: str) -> str:
+    """Overlapping findings as one cluster each, with its members from last to first."""
     ordered = (
         f"sort_array(transform({found}, _d -> named_struct("
-        "'back', -_d.start, 'ordinal', _d.ordinal, 'end', _d.end, 'type', _d.type)))"
+        "'start', _d.start, 'back', -_d.end, 'ordinal', _d.ordinal, 'type', _d.type)))"
+    )
+    is_last = "_i = size(_states) - 1 OR _states[least(_i + 1, size(_states) - 1)].start <> _g.start"
+    lasts = (
+        f"filter(transform(_states, (_g, _i) -> CASE WHEN {is_last} THEN _i END), "
+        "_l -> _l IS NOT NULL)"
+    )
+    first = "CASE WHEN _i = 0 THEN 0 ELSE _lasts[greatest(_i - 1, 0)] + 1 END"
+    members = (
+        f"sort_array(transform(slice(_ordered, {first} + 1, _l + 1 - {first}), _d -> "
+        "named_struct('back', -_d.start, 'ordinal', _d.ordinal, 'end', -_d.back, 'type', _d.type)))"
+    )
+    cluster = struct(start="_states[_l].start", end="_states[_l].end", members=members)
+    made = f"transform(_lasts, (_l, _i) -> {cluster})"
+    return let("_ordered", ordered, let("_states", covering_sql(found), let("_lasts", lasts, made)))
+
+
+def _folded(text: str, found: str) -> str:
+    """Spans replaced from last to first at their original offsets, overlaps included.
+
+    A span whose inside has become shorter reaches into what follows it.  Each cluster
+    of overlapping spans is folded by itself, over its own characters, and counts how
+    many characters of the rest it takes.  These are then taken from the text between
+    the clusters, or from the next ones, in one pass.
+    """
+    state = "struct<at:int,made:string,taken:int>"
+    shrunk = "(_d.end - _acc.at)"
+    advance = struct(
+        at="cast(-_d.back AS int)",
+        made=(
+            f"concat({placeholder_sql('_d.type')}, CASE WHEN _d.end <= _acc.at "
+            f"THEN concat({cut('_pieces', '_d.end', '_acc.at')}, _acc.made) "
+            f"ELSE substring(_acc.made, {shrunk} + 1) END)"
+        ),
+        taken=f"cast(_acc.taken + greatest(0, {shrunk} - length(_acc.made)) AS int)",
+    )
+    zero = struct(at="cast(_k.end AS int)", made="''", taken="0")
+    made = (
+        f"aggregate(_k.members, cast({zero} AS {state}), (_acc, _d) -> cast({advance} AS {state}))"
+    )
+    end_before = "CASE WHEN _i = 0 THEN 0 ELSE _clusters[greatest(_i - 1, 0)].end END"
+    done = let(
+        "_made", made, struct(gap=f"_k.start - {end_before}", made="_made.made", taken="_made.taken")
     )
-    step = (
-        f"concat(substring(_text, 1, -_d.back), {placeholder_sql('_d.type')}, "
-        "substring(_text, _d.end + 1))"
+    left = running(
+        "_done",
+        "0",
+        lambda now, item: (
+            f"cast(greatest(0, greatest(0, {now} - {item}.gap) - length({item}.made))"
+            f" + {item}.taken AS int)"
+        ),
+        "int",
+        "left",
     )
-    return f"aggregate({ordered}, {text}, (_text, _d) -> {step})"
+    owed = "CASE WHEN _i = 0 THEN 0 ELSE _left[greatest(_i - 1, 0)] END"
+    between = cut("_pieces", f"least({end_before} + {owed}, _k.start)", "_k.start")
+    rest = f"substring(_done[_i].made, greatest(0, {owed} - _done[_i].gap) + 1)"
+    parts = f"transform(_clusters, (_k, _i) -> concat({between}, {rest}))"
+    last = "_clusters[size(_clusters) - 1].end + _left[size(_left) - 1]"
+    tail = cut("_pieces", f"least({last}, length({text}))", f"length({text})")
+    joined = f"concat(array_join({parts}, ''), {tail})"
+    folded = let("_done", f"transform(_clusters, (_k, _i) -> {done})", let("_left", left, joined))
+    return let("_pieces", pieces(text), let("_clusters", _clusters_sql(found), folded))
 
 
 def redact_sql(text: str, found: str, mode: str = "safe") -> str:
