@@ -219,7 +219,10 @@ def contained(
         "candidates",
     )
     with_runs = candidates.join(items.select("item_id", "runs").distinct(), "item_id")
-    met = own.join(with_runs, ["doc_id", "text_hash"])
+    with_runs = with_runs.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    met = own.join(
+        with_runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    )
     verified = met.select("doc_id", "text_hash", "item_id", "text", "runs").mapInPandas(
         _verified, "doc_id long, text_hash long, item_id long, shared long, item_runs long"
     )

@@ -270,7 +270,9 @@ class _Join:
             "wanted",
         )
         # the sides grow with the documents: the same join at every size
-        texts = self.docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id")
+        wanted = wanted.withColumnRenamed("doc_id", "_id").hint("merge")
+        named_so = F.col("doc_id").eqNullSafe(F.col("_id"))
+        texts = self.docs.select("doc_id", "text").join(wanted, named_so)
         sets = texts.select("member", "s1", "s2", "text").mapInPandas(
             _sets, "member long, runs binary"
         )

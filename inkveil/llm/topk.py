@@ -10,8 +10,8 @@ can still get in. Scores are integers, so bounds and ties are exact.
 Candidates are cut into shards and queries into blocks; each pair of a shard and a
 block is one task with bounded rows, and the k best of each are merged.
 
-Results: vectors that are NULL, empty or hold a NULL or non-finite component take
-no part. Shorter vectors have zeros at the end. A row is a query's own if it has
+Results: vectors that are NULL, empty, without vec_id or hold a NULL or non-finite
+component take no part. Shorter vectors have zeros at the end. A row is a query's own if it has
 its vec_id; repeated query rows are one query, of which the smallest vector counts.
 Other repeated rows are candidates of their own. Scores fit a long. Extra columns are not read. No
 candidates: no rows.
@@ -42,7 +42,8 @@ def quantized(embeddings: DataFrame) -> DataFrame:
         x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf"))
     )
     v = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long"))
-    return embeddings.where(x.isNotNull() & (F.size(x) > 0) & ~bad).select("vec_id", v.alias("v"))
+    whole = x.isNotNull() & (F.size(x) > 0) & ~bad
+    return embeddings.where(whole & F.col("vec_id").isNotNull()).select("vec_id", v.alias("v"))
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:

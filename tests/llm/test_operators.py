@@ -160,6 +160,14 @@ def test_classes_against_brute_force(spark, seed):
         assert row["n_copies"] == sum(s == sets[i] for s in sets)
 
 
+def test_links_of_documents_without_id(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, base), (None, base + " more"), (7, base + " end"), (8, "something else in here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_classes(docs).collect())
+    assert out == [(7, 2), (7, 2), (7, 2), (8, 0)]
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard_join.bands_and_rows(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= jaccard_join.MOST_HASHES
@@ -203,6 +211,9 @@ def test_items_inside_long_documents(spark):
     clean = decontamination.decontaminated(docs, bench).collect()
     assert {r["doc_id"] for r in clean} == set(range(len(texts))) - {d for d, _ in want}
     assert decontamination.contained(docs, bench.limit(0)).count() == 0
+    unnamed = docs.selectExpr("cast(NULL AS long) AS doc_id", "text")
+    assert decontamination.contained(unnamed, bench).count() == len(want)
+    assert decontamination.decontaminated(unnamed, bench).count() == len(clean)
 
 
 def test_shards(spark):
@@ -318,7 +329,7 @@ def test_top_k_against_all_pairs(spark):
     vectors = rng.normal(size=(400, 12)).round(1).astype(np.float32)
     vectors[100:160] = vectors[100]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-    bad = [(500, None), (550, []), (600, [1.0, None]), (650, [float("nan")]), (700, [float("inf")])]
+    bad = [(None, [1.0] * 12), (500, None), (550, []), (600, [1.0, None]), (650, [float("nan")]), (700, [float("inf")])]
     short = [(750, [3.0, -1.0])]
     table = spark.createDataFrame(rows + bad + short, "vec_id long, embedding array<float>")
     whole = np.floor(256 * vectors.astype(float)).astype(np.int64)
