@@ -66,7 +66,7 @@ def _letters() -> np.ndarray:
 def features(texts: list[str | None], letters: np.ndarray) -> np.ndarray:
     """Hashed counts of n-grams, damped by the root and of length 1."""
     out = np.zeros((len(texts), BUCKETS), dtype=np.float32)
-    for part in chunks(texts, 1 << 19):
+    for part in chunks(texts, 1 << 19, 256):  # some megabytes of counts
         own = [" " + (x or "").lower() + " " for x in texts[part]]
         raw = "".join(own).encode("utf-32-le", "surrogatepass")
         codes = np.frombuffer(raw, dtype=np.uint32)

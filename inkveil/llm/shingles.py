@@ -127,12 +127,12 @@ def functions(n: int) -> tuple[np.ndarray, np.ndarray]:
     return seeds[:n] | _U(1), seeds[n:]
 
 
-def chunks(texts: list, most: int = 2 << 20) -> Iterator[slice]:
-    """Slices of a batch whose texts have some megabytes together, one text at least."""
+def chunks(texts: list, most: int = 2 << 20, rows: int = 1024) -> Iterator[slice]:
+    """Slices of a batch of so many rows and characters at most, one text at least."""
     at, size = 0, 0
     for i, text in enumerate(texts):
         size += len(text or "")
-        if size > most and i > at:
+        if (size > most or i - at >= rows) and i > at:
             yield slice(at, i)
             at, size = i, len(text or "")
     if at < len(texts):
