@@ -42,7 +42,8 @@ def test_one_scan_per_query(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     scans = 2 if name in TWICE else 1
     assert plan.count("AKIA(?<!") <= 2 * scans
-    assert plan.count("regexp_extract_all(") <= 18 * scans
+    # 17 in a scan; redaction and lines cut texts into pieces, exact redaction at two places
+    assert plan.count("regexp_extract_all(") <= 17 * scans + 2
 
 
 def test_entry(spark):
