@@ -7,8 +7,10 @@ multiplication, and paths at or above a share of the standard deviation are cont
 Content nodes name the part of the page that is kept: the articles that hold most of
 them, else the main element, else their deepest common element; there everything
 stays that is not a menu, header, footer, sidebar, notice, advert, form, script, style
-or reader comment by its element, role, class or id. Only where the deepest common
-element is the body itself do the paths alone decide.
+or reader comment by its element, role, class or id. An element that only its class or
+id calls a part of the layout, as in `has-sidebar`, is kept where it holds the page
+itself. Only where the deepest common element is the body itself do the paths alone
+decide.
 
 Results: NULL and empty html give an empty text; so do pages without text. Broken
 markup is read as browsers do: unclosed elements end with their parent, blocks end an
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 
 #: share of the standard deviation of fused scores at which a path is content
 THRESHOLD = 0.5
+#: elements that are open at once; deeper ones stand beside each other, as in browsers
+DEEPEST = 256
 
 # Elements by their role in HTML
 BLOCKS = frozenset(
@@ -57,6 +61,11 @@ NAMES = frozenset(
     "signup login popup modal overlay widget widgets pagination pager toolbar skip".split()
 )
 COMMENT_NAMES = frozenset("comment comments reply replies".split())
+#: names that wrappers of a whole page carry too: has-sidebar, widget-wrap, share-enabled
+LAYOUT_NAMES = frozenset(
+    "sidebar share sharing social widget widgets nav navbar navigation menu footer banner modal "
+    "overlay toolbar related recommended ad ads header".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: an element that ends an open one of these, up to one of the third
 ENDS = {
@@ -94,42 +103,72 @@ class _Element:
     article: int
     main: int
     path: str
+    heading: bool = False
+    parent: _Element | None = None
+    layout: tuple[int, ...] = ()
+    headers: tuple[int, ...] = ()
 
 
 @dataclass
 class _Block:
     path: str
-    lineage: tuple[int, ...]
+    inside: _Element
     heading: bool
     article: int
     main: int
+    layout: tuple[int, ...] = ()
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
-def _marked(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether attributes say that an element is not content; that it's a header."""
+def _marked(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether attributes say that an element is not content, that it looks like a part of the
+    layout beside it, that it looks like a header."""
     names: set[str] = set()
     for kind, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if kind.lower() == "hidden" or kind.lower() == "aria-hidden" and value == "true":
-            return name not in ("html", "body", "main", "article"), False
+            return name not in ("html", "body", "main", "article"), False, False
         if kind.lower() == "role" and value.strip() in ROLES:
-            return True, False
+            return True, False, False
         if kind.lower() in ("class", "id"):
             names.update(_NAME.findall(value))
     if name in ("html", "body", "main"):
-        return False, False
+        return False, False, False
     if name == "article":
-        return bool(names & COMMENT_NAMES), False
-    return bool(names & NAMES), "header" in names
+        return bool(names & COMMENT_NAMES), False, False
+    named = names & NAMES
+    return bool(named - LAYOUT_NAMES), bool(named), "header" in names
+
+
+def _wrappers(blocks: list[_Block]) -> set[int]:
+    """Elements with the name of a part of the layout that hold the page itself.
+
+    Such a one has most of the text outside links, a heading or several
+    paragraphs, and no article or main element stands beside it.
+    """
+    parts: dict[int, list[_Block]] = {}
+    for b in blocks:
+        for number in b.layout:
+            parts.setdefault(number, []).append(b)
+    own = lambda some: sum(max(0, len(b.text) - b.linked) for b in some)
+    told = lambda some: sum(b.article > 0 or b.main > 0 for b in some)
+    total, articles = own(blocks), told(blocks)
+    return {
+        number
+        for number, inside in parts.items()
+        if 2 * own(inside) > total
+        and told(inside) == articles
+        and (any(b.heading for b in inside) or sum(b.path.endswith("/p") for b in inside) > 1)
+    }
 
 
 def blocks_of(page: str) -> list[_Block]:
     """The blocks of a page that no element leaves out, in order."""
     root = _Element("", 0, False, False, 0, 0, "")
     stack, found, numbers, anchors = [root], [], 0, 0
+    paths: dict[str, str] = {}
     block: _Block | None = None
 
     def add(text: str) -> None:
@@ -140,12 +179,11 @@ def blocks_of(page: str) -> list[_Block]:
         if block is None:
             if text.isspace():
                 return
-            inner = next(e for e in reversed(stack) if e.name in BLOCKS or not e.name)
-            heading = any(e.name in HEADINGS for e in stack)
-            if top.headings_only and not heading:
+            if top.headings_only and not top.heading:
                 return
-            lineage = tuple(e.number for e in stack if e.name in BLOCKS)
-            block = _Block(inner.path, lineage, heading, top.article, top.main)
+            inner = top if top.name in BLOCKS or top is root else top.parent
+            layout = top.layout if top.heading else top.layout + top.headers
+            block = _Block(top.path, inner, top.heading, top.article, top.main, layout)
             found.append(block)
         block.parts.append(text)
         if anchors:
@@ -211,17 +249,22 @@ def blocks_of(page: str) -> list[_Block]:
         if name in EMPTY:
             continue
         top = stack[-1]
-        marked, header = _marked(name, attributes) if attributes else (False, False)
+        marked, layout, header = _marked(name, attributes) if attributes else (False,) * 3
         numbers += 1
-        inside = bool(top.article or top.main)
+        inside, deep = bool(top.article or top.main), len(stack) > DEEPEST
+        path = f"{top.path}/{name}" if name in BLOCKS and not deep else top.path
         element = _Element(
             name,
             numbers,
             top.left_out or name in LEFT_OUT or marked or name == "header" and not inside,
-            top.headings_only or name == "header" or header,
+            top.headings_only or name == "header",
             numbers if name == "article" and not top.article else top.article,
             numbers if name == "main" and not top.main else top.main,
-            f"{top.path}/{name}" if name in BLOCKS else top.path,
+            paths.setdefault(path, path),
+            top.heading or name in HEADINGS,
+            top if top is root or top.name in BLOCKS and not deep else top.parent,
+            top.layout + (numbers,) * (layout and not deep),
+            top.headers + (numbers,) * (header and not deep),
         )
         if name in RAW:
             end = _RAW_ENDS[name].search(page, at)
@@ -229,12 +272,16 @@ def blocks_of(page: str) -> list[_Block]:
             continue
         if attributes.rstrip().endswith("/") and name in ("svg", "path"):
             continue
+        if deep:
+            close(len(stack) - 1)
         stack.append(element)
         if name == "a":
             anchors += 1
     for b in found:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in found if b.text]
+    found = [b for b in found if b.text]
+    wrappers = _wrappers(found)
+    return [b for b in found if wrappers.issuperset(b.layout)]
 
 
 def _smoothed(values: np.ndarray) -> np.ndarray:
@@ -262,6 +309,15 @@ def content_paths(blocks: list[_Block]) -> set[str]:
     return {path for path, x in means.items() if x >= least}
 
 
+def _lineage(block: _Block) -> list[_Element]:
+    """The open block elements around a block, from the root on."""
+    out, element = [], block.inside
+    while element is not None:
+        out.append(element)
+        element = element.parent
+    return out[::-1]
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, blocks on lines of their own."""
     blocks = blocks_of(page or "")
@@ -279,15 +335,15 @@ def main_text(page: str | None) -> str:
         if sums:
             chosen = {n for n, x in sums.items() if 4 * x >= max(sums.values())}
             return "\n".join(b.text for b in blocks if getattr(b, kind) in chosen)
-    shared = content[0].lineage
+    shared = _lineage(content[0])
     for b in content[1:]:
-        n = 0
-        while n < min(len(shared), len(b.lineage)) and shared[n] == b.lineage[n]:
-            n += 1
-        shared = shared[:n]
-    deep = content[0].path.split("/")[1 : len(shared) + 1]
-    if deep and deep[-1] not in ("html", "body"):
-        kept = [b for b in blocks if b.lineage[: len(shared)] == shared]
+        place = {e.number: i for i, e in enumerate(shared)}
+        above: _Element | None = b.inside
+        while above is not None and above.number not in place:
+            above = above.parent
+        shared = shared[: place[above.number] + 1] if above else []
+    if shared and shared[-1].name not in ("", "html", "body"):
+        kept = [b for b in blocks if any(e is shared[-1] for e in _lineage(b))]
     else:
         kept = [b for b in blocks if b.path in paths or b.heading]
     return "\n".join(b.text for b in kept)
