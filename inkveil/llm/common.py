@@ -41,6 +41,14 @@ def buckets_for(rows: int) -> int:
     return max(1, -(-rows // ROWS_PER_BUCKET))
 
 
+def _ahead(sums: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Adds ``_sums`` and ``_numbers``: what the rows ahead in their group have together."""
+    ahead = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumn("_sums", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).withColumn(
+        "_numbers", F.coalesce(F.sum("_rows").over(ahead), F.lit(0))
+    )
+
+
 def running(
     df: DataFrame,
     group: str,
@@ -53,24 +61,35 @@ def running(
     """Adds ``before`` and ``number``: the amounts and the rows ahead of each row of its group.
 
     ``bits`` holds 32 even bits that ``order`` begins with. A group is cut into
-    buckets of a thousand rows at most, on average, along them: the buckets' sums are added up
-    first, then the rows of each bucket, so no group is ever in one task.
+    buckets of a thousand rows at most, on average, along them, and a thousand buckets
+    are a stretch: the sums of the stretches are added up first, then those of the
+    buckets in each, then the rows of each bucket, so no group is ever in one task.
     ``narrow`` has the same rows with fewer columns, where the sums can be had
     without reading all of ``df``.
     """
     bucket = F.floor(F.col(bits) * F.lit(buckets_for(rows)) / F.lit(RANGE)).cast("long")
     cut = df.withColumn("_bucket", bucket)
-    ahead = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
+    buckets = staged(
         (df if narrow is None else narrow)
-        .withColumn("_bucket", bucket)
-        .groupBy(group, "_bucket")
+        .groupBy(F.col(group).alias("_group"), bucket.alias("_of"))
         .agg(F.sum(amount).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_stretch", F.expr(f"_of div {ROWS_PER_BUCKET}")),
+        "buckets",
+    )
+    stretches = buckets.groupBy("_group", "_stretch").agg(
+        F.sum("_sum").alias("_sum"), F.sum("_rows").alias("_rows")
+    )
+    stretches = _ahead(stretches, ["_group"], "_stretch").select(
+        "_group", "_stretch", F.col("_sums").alias("_before"), F.col("_numbers").alias("_first")
+    )
+    offsets = (
+        _ahead(buckets, ["_group", "_stretch"], "_of")
+        .join(stretches, ["_group", "_stretch"])
         .select(
-            F.col(group).alias("_group"),
-            F.col("_bucket").alias("_of"),
-            F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_sums"),
-            F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_numbers"),
+            "_group",
+            "_of",
+            (F.col("_before") + F.col("_sums")).alias("_sums"),
+            (F.col("_first") + F.col("_numbers")).alias("_numbers"),
         )
     )
     inside = Window.partitionBy(group, "_bucket").orderBy(*order)
