@@ -77,6 +77,7 @@ def _signer(bands: int, rows: int):
                 full = [i for i, x in enumerate(sets) if len(x)]
                 out = {
                     "doc_id": batch["doc_id"].iloc[part],
+                    "text_hash": batch["text_hash"].iloc[part],
                     "row": batch["row"].iloc[part],
                     "n": [len(x) for x in sets],
                     "s1": [None] * len(sets),
@@ -228,11 +229,12 @@ class _Join:
         self.docs = docs.select(
             F.col("doc_id").alias("doc_id"),
             F.col("text").alias("text"),
+            F.xxhash64(F.col("text")).alias("text_hash"),
             F.monotonically_increasing_id().alias("row"),
         )
         self.similarity = similarity
         bands, rows = bands_and_rows(similarity, recall)
-        schema = "doc_id long, row long, n int, s1 long, s2 long, bands array<long>"
+        schema = "doc_id long, text_hash long, row long, n int, s1 long, s2 long, bands array<long>"
         signed = self.docs.mapInPandas(_signer(bands, rows), schema)
         self.signed = staged(signed, "signed")
         same_set = self.signed.where("n > 0").groupBy("s1", "s2")
@@ -264,15 +266,17 @@ class _Join:
     def load_sets(self, pairs: DataFrame) -> DataFrame:
         """The sets of all members of the pairs."""
         named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        signed = self.signed.select("row", "doc_id", "s1", "s2")
+        keys = ["doc_id", "text_hash", "s1", "s2"]
         wanted = staged(
-            signed.join(named, "row").select(F.col("row").alias("member"), "doc_id", "s1", "s2"),
+            self.signed.select("row", *keys)
+            .join(named, "row")
+            .select(F.col("row").alias("member"), *keys),
             "wanted",
         )
         # the sides grow with the documents: the same join at every size
-        wanted = wanted.withColumnRenamed("doc_id", "_id").hint("merge")
-        named_so = F.col("doc_id").eqNullSafe(F.col("_id"))
-        texts = self.docs.select("doc_id", "text").join(wanted, named_so)
+        wanted = wanted.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}).hint("merge")
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+        texts = self.docs.select("doc_id", "text_hash", "text").join(wanted, same)
         sets = texts.select("member", "s1", "s2", "text").mapInPandas(
             _sets, "member long, runs binary"
         )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -168,6 +169,18 @@ def test_links_of_documents_without_id(spark):
     assert out == [(7, 2), (7, 2), (7, 2), (8, 0)]
 
 
+def test_documents_without_id_are_not_all_joined(spark):
+    rows = [(None, " ".join(f"w{i}x{j // 2}" for i in range(60))) for j in range(40)]
+    rows = [(i, f"{text} {n}") for n, (i, text) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    join = jaccard_join._Join(docs, 0.8, 0.9999)
+    named = join.signed.selectExpr("row AS a", "row AS b")
+    plan = join.load_sets(named)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text_hash" in next(x for x in plan.splitlines() if "Join Inner" in x)
+    out = jaccard_join.jaccard_classes(docs).collect()
+    assert len(out) == 40 and {r["n_links"] for r in out} == {1}
+
+
 def test_bands_reach_the_recall():
     bands, rows = jaccard_join.bands_and_rows(0.8, 0.9999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= jaccard_join.MOST_HASHES
@@ -239,7 +252,7 @@ def test_shards(spark):
 
 
 def test_running_sums_over_buckets(spark, monkeypatch):
-    monkeypatch.setattr("inkveil.llm.common.ROWS_PER_BUCKET", 7)
+    monkeypatch.setattr("inkveil.llm.common.ROWS_PER_BUCKET", 4)  # 50 buckets in 13 stretches
     df = spark.range(200).selectExpr(
         "id", "id % 3 AS part", "xxhash64(id) & 4294967295 AS bits", "id % 5 AS amount"
     )
@@ -364,6 +377,26 @@ def test_main_text():
     assert html_text.main_text("just text &eacute;") == "just text é"
 
 
+@pytest.mark.parametrize("name", ["layout with-sidebar", "no-sidebar", "widget-wrap", "share-on"])
+def test_wrapper_named_like_a_part_of_the_layout(name):
+    one, two = "Words, and more of them. " * 9, "Others; and so on. " * 9
+    side = "<div class='sidebar'><a href=a>All</a> links</div>"
+    page = f"<body><div class='{name}'><h1>Head</h1><p>{one}</p><p>{two}</p>{side}</div></body>"
+    assert html_text.main_text(page) == f"Head\n{one.strip()}\n{two.strip()}"
+    aside = f"<body><article><p>Short.</p></article><div class='{name}'><p>{one}</p><p>{two}</p></div></body>"
+    assert html_text.main_text(aside) == "Short."
+
+
+@pytest.mark.parametrize("shape", ["<div>a ", "<font>a<p>b ", "<div class=sidebar>a, b", "<b></i>t"])
+def test_deep_pages_take_linear_time(shape):
+    begin = time.perf_counter()
+    text = html_text.main_text(shape * 50_000)
+    assert time.perf_counter() - begin < 20
+    if "sidebar" not in shape:
+        letters = shape.count("a ") + shape.count("b ") + shape.count("t")
+        assert len("".join(text.split())) >= 50_000 * min(1, letters)
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None)], "page_id long, url string, html string")
     out = {r["page_id"]: r for r in html_text.extracted(pages.withColumn("text", pages["url"])).collect()}
