@@ -97,10 +97,9 @@ def _signer(bands: int, rows: int):
                     for at, i in enumerate(full):
                         out["s1"][i], out["s2"][i] = _identity(sets[i])
                         out["bands"][i] = keys[:, at].astype(np.int64)
-                frame = pd.DataFrame(out)
-                frame["s1"] = frame["s1"].astype("Int64")
-                frame["s2"] = frame["s2"].astype("Int64")
-                yield frame
+                # never as floats, which hold 53 bits
+                out["s1"], out["s2"] = (pd.array(out[x], dtype="Int64") for x in ("s1", "s2"))
+                yield pd.DataFrame(out)
 
     return signed
 
@@ -312,6 +311,50 @@ def jaccard_classes(
     included. Reads ``doc_id`` and ``text``. ``similarity`` has one decimal.
     """
     join = _Join(docs, similarity, recall)
+    members, sets = _classes(join, similarity)
+    ids = members.groupBy("root").agg(
+        F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("size")
+    )
+    members = staged(members.join(staged(ids, "ids"), "root"), "named")
+    if links:
+        members = members.join(_links(join, members, sets, similarity), "member", "left")
+    else:
+        members = members.withColumn("links", F.lit(None).cast("long"))
+    known = members.select("s1", "s2", "class_id", "links", "copies")
+    known = staged(known, "known")
+    return join.signed.select("doc_id", "s1", "s2").join(known, ["s1", "s2"], "left").select(
+        "doc_id",
+        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+    )
+
+
+def firsts(
+    docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL
+) -> DataFrame:
+    """The first document of each class: ``doc_id, text_hash, repeats``.
+
+    First is the smallest doc_id, documents without one behind all others, then the
+    smallest hash of the text. ``repeats`` rows have this id and text. Documents
+    without a word are in no class.
+    """
+    join = _Join(docs, similarity, recall)
+    members, _ = _classes(join, similarity)
+    rows = (
+        join.signed.where("n > 0")
+        .groupBy("s1", "s2", "doc_id", "text_hash")
+        .agg(F.count(F.lit(1)).alias("repeats"))
+    )
+    top = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_hash", "repeats")
+    of_set = staged(rows.groupBy("s1", "s2").agg(F.min(top).alias("first")), "of_set")
+    found = of_set.join(members.select("s1", "s2", "root"), ["s1", "s2"])
+    found = found.groupBy("root").agg(F.min("first").alias("first"))
+    return staged(found.select("first.doc_id", "first.text_hash", "first.repeats"), "firsts")
+
+
+def _classes(join: _Join, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The members with the root of their class, and the sets of those that share a bucket."""
     found = join.buckets()
     star = staged(
         found.where("member <> leader")
@@ -358,23 +401,7 @@ def jaccard_classes(
     members = join.members.join(
         parts.select(F.col("node").alias("member"), "root"), "member", "left"
     ).withColumn("root", F.coalesce("root", "member"))
-    members = staged(members, "classes")
-    ids = members.groupBy("root").agg(
-        F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("size")
-    )
-    members = staged(members.join(staged(ids, "ids"), "root"), "named")
-    if links:
-        members = members.join(_links(join, members, sets, similarity), "member", "left")
-    else:
-        members = members.withColumn("links", F.lit(None).cast("long"))
-    known = members.select("s1", "s2", "class_id", "links", "copies")
-    known = staged(known, "known")
-    return join.signed.select("doc_id", "s1", "s2").join(known, ["s1", "s2"], "left").select(
-        "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
-    )
+    return staged(members, "classes"), sets
 
 
 def _links(join: _Join, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -169,6 +169,27 @@ def test_links_of_documents_without_id(spark):
     assert out == [(7, 2), (7, 2), (7, 2), (8, 0)]
 
 
+def test_one_document_of_each_class_stays(spark):
+    base, other = (" ".join(f"{x}{i}" for i in range(60)) for x in "wv")
+    rows = [
+        (3, base), (5, base), (5, "a text of its own that only one document has"), (None, base),
+        (None, base + " more"), (None, other), (None, other), (None, other + " more"),
+        (7, "repeated row of some words"), (7, "repeated row of some words"),
+        (8, None), (8, None), (None, None), (9, " "),
+    ]
+    docs = spark.createDataFrame(
+        [(i, t, f"l{n}", "s") for n, (i, t) in enumerate(rows)], SCHEMA
+    )
+    for part in (1, 5):
+        out = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(part), "").collect()
+        kept = sorted((r["doc_id"] or 0, (r["text"] or "")[:8].strip()) for r in out)
+        assert [k for k in kept if k[1][:2] != "v0"] == [
+            (0, ""), (3, "w0 w1 w2"), (5, "a text o"), (7, "repeated"), (8, ""), (9, "")
+        ]
+        assert len(kept) == 7 and [r["doc_id"] for r in out if r["text"] and r["text"][0] == "v"] == [None]
+        assert [r["lang"] for r in out if r["doc_id"] == 7] == ["l8"]
+
+
 def test_documents_without_id_are_not_all_joined(spark):
     rows = [(None, " ".join(f"w{i}x{j // 2}" for i in range(60))) for j in range(40)]
     rows = [(i, f"{text} {n}") for n, (i, text) in enumerate(rows)]
