@@ -7,7 +7,9 @@ cut into windows of 2u runs at steps of u. An item of the partition that stands
 in a document lies within one window and has a similarity of about 0.2 or more
 with it, whatever the document's length. MinHash values of one row each, as many
 as the recall asks for, find such windows: first against a bit table of the
-items' values, of a size fixed by a parameter, then by a join on the values.
+items' values, of a size fixed by a parameter, then by a join on the values. Items of
+a few different runs would be too little of a window: these are found by their runs
+themselves, so many of them that a document at the threshold has one, and never missed.
 Each candidate is verified: the share of the item's distinct runs of five words
 that stand anywhere in the document must reach the threshold.
 
@@ -33,6 +35,8 @@ from inkveil.llm.shingles import WORDS, chunks, functions, mix, shingle_hashes
 CONTAINMENT = 0.8
 RECALL = 0.9999
 SMALLEST_PARTITION = 8
+#: items of so many different runs at most are found by their runs, in a partition of this name
+FEW_RUNS, BY_RUNS = 4, 0
 #: bits of the table that screens windows: 16 for each value of the items, within these
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 _U = np.uint64
@@ -49,6 +53,18 @@ def partition_of(runs: int) -> int:
     return max(SMALLEST_PARTITION, 1 << (runs - 1).bit_length())
 
 
+def partition_for(positions: int, different: int) -> int:
+    """Where an item is looked for: by windows where it has half of a partition's runs or more."""
+    size = partition_of(positions)
+    return BY_RUNS if different <= FEW_RUNS or 2 * different < size else size
+
+
+def telling(runs: np.ndarray, containment: float) -> np.ndarray:
+    """Runs of an item of which a document has one if it has this share of all."""
+    needed = -(-len(runs) * round(10 * containment) // 10)
+    return runs[: len(runs) - needed + 1]
+
+
 def _keys(smallest: np.ndarray, k: int, partition: int) -> np.ndarray:
     return mix(smallest + _U(partition * 4096 + k))
 
@@ -59,7 +75,7 @@ def _full(texts: list[str | None]) -> list[bool]:
             for x in texts]
 
 
-def _item_values(n: int):
+def _item_values(n: int, containment: float):
     def valued(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         odd, flip = functions(n)
         for batch in batches:
@@ -70,16 +86,20 @@ def _item_values(n: int):
                 if not full:
                     continue
                 runs = hashes[begins[i] : begins[i + 1]]
-                size = partition_of(len(runs))
-                keys = [
-                    _keys(((runs ^ flip[k]) * odd[k]).min(keepdims=True), k, size)[0]
-                    for k in range(n)
-                ]
+                different = np.unique(runs)
+                size = partition_for(len(runs), len(different))
+                if size == BY_RUNS:
+                    keys = _keys(telling(different, containment), 0, BY_RUNS)
+                else:
+                    keys = [
+                        _keys(((runs ^ flip[k]) * odd[k]).min(keepdims=True), k, size)[0]
+                        for k in range(n)
+                    ]
                 out.append(
                     (
                         batch["item_id"].iloc[i],
                         size,
-                        np.unique(runs).tobytes(),
+                        different.tobytes(),
                         np.array(keys, _U).astype(np.int64),
                     )
                 )
@@ -101,6 +121,13 @@ def _window_hits(n: int, sizes: list[int], table: bytes, bits: int):
             for part in chunks(texts):
                 hashes, begins = shingle_hashes(texts[part])
                 hits = [[] for _ in texts[part]]
+                if len(hashes) and BY_RUNS in sizes:
+                    keys = _keys(hashes, 0, BY_RUNS)
+                    bit = _bit(keys, bits)
+                    at = known[bit >> _U(3)] >> (bit & _U(7)).astype(np.uint8) & 1
+                    own = np.repeat(np.arange(len(hits)), np.diff(begins))
+                    for w in np.flatnonzero(at):
+                        hits[own[w]].append(int(keys[w].astype(np.int64)))
                 if len(hashes):
                     layout = _layout(np.diff(begins), begins, sizes)
                     for k in range(n):
@@ -194,7 +221,7 @@ def contained(
     n = hash_functions(containment, recall)
     items = staged(
         items.select("item_id", "text").mapInPandas(
-            _item_values(n), "item_id long, size int, runs binary, keys array<long>"
+            _item_values(n, containment), "item_id long, size int, runs binary, keys array<long>"
         ),
         "items",
     )

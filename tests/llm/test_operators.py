@@ -250,6 +250,21 @@ def test_items_inside_long_documents(spark):
     assert decontamination.decontaminated(unnamed, bench).count() == len(clean)
 
 
+def test_shortest_items_are_never_missed(spark):
+    rng = random.Random(9)
+    items = [" ".join(f"w{rng.randrange(3000)}" for _ in range(5 + k % 3)) for k in range(300)]
+    items += ["the " * 20 + "end", "a b " * 9]  # few different runs for their length
+    filler = [f"f{i}" for i in range(400)]
+    texts = []
+    for item in items:
+        rng.shuffle(filler)
+        texts.append(" ".join([*filler[:200], item, *filler[200:]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontamination.contained(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i, i) for i in range(len(items))}
+
+
 def test_shards(spark):
     rows = [(i, f"text {i}" * (1 + i % 7)) for i in range(400)]
     rows += [(1000 + i, "the same text again and again") for i in range(300)]
