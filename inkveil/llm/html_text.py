@@ -8,7 +8,7 @@ Content nodes name the part of the page that is kept: the articles that hold mos
 them, else the main element, else their deepest common element; there everything
 stays that is not a menu, header, footer, sidebar, notice, advert, form, script, style
 or reader comment by its element, role, class or id. An element that only its class or
-id calls a part of the layout, as in `has-sidebar`, is kept where it holds the page
+id calls so, as in `has-sidebar` or `comments-open`, is kept where it holds the page
 itself. Only where the deepest common element is the body itself do the paths alone
 decide.
 
@@ -122,45 +122,55 @@ class _Block:
     text: str = ""
 
 
-def _marked(name: str, attributes: str) -> tuple[bool, bool, bool]:
-    """Whether attributes say that an element is not content, that it looks like a part of the
-    layout beside it, that it looks like a header."""
+def _marked(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether attributes say that an element is not content, that its name is one of what stands
+    beside the content, that this name is none of the layout, that it looks like a header."""
     names: set[str] = set()
     for kind, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if kind.lower() == "hidden" or kind.lower() == "aria-hidden" and value == "true":
-            return name not in ("html", "body", "main", "article"), False, False
+            return name not in ("html", "body", "main", "article"), False, False, False
         if kind.lower() == "role" and value.strip() in ROLES:
-            return True, False, False
+            return True, False, False, False
         if kind.lower() in ("class", "id"):
             names.update(_NAME.findall(value))
     if name in ("html", "body", "main"):
-        return False, False, False
-    if name == "article":
-        return bool(names & COMMENT_NAMES), False, False
-    named = names & NAMES
-    return bool(named - LAYOUT_NAMES), bool(named), "header" in names
+        return False, False, False, False
+    named = names & (COMMENT_NAMES if name == "article" else NAMES)
+    header = "header" in names and name != "article"
+    return False, bool(named), bool(named - LAYOUT_NAMES), header
 
 
-def _wrappers(blocks: list[_Block]) -> set[int]:
+def _wrappers(blocks: list[_Block], judged: set[int] | None = None) -> set[int]:
     """Elements with the name of a part of the layout that hold the page itself.
 
     Such a one has most of the text outside links, a heading or several
-    paragraphs, and no article or main element stands beside it.
+    paragraphs, and no article or main element stands beside it. With ``judged``,
+    of these elements only, whose names are no layout: beside such a one there is
+    no text under a heading either, as there is beside many comments.
     """
     parts: dict[int, list[_Block]] = {}
     for b in blocks:
         for number in b.layout:
-            parts.setdefault(number, []).append(b)
+            if judged is None or number in judged:
+                parts.setdefault(number, []).append(b)
     own = lambda some: sum(max(0, len(b.text) - b.linked) for b in some)
     told = lambda some: sum(b.article > 0 or b.main > 0 for b in some)
     total, articles = own(blocks), told(blocks)
+
+    def alone(number: int, inside: list[_Block]) -> bool:
+        layout = inside[0].layout
+        around = set(layout[: layout.index(number)])
+        beside = [b for b in blocks if number not in b.layout and around.issuperset(b.layout)]
+        return not (any(b.heading for b in beside) and any(b.path.endswith("/p") for b in beside))
+
     return {
         number
         for number, inside in parts.items()
         if 2 * own(inside) > total
         and told(inside) == articles
         and (any(b.heading for b in inside) or sum(b.path.endswith("/p") for b in inside) > 1)
+        and (judged is None or alone(number, inside))
     }
 
 
@@ -169,6 +179,7 @@ def blocks_of(page: str) -> list[_Block]:
     root = _Element("", 0, False, False, 0, 0, "")
     stack, found, numbers, anchors = [root], [], 0, 0
     paths: dict[str, str] = {}
+    strange: set[int] = set()  # elements with names that are none of the layout
     block: _Block | None = None
 
     def add(text: str) -> None:
@@ -249,8 +260,10 @@ def blocks_of(page: str) -> list[_Block]:
         if name in EMPTY:
             continue
         top = stack[-1]
-        marked, layout, header = _marked(name, attributes) if attributes else (False,) * 3
+        marked, layout, other, header = _marked(name, attributes) if attributes else (False,) * 4
         numbers += 1
+        if other:
+            strange.add(numbers)
         inside, deep = bool(top.article or top.main), len(stack) > DEEPEST
         path = f"{top.path}/{name}" if name in BLOCKS and not deep else top.path
         element = _Element(
@@ -280,7 +293,11 @@ def blocks_of(page: str) -> list[_Block]:
     for b in found:
         b.text = " ".join("".join(b.parts).split())
     found = [b for b in found if b.text]
-    wrappers = _wrappers(found)
+    if strange:
+        gone = strange - _wrappers(found, strange)
+        found = [b for b in found if gone.isdisjoint(b.layout)]
+        strange -= gone
+    wrappers = _wrappers(found) | strange
     return [b for b in found if wrappers.issuperset(b.layout)]
 
 

@@ -423,6 +423,22 @@ def test_wrapper_named_like_a_part_of_the_layout(name):
     assert html_text.main_text(aside) == "Short."
 
 
+@pytest.mark.parametrize("name", ["entry has-comments", "post-notice", "no-comments", "skip-ads"])
+def test_content_named_like_what_stands_beside_it(name):
+    one, two = "Words, and more of them. " * 9, "Others; and so on. " * 9
+    inner = "<div class='comments'><p>So do I.</p><p>So does everybody.</p></div>"
+    text = f"Head\n{one.strip()}\n{two.strip()}"
+    body = f"<h1>Head</h1><p>{one}</p><p>{two}</p>{inner}"
+    assert html_text.main_text(f"<body><div class='{name}'>{body}</div></body>") == text
+    article = f"<body><article class='post comments-open'>{body}</article></body>"
+    assert html_text.main_text(article) == text
+    many = f"<div class='comments'>{'<p>So do I, and so does everybody else.</p>' * 90}</div>"
+    beside = f"<body><div class='post'><h1>Head</h1><p>{one}</p><p>{two}</p></div>{many}</body>"
+    assert html_text.main_text(beside) == text
+    replies = f"<article class='comment'><p>{two}</p></article>" * 5
+    assert html_text.main_text(f"<body><article>{body}</article>{replies}</body>") == text
+
+
 @pytest.mark.parametrize("shape", ["<div>a ", "<font>a<p>b ", "<div class=sidebar>a, b", "<b></i>t"])
 def test_deep_pages_take_linear_time(shape):
     begin = time.perf_counter()
