@@ -19,8 +19,10 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -38,6 +40,9 @@ PER_LANGUAGE = 800
 STEPS, RATE, DECAY = 150, 4.0, 1e-4
 #: a text is ambiguous if the nearest codeword's share is not this much above the second's
 MARGIN = 0.2
+#: a text is rejected if it lies this much farther from all codewords, in loss per bit, than any
+#: held-out one; from fewer of these, and of texts with fewer letters, too little is known
+BEYOND, LEAST_HELD_OUT, LEAST_LETTERS = 0.05, 200, 20
 
 
 def codewords(classes: int) -> np.ndarray:
@@ -95,6 +100,12 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
+def tells(text: str | None) -> bool:
+    """Whether a text has letters enough to be rejected for them."""
+    letters = islice(filter(str.isalpha, text or ""), LEAST_LETTERS)
+    return sum(1 for _ in letters) == LEAST_LETTERS
+
+
 @dataclass(frozen=True)
 class Model:
     """Languages with their codewords, a linear classifier for each bit and its weights."""
@@ -105,18 +116,26 @@ class Model:
     offsets: np.ndarray
     trust: np.ndarray
 
+    def distances(self, rows: np.ndarray) -> np.ndarray:
+        """For each row of features the loss-weighted distances of the languages' codewords."""
+        margins = rows @ self.weights + self.offsets
+        loss = np.logaddexp(0, -margins[:, None, :] * self.words[None]) * self.trust[None]
+        return loss.sum(2)
+
     def shares(self, rows: np.ndarray) -> np.ndarray:
         """For each row of features the languages' shares, from the loss-weighted distances."""
         if not len(self.languages):
             return np.zeros((len(rows), 0))
         if self.words.shape[1] == 0:
             return np.ones((len(rows), 1))
-        margins = rows @ self.weights + self.offsets
-        loss = np.logaddexp(0, -margins[:, None, :] * self.words[None]) * self.trust[None]
-        distance = loss.sum(2)
+        distance = self.distances(rows)
         near = np.exp(distance.min(1, keepdims=True) - distance)
         return near / near.sum(1, keepdims=True)
 
+    def nearest(self, rows: np.ndarray) -> np.ndarray:
+        """For each row of features the distance of the nearest codeword, per bit."""
+        return self.distances(rows).min(1) / self.words.shape[1]
+
 
 def train(rows: np.ndarray, labels: list[str]) -> Model:
     """Logistic classifiers of all bits, by gradient descent on the whole sample."""
@@ -157,13 +176,12 @@ def _sample_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": own["lang"], "features": [x.tobytes() for x in rows]})
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of the languages of ``docs(doc_id, text, lang)``; ids only decide the sample."""
-    ready = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
+def _sampled(ready: DataFrame, per_language: int) -> pd.DataFrame:
+    """``lang, features`` of a bounded sample of labelled rows."""
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     counts = {r["lang"]: r["n"] for r in ready.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return train(np.zeros((0, BUCKETS), np.float32), [])
+        return pd.DataFrame({"lang": [], "features": []})
     upto = F.create_map(
         *[
             F.lit(x)
@@ -174,9 +192,32 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     sample = ready.where(order <= F.element_at(upto, F.col("lang"))).select("lang", "text")
     made = sample.mapInPandas(_sample_features, "lang string, features binary")
     # many repeated ids could pass the hash together: the bound holds for them too
-    taken = staged(made, "sample").limit(2 * per_language * len(counts)).toPandas()
+    return staged(made, "sample").limit(2 * per_language * len(counts)).toPandas()
+
+
+def _rows(taken: pd.DataFrame) -> np.ndarray:
     rows = [np.frombuffer(x, np.float16) for x in taken["features"]]
-    return train(np.array(rows, np.float32).reshape(-1, BUCKETS), taken["lang"].tolist())
+    return np.array(rows, np.float32).reshape(-1, BUCKETS)
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """A model of the languages of ``docs(doc_id, text, lang)``; ids only decide the sample."""
+    ready = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
+    taken = _sampled(ready, per_language)
+    return train(_rows(taken), taken["lang"].tolist())
+
+
+def farthest(docs: DataFrame, model: Model, per_language: int = PER_LANGUAGE) -> float:
+    """The distance up to which a text is like the held-out rows of the model's languages."""
+    if len(model.languages) < 2:
+        return math.inf
+    ready = docs.where(F.col("text").isNotNull() & F.col("lang").isin(*model.languages))
+    # letters are counted no further than needed
+    told = F.col("text").rlike(r"(?:\p{L}[^\p{L}]*+){%d}" % LEAST_LETTERS)
+    taken = _sampled(ready.where(held_out(F.col("doc_id")) & told), per_language)
+    if len(taken) < LEAST_HELD_OUT:
+        return math.inf
+    return float(model.nearest(_rows(taken)).max()) + BEYOND
 
 
 def _predictor(model: Model):
@@ -212,15 +253,23 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     )
 
 
-def recognised(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents whose language could be told at all, with all their columns."""
+def recognised(docs: DataFrame, model: Model, limit: float = math.inf) -> DataFrame:
+    """The documents with letters that lie within the limit, with all their columns."""
     import pyarrow as pa
 
+    def near(texts: list[str | None], letters: np.ndarray) -> list[bool]:
+        out = [has_letter(x) for x in texts]
+        if math.isfinite(limit):
+            for part in chunks(texts):
+                far = model.nearest(features(texts[part], letters)) > limit
+                for i, beyond in zip(range(part.start, part.stop), far, strict=True):
+                    out[i] = out[i] and not (beyond and tells(texts[i]))
+        return out
+
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = _predictor(model)
+        letters = _letters()
         for batch in batches:
-            texts = pd.DataFrame({"text": batch.column("text").to_pylist()})
-            known = [x != UNKNOWN for out in predict([texts]) for x in out["lang_pred"]]
+            known = near(batch.column("text").to_pylist(), letters)
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)

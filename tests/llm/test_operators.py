@@ -367,6 +367,26 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_language_stage_rejects_noise(spark):
+    rng = random.Random(7)
+    stems = {"aa": "ka lo mi ta".split(), "bb": "shra wen oth ing".split(), "cc": "ñe ció ra do".split()}
+    rows = []
+    for i in range(900):
+        lang = rng.choice(list(stems))
+        text = " ".join("".join(rng.choices(stems[lang], k=3)) for _ in range(30))
+        rows.append((i, text, lang, "s"))
+    noise = [" ".join("".join(rng.choices("qzxvjQXZ", k=9)) for _ in range(30)) for _ in range(50)]
+    rows += [(1000 + i, x, None, "s") for i, x in enumerate(noise)] + [(2000, "12 34", None, "s")]
+    rows += [(2001, "ka lo", None, "s"), (2002, None, "aa", "s")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept == {*range(900), 2001}
+    unknown = docs.where("doc_id % 3 = 1")
+    unknown = unknown.selectExpr("doc_id", "text", "cast(NULL AS string) AS lang", "source")
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, unknown, "").collect()}
+    assert kept == {i for i, x, _, _ in rows if i % 3 == 1 and language.has_letter(x)}
+
+
 def test_language_without_learning(spark, odd):
     blank = odd.withColumn("lang", odd["lang"].substr(9, 1).isNull().cast("string").substr(9, 9))
     out = language.identified(odd, language.fit(blank.where("lang = 'never'"))).collect()
