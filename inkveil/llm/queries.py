@@ -18,6 +18,7 @@ from inkveil.llm import (
     sharding,
     topk,
     toxicity,
+    whitening,
 )
 from inkveil.llm.common import table
 
@@ -80,6 +81,10 @@ def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digests(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
