@@ -16,6 +16,7 @@ from inkveil.llm import (
     line_templates,
     mixing,
     sharding,
+    spelling,
     topk,
     toxicity,
     whitening,
@@ -85,6 +86,10 @@ def op12_lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digests(table(spark, sf_dir, "embeddings"))
 
 
+def op13_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
