@@ -7,9 +7,9 @@ bit's logistic loss weighed by how well its classifier did on that language. The
 score is the share of the nearest codeword among all; a text whose second codeword
 is almost as near is flagged as ambiguous.
 
-Classifiers are trained on a bounded sample, ``per_language`` rows of each language in
-the order of a hash, of fixed-size features that executors compute; predictions read
-whole texts.
+Classifiers are trained on a bounded sample, ``per_language`` different texts of each
+language in the order of a hash, of fixed-size features that executors compute;
+predictions read whole texts.
 
 Results: NULL texts and texts without a letter are `und`, score 0, never ambiguous.
 Where no labelled row is left to learn from, all texts are `und`; with a single
@@ -26,10 +26,9 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkveil.llm.common import staged
 from inkveil.llm.shingles import chunks
 
 UNKNOWN = "und"
@@ -177,22 +176,34 @@ def _sample_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sampled(ready: DataFrame, per_language: int) -> pd.DataFrame:
-    """``lang, features`` of a bounded sample of labelled rows."""
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    counts = {r["lang"]: r["n"] for r in ready.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """``lang, features`` of at most ``per_language`` different texts of each language.
+
+    Those with the smallest hashes are taken, whatever their ids.  Languages are bounded one
+    by one, and a text counts once however often it stands there: neither rows without an
+    id nor copies push another text or language out.
+    """
+    hashed = ready.select("lang", "text", F.xxhash64("text").alias("hash"))
+    place = F.shiftrightunsigned("hash", 33)  # 31 bits
+    counted = hashed.groupBy("lang").agg(F.approx_count_distinct("hash", 0.03).alias("n"))
+    counts = {r["lang"]: max(1, r["n"]) for r in counted.collect()}
     if not counts:
         return pd.DataFrame({"lang": [], "features": []})
+    # some more than wanted, as the number of texts is an estimate
     upto = F.create_map(
         *[
             F.lit(x)
             for lang, n in counts.items()
-            for x in (lang, int(min(1.0, per_language / n) * (1 << 20)))
+            for x in (lang, int(min(1.0, 1.25 * per_language / n) * (1 << 31)))
         ]
     )
-    sample = ready.where(order <= F.element_at(upto, F.col("lang"))).select("lang", "text")
-    made = sample.mapInPandas(_sample_features, "lang string, features binary")
-    # many repeated ids could pass the hash together: the bound holds for them too
-    return staged(made, "sample").limit(2 * per_language * len(counts)).toPandas()
+    near = hashed.where(place <= F.element_at(upto, F.col("lang")))
+    once = near.groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    smallest = Window.partitionBy("lang").orderBy("hash")
+    sample = once.withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= per_language)
+    made = sample.select("lang", "text").mapInPandas(
+        _sample_features, "lang string, features binary"
+    )
+    return made.toPandas()
 
 
 def _rows(taken: pd.DataFrame) -> np.ndarray:

@@ -367,6 +367,33 @@ def test_language_held_out(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+@pytest.mark.parametrize("ident", [None, 8], ids=["no id", "one id"])
+def test_languages_are_sampled_one_by_one(spark, ident):
+    """Many rows that share an id, and copies of one text, push no other language out."""
+    rng = random.Random(9)
+    stems = {"en": "the wer ing ou".split(), "fr": "eux ié la ret".split(), "de": "sch un ber ein".split()}
+
+    def text(lang):
+        return " ".join("".join(rng.choices(stems[lang], k=3)) for _ in range(25))
+
+    rows = [(ident, text("en"), "en", "s") for _ in range(8000)]
+    rows += [(10_000 + i, text(lang), lang, "s") for i, lang in enumerate(["fr", "de"] * 750)]
+    copied = text("de")
+    rows += [(20_000 + i, copied, "de", "s") for i in range(5000)] + [(30_000, "zu zo zi " * 9, "xx", "s")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    model = language.fit(docs)
+    assert set(model.languages) >= {"en", "fr", "de"}
+    out = language.identified(docs.where("lang <> 'xx'"), model)
+    truth = {r[1]: r[2] for r in rows}
+    own = out.join(docs.select("doc_id", "text").distinct(), "doc_id")
+    pairs = [(r.lang_pred, truth[r.text]) for r in own.where("held_out AND doc_id < 20000").collect()]
+    assert len(pairs) > 300 and sum(a == b for a, b in pairs) / len(pairs) >= 0.95
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.where("lang IN ('en', 'fr', 'de')").count() == len(rows) - 1
+    sample = language._sampled(docs, 100)
+    assert sample.groupby("lang").size().to_dict() == {"en": 100, "fr": 100, "de": 100, "xx": 1}
+
+
 def test_language_stage_rejects_noise(spark):
     rng = random.Random(7)
     stems = {"aa": "ka lo mi ta".split(), "bb": "shra wen oth ing".split(), "cc": "ñe ció ra do".split()}
