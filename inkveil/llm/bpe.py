@@ -26,10 +26,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +46,11 @@ WINDOW = 16
 #: a window of so many code points that still meets no split lies in one run
 RUN = 1 << 12
 
+# --- fixed value: how byte-level encodings of this kind split a text -------------
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: characters whose kind has been the same in all versions of Unicode are not rare
+_RARE = re.compile("[^\x00-\u017f‐-‧€]")
+
 LETTER, DIGIT, SPACE, SIGN = "letter", "digit", "space", "sign"
 
 _codecs: dict[int, Codec] = {}
@@ -86,10 +94,41 @@ class Codec:
         self.special = np.zeros(len(table), dtype=bool)
         self.special[list(special)] = True
         self.kinds: dict[str, str] = {}
+        self.fast = self._fast(json.loads(file)["model"]["merges"])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=np.uint32) for x in found]
+        return [np.frombuffer(x, dtype="<u4") for x in self.encode_raw(texts)]
+
+    def encode_raw(self, texts: list[str]) -> list[bytes]:
+        """Tokens of each text, as little-endian bytes.
+
+        Texts of common characters, about which all libraries agree, go to the faster of
+        two libraries; others, and those with special strings, to ``tokenizers`` itself.
+        """
+        made: list[bytes | None] = [None] * len(texts)
+        rest = []
+        for i, text in enumerate(texts):
+            if self.fast and not _RARE.search(text) and not self.has_special(text):
+                made[i] = array("I", self.fast.encode_ordinary(text)).tobytes()
+            else:
+                rest.append(i)
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        for i, tokens in zip(rest, found):
+            made[i] = array("I", tokens.ids).tobytes()
+        return made
+
+    def has_special(self, text: str) -> bool:
+        return any(x in text for x in self.special_strings)
+
+    def _fast(self, merges: list) -> tiktoken.Encoding | None:
+        """The same vocabulary by ranks, if its tokens are numbered as they are merged."""
+        first = len(self.sign_of)
+        tokens = [self.tokenizer.id_to_token(first + n) for n in range(len(merges))]
+        pairs = [x.split(" ") if isinstance(x, str) else x for x in merges]
+        if tokens != ["".join(pair) for pair in pairs]:
+            return None
+        ranks = {raw: n for n, raw in enumerate(self.bytes_of) if raw and not self.special[n]}
+        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def raw(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -255,7 +294,7 @@ def encoded(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
         for batch in batches:
             values = batch["text"].tolist()
             for part in chunks(values):
-                ids = [x.tobytes() for x in own.encode(values[part])]
+                ids = own.encode_raw(values[part])
                 yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].to_numpy(), "ids": ids})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -272,7 +311,7 @@ def encoded(docs: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
             values = batch["text"].tolist()
             for part in chunks(values):
                 rows = batch.iloc[part][["row", "part", "doc_id"]]
-                yield rows.assign(ids=[x.tobytes() for x in own.encode(values[part])])
+                yield rows.assign(ids=own.encode_raw(values[part]))
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come in order; the pieces of a text may lie in several batches."""

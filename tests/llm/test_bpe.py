@@ -70,6 +70,14 @@ def test_windows_stay_small(codec, monkeypatch):
     assert len(merged) >= len(parts) - 1 and max(merged) < 5_000
 
 
+def test_both_libraries_know_the_common_characters(codec, library):
+    assert codec.fast is not None
+    common = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and not bpe._RARE.search(chr(c))]
+    assert len(common) > 400
+    text = "".join(f"a{c}1{c}.{c} {c}{c}'{c}b \n{c}" for c in common)
+    assert codec.encode([text])[0].tolist() == library.encode(text).ids
+
+
 def brute(text, library):
     ids = library.encode(text or "", add_special_tokens=False).ids
     raw = b"".join(i.to_bytes(4, "little") for i in ids)
