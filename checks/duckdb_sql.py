@@ -373,6 +373,19 @@ def oracle_sql() -> dict[str, str]:
       SELECT event_id, user_id, ts, event_type FROM n
       WHERE following IS NULL OR following > ts + INTERVAL 2 HOURS"""
     sql["q_debounce_sessions"] = sql["q_debounce_events"]
+    sql["q_debounce_stream"] = """WITH e AS (SELECT event_id, user_id,
+        CASE WHEN event_id % 50 <> 1 THEN ts END AS ts,
+        CASE WHEN event_id % 10 = 0 THEN 2 ELSE event_id % 2 END AS part FROM events),
+      marks AS (SELECT p.part, (SELECT max(ts) FROM e WHERE e.part < p.part) - INTERVAL 36 HOURS AS mark
+        FROM (SELECT DISTINCT part FROM e) p),
+      judged AS (SELECT e.*, CASE WHEN ts IS NULL THEN 'no_time'
+        WHEN ts <= date_trunc('milliseconds', mark) THEN 'late' ELSE 'on_time' END AS lateness
+        FROM e JOIN marks USING (part)),
+      n AS (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following
+        FROM judged WHERE lateness = 'on_time')
+      SELECT event_id, lateness, coalesce(n.event_id IS NOT NULL
+        AND (following IS NULL OR following > n.ts + INTERVAL 2 HOURS), false) AS is_last
+      FROM judged LEFT JOIN n USING (event_id)"""
     sql["q_latest_state"] = """WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id
         ORDER BY ts DESC, event_id DESC) AS rn FROM events)
       SELECT user_id, event_id, ts, event_type, value FROM n WHERE rn = 1 AND event_type <> 'error'"""

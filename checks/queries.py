@@ -18,11 +18,11 @@ from inkveil.operators import gate, intercept, report, summary
 from inkveil.operators.redact import redacted
 from inkveil.operators.scan import findings, order_findings, overlaps, scan, with_scheme
 from inkveil.plans.policy import ScanPolicy
-from inkveil.session import shared_folder
+from inkveil.session import keyed_state, shared_folder
 from inkveil.sources import sinks
 from inkveil.sources.files import judge_listed, list_files, read_texts
 from inkveil.sources.tables import read_table
-from inkveil.streaming.debounce import last_of_bursts, last_of_bursts_stream
+from inkveil.streaming.debounce import ON_TIME, last_of_bursts, last_of_bursts_stream, with_lateness
 from inkveil.streaming.latch import BlockLatch
 from inkveil.streaming.latest import LatestFindings, latest_per_key
 from inkveil.streaming.scan import stream_table, write_stream
@@ -395,35 +395,83 @@ def q_stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(f"{place}/out")
 
 
-def _feed(stream: DataFrame, sink: Callable[[DataFrame, int], None], place: str) -> None:
-    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{place}/state")
-    writer.trigger(availableNow=True).start().awaitTermination()
+def _run(stream: DataFrame, place: str, *partitions: str) -> DataFrame:
+    """What a stream writes until its source is read to the end."""
+    writer = stream.writeStream.format("parquet").trigger(availableNow=True)
+    if partitions:
+        writer = writer.partitionBy(*partitions)
+    options = {"path": f"{place}/out", "checkpointLocation": f"{place}/state"}
+    writer.options(**options).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{place}/out")
 
 
-def q_block_latch(spark: SparkSession, sf: str) -> DataFrame:
+def q_debounce_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in three files, one a batch: every tenth event comes in the last one, late or not,
+    and every fiftieth has no time.  What becomes of each event, none left out."""
     place = _workspace(spark)
-    latch = BlockLatch(f"{place}/latch")
-    _feed(_conversation_stream(spark, sf), latch, place)
-    return latch.decided(spark).select("conv_id", "turn", "held")
+    table = events(spark, sf).withColumns(
+        {
+            "ts": F.when(F.col("event_id") % 50 != 1, F.col("ts").cast("timestamp")),
+            "part": F.when(F.col("event_id") % 10 == 0, 2).otherwise(F.col("event_id") % 2),
+        }
+    )
+    # the end of all bursts: an event far behind the others
+    end = table.groupBy().agg(F.max("ts").alias("last")).select(
+        F.lit(-1).cast("long").alias("event_id"),
+        (F.col("last") + F.expr("INTERVAL 999 DAYS")).alias("ts"),
+        F.lit(-1).cast("long").alias("user_id"),
+        F.lit("end").alias("event_type"),
+        F.lit(0.0).alias("value"),
+        F.lit(3).alias("part"),
+    )
+    table = table.select(*end.columns).unionByName(end)
+    for part in range(4):
+        rows = table.where(F.col("part") == part).drop("part")
+        rows.coalesce(1).write.parquet(f"{place}/in/part={part}")
+    read = spark.readStream.schema(table.drop("part").schema).option("maxFilesPerTrigger", 1)
+    judged = with_lateness(
+        read.option("recursiveFileLookup", True).parquet(f"{place}/in"), "ts", "36 hours"
+    )
+    written = _run(judged, f"{place}/judged", "lateness").where("event_id >= 0")
+    on_time = spark.readStream.schema(judged.schema).parquet(f"{place}/judged/out")
+    on_time = on_time.where(F.col("lateness") == ON_TIME).drop("lateness")
+    bursts = last_of_bursts_stream(
+        on_time, "user_id", "ts", "event_id", TWO_HOURS_MS, delay="36 hours"
+    )
+    last = _run(bursts.select("event_id"), f"{place}/bursts").withColumn("is_last", F.lit(True))
+    return (
+        written.select("event_id", "lateness")
+        .join(last, "event_id", "left")
+        .withColumn("is_last", F.coalesce("is_last", F.lit(False)))
+    )
+
+
+def q_block_latch(spark: SparkSession, sf: str) -> DataFrame:
+    keyed_state(spark)
+    return _run(BlockLatch().decided(_conversation_stream(spark, sf)), _workspace(spark))
 
 
 def q_latest_findings(spark: SparkSession, sf: str) -> DataFrame:
     place = _workspace(spark)
-    table = LatestFindings(f"{place}/table", ["conv_id"], ["turn"], closed="role = 'user'")
-    _feed(_conversation_stream(spark, sf), table, place)
-    return table.read(spark).select(
+    table = LatestFindings(["conv_id"], ["turn"], closed="role = 'user'")
+    rows = table.rows(_conversation_stream(spark, sf))
+    table.start(rows, f"{place}/out", f"{place}/state", available_now=True).awaitTermination()
+    return table.read(spark, f"{place}/state").select(
         "conv_id", F.col("version.turn").alias("turn"), F.size("detections").alias("n_findings")
     )
 
 
 def q_rescan_policy(spark: SparkSession, sf: str) -> DataFrame:
-    """All open documents scanned again after a change of policy."""
+    """A change of policy: findings of two detectors are kept, one is dropped, others are run."""
     place = _workspace(spark)
     texts = documents(spark, sf).withColumn("version", F.lit(1))
-    table = LatestFindings(f"{place}/table", ["doc_id"], ["version"])
-    table(texts, 0)
-    severe = table.rescan(texts, 1, ScanPolicy.documents().with_(min_severity="critical"))
-    return severe.read(spark).select("doc_id", F.size("detections").alias("n_findings"))
+    before = ScanPolicy.documents(["email", "aws-access-key", "ssh-private-key"])
+    rows = LatestFindings(["doc_id"], ["version"], policy=before).rows(texts)
+    rows.write.parquet(f"{place}/before")
+    table = LatestFindings(["doc_id"], ["version"], policy=before)
+    after = ScanPolicy.documents().with_(min_severity="critical")
+    again = table.rescan(spark.read.parquet(f"{place}/before"), texts, after)
+    return again.select("doc_id", F.size("detections").alias("n_findings"))
 
 
 def q_file_run(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 SETTINGS = {
     # plans are re-made with measured sizes: hot join keys are split, small
     # shuffles coalesced, and a side is broadcast only if it turned out small
@@ -14,6 +16,8 @@ SETTINGS = {
     "spark.sql.files.maxPartitionBytes": str(64 << 20),
     # changes of one key are merged before the shuffle of a session window
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # state of streams lives on disk, beside the memory of an executor
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
@@ -28,6 +32,11 @@ def session(app: str = "inkveil", master: str | None = None, **settings: str) ->
     return builder.getOrCreate()
 
 
+def keyed_state(spark: SparkSession) -> None:
+    """Let streams that start from now on keep their state in RocksDB, as the latch needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see, named by the cluster or by the caller.
 

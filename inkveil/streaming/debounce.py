@@ -5,15 +5,27 @@ A burst ends when its key is quiet for ``gap_ms``.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import TimestampNTZType
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.listener import (
+    QueryIdleEvent,
+    QueryProgressEvent,
+    QueryStartedEvent,
+    QueryTerminatedEvent,
+)
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType, TimestampNTZType
 
 # --- fixed value: quiet time after which a change is scanned ------------------
 GAP_MS = 300
 
 SLICE_GAPS = 16
+ON_TIME, LATE, NO_TIME = "on_time", "late", "no_time"
 
 
 def _micros(df: DataFrame, ts: str) -> Column:
@@ -64,9 +76,9 @@ def last_of_bursts_stream(
     slice.  As in batch, changes near the start of a slice are copied to the slice
     before; a burst there that ends with such a marker goes on in the next slice.
 
-    There is no rule for late data: ``delay`` says how late changes may come, and
-    :func:`dropped_late` counts those that came later.  Rows without a time have no
-    place in a stream of bursts and are left out.  Works in batch as well.
+    Changes that come later than ``delay`` are dropped here, and so are rows without a time,
+    which have no place in a stream of bursts: :func:`with_lateness` sets both aside before.
+    Works in batch as well.
     """
     columns = changes.columns
     gap = gap_ms * 1000
@@ -90,10 +102,57 @@ def last_of_bursts_stream(
     )
 
 
-def dropped_late(query: StreamingQuery) -> int:
-    """Rows that a running or ended stream has dropped as later than its delay."""
-    return sum(
-        int(state["numRowsDroppedByWatermark"])
-        for progress in query.recentProgress
-        for state in progress["stateOperators"]
+def with_lateness(changes: DataFrame, ts: str, delay: str, parts: int = 64) -> DataFrame:
+    """Adds ``lateness`` to the rows of a stream: on time, late, or without a time.
+
+    A row is late if its time is not after the watermark with which its batch begins.  No row
+    is dropped: written by a file sink, the rows on time can be read on as a stream of which
+    :func:`last_of_bursts_stream` drops none, the others are a table.  The second stream reads
+    the sink's folder without a limit on files, so that no batch of the first is split.  The
+    watermark is known to stateful operators only, so rows pass one that keeps
+    no state; they are spread evenly over ``parts`` groups, whatever their keys.
+    """
+    result = StructType([*changes.schema.fields, StructField("lateness", StringType())])
+    on_time, late, no_time = ON_TIME, LATE, NO_TIME
+
+    def judge(_: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        for batch in rows:
+            times = pd.to_datetime(batch[ts])
+            if times.dt.tz is not None:
+                times = times.dt.tz_convert("UTC").dt.tz_localize(None)
+            lateness = pd.Series(on_time, index=batch.index, dtype=object)
+            lateness[times <= watermark] = late
+            lateness[times.isna()] = no_time
+            yield batch.drop(columns=["part"]).assign(lateness=lateness)
+
+    part = F.pmod(F.xxhash64(*[c for c in changes.columns]), F.lit(parts)).alias("part")
+    placed = changes.withWatermark(ts, delay).select("*", part)
+    return placed.groupBy("part").applyInPandasWithState(
+        judge, result, "unused int", "append", GroupStateTimeout.NoTimeout
     )
+
+
+class LateRows(StreamingQueryListener):
+    """Counts, for each query, the rows that it has dropped as later than its delay.
+
+    Add it to ``spark.streams`` before queries start: it adds up every report, of which a
+    query itself remembers the last hundred only.  Rows merged before they are dropped
+    count once.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = defaultdict(int)
+
+    def onQueryStarted(self, event: QueryStartedEvent) -> None:  # noqa: N802
+        self.dropped[str(event.id)] += 0
+
+    def onQueryProgress(self, event: QueryProgressEvent) -> None:  # noqa: N802
+        for state in event.progress.stateOperators:
+            self.dropped[str(event.progress.id)] += state.numRowsDroppedByWatermark
+
+    def onQueryIdle(self, event: QueryIdleEvent) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event: QueryTerminatedEvent) -> None:  # noqa: N802
+        pass

@@ -1,4 +1,8 @@
-"""Latest findings per document: a scan replaces the one before, closing removes it."""
+"""Latest findings per document: a scan replaces the one before, closing removes it.
+
+The latest row of a document is the state of a streaming aggregate, kept, compacted and
+recovered by Spark's state store; what ``foreachBatch`` gets is only written.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from inkveil.operators.scan import scan
+from inkveil.operators.rescan import rescanned, scanned, unscanned
 from inkveil.plans.policy import ScanPolicy
-from inkveil.streaming.epochs import BATCHES, Epochs
 
 
 def latest_per_key(
@@ -29,67 +33,94 @@ def latest_per_key(
 
 
 class LatestFindings:
-    """Keyed table of the latest findings, fed by ``foreachBatch``.
+    """Keyed table of the latest findings.
 
-    Every micro-batch writes its own folder of changes; snapshots keep the number of
-    folders that a read needs bounded (see :class:`~inkveil.streaming.epochs.Epochs`).
-    Closed documents stay in them as closed, so that a late change cannot bring back
-    an older state.
+    The stream of documents is scanned, by a projection, into narrow rows; the last row of
+    each key is the state of an aggregate in update mode.  Closed documents stay in it as
+    closed, so that a late change can't bring back an older state.  ``round`` counts the
+    changes of policy: at the same version, the row of the later round counts.
     """
 
     def __init__(
         self,
-        path: str,
         keys: Sequence[str],
         order: Sequence[str],
         text: str = "text",
         closed: str | None = None,
         policy: ScanPolicy | None = None,
-        batches: int = BATCHES,
+        round: int = 0,
     ) -> None:
-        self.path = path
         self.keys = list(keys)
         self.order = list(order)
         self.text = text
         self.closed = closed
         self.policy = policy or ScanPolicy.documents()
-        self.state = Epochs(path, self._fold, batches)
-
-    def _fold(self, rows: DataFrame) -> DataFrame:
-        return latest_per_key(rows, self.keys, ["version", "batch"])
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        last = latest_per_key(batch, self.keys, self.order)
-        is_closed = F.expr(self.closed) if self.closed else F.lit(False)
-        rows = scan(last, self.text, self.policy).select(
-            *self.keys,
-            F.struct(*self.order).alias("version"),
-            F.coalesce(is_closed, F.lit(False)).alias("closed"),
-            F.transform("detections", lambda d: d.dropFields("value")).alias("detections"),
-        )
-        self.state.before(batch.sparkSession, batch_id)  # folds the epoch before, if one ended
-        self.state.write(rows, batch_id)
+        self.round = round
 
     def under(self, policy: ScanPolicy) -> LatestFindings:
-        """The same table under a new policy."""
+        """The same table in the next round, under a new policy."""
         return LatestFindings(
-            self.path, self.keys, self.order, self.text, self.closed, policy, self.state.batches
+            self.keys, self.order, self.text, self.closed, policy, self.round + 1
         )
 
-    def rescan(
-        self, documents: DataFrame, batch_id: int, policy: ScanPolicy
-    ) -> LatestFindings:
-        """Scan all open documents again under a new policy, as the batch of this number.
+    def _version(self) -> Column:
+        return F.struct(*self.order)
 
-        ``documents`` have the present texts, with keys and order; those that are
-        closed here are left alone.  A policy that is not active clears all findings.
+    def rows(self, documents: DataFrame) -> DataFrame:
+        """Narrow rows of a stream or table of documents: what is kept of each."""
+        is_closed = F.expr(self.closed) if self.closed else F.lit(False)
+        marked = documents.withColumn("closed", F.coalesce(is_closed, F.lit(False)))
+        kept = scanned(marked, [*self.keys, "closed"], self._version(), self.text, self.policy)
+        return kept.withColumn("round", F.lit(self.round))
+
+    def latest(self, rows: DataFrame) -> DataFrame:
+        """One row per key: as a stream, in update mode, those that a batch has changed."""
+        last = F.max_by(F.struct(*rows.columns), F.struct("version", "round")).alias("last")
+        return rows.groupBy(*self.keys).agg(last).select("last.*")
+
+    def start(
+        self, rows: DataFrame, path: str, checkpoint: str, *, available_now: bool = False
+    ) -> StreamingQuery:
+        """Keep the state, and write what each batch changes into its own folder of ``path``.
+
+        A batch that runs again writes the same rows over its own.
         """
-        table = self.under(policy)
-        open_keys = self.read(documents.sparkSession).select(*self.keys)
-        table(documents.join(open_keys, self.keys, "left_semi"), batch_id)
-        return table
 
-    def read(self, spark: SparkSession) -> DataFrame:
+        def write(changed: DataFrame, batch_id: int) -> None:
+            changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+        writer = (
+            self.latest(rows)
+            .writeStream.outputMode("update")
+            .foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+        )
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    def state(self, spark: SparkSession, checkpoint: str) -> DataFrame:
+        """The last row of every key, closed ones included, from the state store itself."""
+        store = spark.read.format("statestore").option("path", checkpoint).load()
+        last = store.schema["value"].dataType.fieldNames()[0]
+        return store.select(f"value.{last}.*")
+
+    def read(self, spark: SparkSession, checkpoint: str) -> DataFrame:
         """The present findings of every open document."""
-        state = self.state.state(spark)
-        return state.where(~F.col("closed")).select(*self.keys, "version", "detections")
+        return self.state(spark, checkpoint).where(~F.col("closed")).drop("closed")
+
+    def rescan(self, state: DataFrame, documents: DataFrame, policy: ScanPolicy) -> DataFrame:
+        """Rows of all open documents under a new policy, to be fed to the stream.
+
+        ``state`` is what :meth:`state` reads; ``documents`` have the present texts, with
+        keys and order.  Documents that are stored are scanned with the detectors that have
+        changed only, unknown ones and other versions with all.  A document that is closed
+        at the same or a later version stays so.
+        """
+        table = self.under(policy)
+        is_open = state.where(~F.col("closed"))
+        old = rescanned(is_open, documents, self.keys, self._version(), self.text, policy)
+        new = unscanned(state, documents, self.keys, self._version())
+        return (
+            old.withColumns({"closed": F.lit(False), "round": F.lit(table.round)})
+            .select(*self.keys, "closed", "version", "detections", "scanned_with", "round")
+            .unionByName(table.rows(new))
+        )
