@@ -392,8 +392,10 @@ def oracle_sql() -> dict[str, str]:
     sql["q_rescan_policy"] = f"""{ctes(DOCS, "doc_id", None, "critical")}
       SELECT doc_id, count(type)::INT AS n_findings FROM src LEFT JOIN found USING (doc_id) GROUP BY doc_id"""
     sql["q_file_run"] = f"""{ctes(DOCS, "doc_id")}
-      SELECT doc_id, (CASE WHEN doc_id IN (SELECT doc_id FROM found) THEN 1 ELSE 0 END)::INT AS verdict
-      FROM src UNION ALL SELECT -1, 3"""
+      SELECT doc_id, doc_id % 97 = 0 OR text = '' AS is_empty, (CASE WHEN doc_id % 97 <> 0
+        AND doc_id IN (SELECT doc_id FROM found) THEN 1 ELSE 0 END)::INT AS verdict
+      FROM src UNION ALL SELECT -1, NULL, 3"""
+    sql["q_feed_scan"] = flat(DOCS, "doc_id")
     sql["q_sinks"] = redact_safe(
         DOCS, "doc_id",
         "doc_id, coalesce(n_redacted, 0)::INT AS n_findings, coalesce(n_redacted, 0) = 0 AS clean, "

@@ -20,7 +20,8 @@ from inkveil.operators.scan import findings, order_findings, overlaps, scan, wit
 from inkveil.plans.policy import ScanPolicy
 from inkveil.session import keyed_state, shared_folder
 from inkveil.sources import sinks
-from inkveil.sources.files import judge_listed, list_files, read_texts
+from inkveil.sources.feed import TEXTS, read_feed
+from inkveil.sources.files import judge_listed, read_texts, unreadable
 from inkveil.sources.tables import read_table
 from inkveil.streaming.debounce import ON_TIME, last_of_bursts, last_of_bursts_stream, with_lateness
 from inkveil.streaming.latch import BlockLatch
@@ -475,14 +476,47 @@ def q_rescan_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_file_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts written as files, listed, read whole, judged; one listed file is not there."""
-    place = f"{_workspace(spark)}/files"
-    documents(spark, sf).write.partitionBy("doc_id").text(place)
-    listed = list_files(spark, place).select("source")
-    missing = spark.range(1).select(F.lit(f"{place}/doc_id=-1/missing.txt").alias("source"))
-    judged = judge_listed(listed.unionByName(missing), gate.verdicts(read_texts(spark, place)))
-    number = F.regexp_extract("source", "doc_id=(-?[0-9]+)", 1).cast("long")
-    return judged.select(number.alias("doc_id"), "verdict")
+    """Texts written as files, read by path and judged: some are empty, some not UTF-8, one
+    that was asked for is not there."""
+    place = _workspace(spark)
+    texts = documents(spark, sf).select(
+        F.concat("doc_id", F.lit(".txt")).alias("name"),
+        F.when(F.col("doc_id") % 97 == 0, F.lit(b""))
+        .when(F.col("doc_id") % 89 == 0, F.concat(F.lit(b"\xff\xfe"), F.encode("text", "UTF-8")))
+        .otherwise(F.encode("text", "UTF-8"))
+        .alias("content"),
+    )
+    sinks.write_texts(texts, "name", "content", f"{place}/files").write.parquet(f"{place}/written")
+    files = read_texts(spark, [f"{place}/files", f"{place}/-1.txt"])
+    judged = gate.verdicts(files, unreadable=unreadable())
+    number = F.regexp_extract("source", "/(-?[0-9]+)[.]txt$", 1).cast("long")
+    return judged.select(
+        number.alias("doc_id"), (F.col("bytes") == 0).alias("is_empty"), "verdict"
+    )
+
+
+def q_feed_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts appended to a feed while a stream reads it; the stream stops and starts again."""
+    place = _workspace(spark)
+    texts = documents(spark, sf).select(F.concat_ws("\t", "doc_id", "text").alias("value"))
+    policy = ScanPolicy.batch()
+    for part, moduli in enumerate(((0, 1), (2,))):
+        rows = texts.where((F.crc32("value") % 3).isin(*moduli))
+        rows = rows.write.option("lineSep", "\0")
+        rows.mode("append").text(f"{place}/feed/{part}")
+        feed = read_feed(
+            spark, f"{place}/feed", separator=TEXTS, batch_bytes=1 << 24, checkpoint=f"{place}/state"
+        )
+        # names that begin with an underscore are Spark's own
+        own = feed.where("source NOT LIKE '%/_SUCCESS' AND source NOT LIKE '%.crc'")
+        parts = F.split("text", "\t", 2)
+        own = own.select(parts[0].cast("long").alias("doc_id"), parts[1].alias("text"))
+        found = findings(own, ["doc_id"], "text", policy)
+        writer = found.writeStream.format("parquet").option("path", f"{place}/out")
+        query = writer.option("checkpointLocation", f"{place}/state").start()
+        query.processAllAvailable()
+        query.stop()
+    return spark.read.schema(found.schema).parquet(f"{place}/out")
 
 
 def q_sinks(spark: SparkSession, sf: str) -> DataFrame:
