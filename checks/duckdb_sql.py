@@ -7,7 +7,7 @@ window functions.
 
 from __future__ import annotations
 
-from checks.spikes import CONVERSATIONS, DOCUMENTS, PAGES
+from checks.spikes import CONVERSATIONS, DOCUMENTS, NUMBERS, PAGES
 
 WS = (
     r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}"
@@ -391,6 +391,62 @@ def oracle_sql() -> dict[str, str]:
       SELECT user_id, event_id, ts, event_type, value FROM n WHERE rn = 1 AND event_type <> 'error'"""
     sql["q_rescan_policy"] = f"""{ctes(DOCS, "doc_id", None, "critical")}
       SELECT doc_id, count(type)::INT AS n_findings FROM src LEFT JOIN found USING (doc_id) GROUP BY doc_id"""
+    numbered = f"SELECT doc_id, {NUMBERS} AS text FROM documents"
+    # --- fixed values: characters of account numbers by country
+    lengths = """15 NO, 16 BE, 18 DK FI FO GL NL, 19 MK SI, 20 AT BA EE KZ LT LU XK, 21 CH CR HR LI LV,
+        22 BG BH DE GB GE IE ME RS, 23 AE GI IL IQ TL, 24 AD CZ ES MD PK RO SA SE SK TN VG, 25 PT ST, 26 IS TR,
+        27 FR GR IT MC MR SM, 28 AL AZ BY CY DO GT HU LB PL SV, 29 BR PS QA UA, 30 JO KW MU, 31 MT SC, 32 LC"""
+    by_length = [entry.split() for entry in lengths.split(",")]
+    accounts = "|".join(
+        rf"(?:{'|'.join(countries)})[0-9]{{2}}(?: ?[A-Z0-9]){{{int(n) - 4}}}" for n, *countries in by_length
+    )
+    sql["q_iban"] = rf"""WITH c AS (
+        SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:{accounts})\b')) AS value FROM ({numbered})),
+      m AS (SELECT *, replace(value, ' ', '') AS v FROM c),
+      r AS (SELECT *, list_reduce([0] || list_transform(string_split(substr(v, 5) || v[1:4], ''),
+        lambda x: CASE WHEN x <= '9' THEN ascii(x) - 48 ELSE ascii(x) - 55 END),
+        lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) AS rest FROM m)
+      SELECT doc_id, 'iban' AS type, 'high' AS severity, value, count(*) AS n FROM r WHERE rest = 1 GROUP BY ALL"""
+    sql["q_ipv6"] = rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9A-Za-z_:.]+')) AS token
+        FROM ({numbered})),
+      c AS (SELECT doc_id, regexp_extract(token, '^([0-9A-Fa-f]{{0,4}}(?::[0-9A-Fa-f]{{0,4}}){{2,8}}(?:(?:[.][0-9]{{1,3}}){{3}})?)(?:[^0-9A-Za-z_:]|$)', 1)
+        AS value FROM t),
+      p AS (SELECT *, contains(value, '.') AS dotted, string_split(regexp_extract(value, '[0-9.]+$'), '.') AS octets,
+        regexp_replace(value, '[0-9]+([.][0-9]+){{3}}$', '0:0') AS v FROM c WHERE value <> ''),
+      h AS (SELECT *, string_split(v, '::') AS halves FROM p),
+      g AS (SELECT *, list_concat(CASE WHEN halves[1] = '' THEN [] ELSE string_split(halves[1], ':') END,
+        CASE WHEN len(halves) < 2 OR halves[2] = '' THEN [] ELSE string_split(halves[2], ':') END) AS groups FROM h)
+      SELECT doc_id, 'ipv6-address' AS type, 'medium' AS severity, value, count(*) AS n FROM g
+      WHERE len(halves) <= 2 AND len(list_filter(groups, lambda x: NOT regexp_full_match(x, '[0-9A-Fa-f]{{1,4}}'))) = 0
+        AND ((len(halves) = 1 AND len(groups) = 8) OR (len(halves) = 2 AND len(groups) BETWEEN 1 AND 7))
+        AND (NOT dotted OR (len(octets) = 4 AND list_max(list_transform(octets, lambda x: cast(x AS int))) <= 255))
+      GROUP BY ALL"""
+    sql["q_allowed"] = f"""{ctes(DOCS, "doc_id")},
+      f AS (SELECT *, 'docs/' || (doc_id % 5) || '/' || doc_id AS path FROM found),
+      allow AS (SELECT DISTINCT value, CASE WHEN doc_id % 2 = 0 THEN type END AS type,
+        CASE WHEN doc_id % 4 = 0 THEN 'docs/1' END AS path FROM f WHERE doc_id % 3 = 0)
+      SELECT doc_id, type, "start", value FROM f
+      WHERE NOT (type = 'ssn' AND doc_id % 5 = 2) AND doc_id % 5 <> 3
+        AND NOT EXISTS (SELECT 1 FROM allow a WHERE a.value = f.value
+          AND (a.type IS NULL OR a.type = f.type) AND (a.path IS NULL OR f.path LIKE a.path || '/%'))"""
+    sql["q_weekly_rollup"] = f"""{ctes(DOCS, "doc_id")},
+      d AS (SELECT src.doc_id, user_id % 7 AS team, user_id AS member, date_trunc('week', ts)::DATE AS week
+        FROM src LEFT JOIN events ON event_id = src.doc_id),
+      n AS (SELECT doc_id, type, count(*) AS n FROM found GROUP BY ALL),
+      k AS (SELECT d.*, type, n FROM d JOIN n USING (doc_id) UNION ALL
+        SELECT d.*, 'all', coalesce(s, 0) FROM d LEFT JOIN (SELECT doc_id, sum(n) AS s FROM n GROUP BY ALL) USING (doc_id)),
+      l AS (SELECT unnest([0, 2, 6, 1, 3, 7]) AS level)
+      SELECT CASE WHEN level & 4 = 0 THEN team END AS team, CASE WHEN level & 2 = 0 THEN member END AS member,
+        CASE WHEN level & 1 = 0 THEN week END AS week, type, level::INT AS level, sum(n)::BIGINT AS n_findings,
+        count(*) AS n_documents, count(*) FILTER (WHERE n > 0) AS n_with_findings
+      FROM k, l GROUP BY ALL"""
+    sql["q_audit_log"] = f"""{ctes(DOCS, "doc_id")},
+      e AS (SELECT DISTINCT doc_id, type, severity, "start", "end", value FROM found),
+      b AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 1 END AS batch, 'scanner' AS actor FROM e
+          WHERE doc_id % 2 = 0 OR doc_id % 3 = 0
+        UNION ALL SELECT *, 2, 'gate' FROM e WHERE doc_id % 5 = 0)
+      SELECT batch::INT AS batch, actor, 'found' AS action, type, severity, count(*) AS n, count(*) AS n_events
+      FROM b GROUP BY ALL"""
     sql["q_file_run"] = f"""{ctes(DOCS, "doc_id")}
       SELECT doc_id, doc_id % 97 = 0 OR text = '' AS is_empty, (CASE WHEN doc_id % 97 <> 0
         AND doc_id IN (SELECT doc_id FROM found) THEN 1 ELSE 0 END)::INT AS verdict

@@ -8,18 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.spikes import CONVERSATIONS, DOCUMENTS, PAGES
+from checks.spikes import CONVERSATIONS, DOCUMENTS, NUMBERS, PAGES
 from inkveil.functions import patterns
 from inkveil.functions.cards import digits_of, issuer, passes_luhn
 from inkveil.functions.detect import detections_sql
 from inkveil.functions.detectors import entropy_detector, register_detector
 from inkveil.functions.entropy import rejection, shannon_entropy
+from inkveil.functions.numbers import IBAN, IPV6
 from inkveil.operators import gate, intercept, report, summary
+from inkveil.operators.allow import Scope, allowed_values, not_allowed
 from inkveil.operators.redact import redacted
+from inkveil.operators.totals import weekly_totals
 from inkveil.operators.scan import findings, order_findings, overlaps, scan, with_scheme
 from inkveil.plans.policy import ScanPolicy
 from inkveil.session import keyed_state, shared_folder
 from inkveil.sources import sinks
+from inkveil.sources.audit import AuditLog
 from inkveil.sources.feed import TEXTS, read_feed
 from inkveil.sources.files import judge_listed, read_texts, unreadable
 from inkveil.sources.tables import read_table
@@ -220,6 +224,32 @@ def q_custom_detector(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "type", "severity", "value")
 
 
+def of_numbers(detector) -> Query:
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        texts = raw_documents(spark, sf).select("doc_id", F.expr(NUMBERS).alias("text"))
+        found = findings(texts, ["doc_id"], "text", ScanPolicy(enabled=(), extra=(detector,)))
+        return found.groupBy("doc_id", "type", "severity", "value").agg(F.count(F.lit(1)).alias("n"))
+
+    return query
+
+
+def q_allowed(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings that no entry allows: values found in some documents, partly limited to a
+    detector or a path, and a scope without values."""
+    texts = documents(spark, sf).withColumn(
+        "path", F.concat(F.lit("docs/"), (F.col("doc_id") % 5).cast("string"), F.lit("/"), F.col("doc_id"))
+    )
+    found = findings(texts, ["doc_id", "path"])
+    listed = found.where(F.col("doc_id") % 3 == 0).select(
+        "value",
+        F.when(F.col("doc_id") % 2 == 0, F.col("type")).alias("type"),
+        F.when(F.col("doc_id") % 4 == 0, F.lit("docs/1")).alias("path"),
+    )
+    scopes = [Scope(type="ssn", path="docs/2/"), Scope(path="docs/3")]
+    rest = not_allowed(found, allowed_values(listed, "secret"), "secret", "path", scopes)
+    return rest.select("doc_id", "type", "start", "value")
+
+
 # --- redaction --------------------------------------------------------------
 def q_redact_documents(spark: SparkSession, sf: str) -> DataFrame:
     return redacted(documents(spark, sf)).drop("text")
@@ -359,6 +389,14 @@ def q_display_levels(spark: SparkSession, sf: str) -> DataFrame:
     return summary.count_by_level(documents(spark, sf))
 
 
+def q_weekly_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by the week and the user of the event of the same number, users in teams."""
+    own = events(spark, sf).select(F.col("event_id").alias("doc_id"), "ts", "user_id")
+    placed = documents(spark, sf).join(own, "doc_id", "left")
+    placed = placed.withColumn("squad", F.col("user_id") % 7)
+    return weekly_totals(placed, "ts", "user_id", "squad").withColumnRenamed("person", "member")
+
+
 # --- streams ----------------------------------------------------------------
 def q_debounce_events(spark: SparkSession, sf: str) -> DataFrame:
     last = last_of_bursts(events(spark, sf), "user_id", "ts", "event_id", TWO_HOURS_MS)
@@ -543,6 +581,20 @@ def q_sinks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_audit_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Three batches, the second one twice, with findings that more than one batch has seen."""
+    log = AuditLog(f"{_workspace(spark)}/audit", ["doc_id"], "secret")
+    found = findings(documents(spark, sf), ["doc_id"])
+    kept = {0: F.col("doc_id") % 2 == 0, 1: F.col("doc_id") % 3 == 0, 2: F.col("doc_id") % 5 == 0}
+    for batch in (0, 1, 1, 2):
+        log.append(found.where(kept[batch]), batch, "scanner" if batch < 2 else "gate")
+    return (
+        log.read(spark)
+        .groupBy("batch", "actor", "action", "type", "severity")
+        .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("fingerprint").alias("n_events"))
+    )
+
+
 def queries() -> dict[str, Query]:
     detectors = {
         "q_email": one_detector("email", raw_documents),
@@ -562,6 +614,8 @@ def queries() -> dict[str, Query]:
         "q_jwt": one_detector("jwt"),
         "q_db_url": one_detector("db-connection-string"),
         "q_entropy": one_detector("high-entropy-string"),
+        "q_iban": of_numbers(IBAN),
+        "q_ipv6": of_numbers(IPV6),
         "q_min_severity_high": min_severity("high"),
         "q_min_severity_critical": min_severity("critical"),
     }

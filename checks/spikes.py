@@ -62,13 +62,30 @@ def spikes(ident: str) -> list[str]:
     ]
 
 
-def spiked(text: str, ident: str, modulus: int) -> str:
+def number_spikes(ident: str) -> list[str]:
+    """Bank accounts and network addresses, right and wrong ones."""
+    md5 = _md5(ident, "n")
+    number = f"cast({ident} AS string)"
+    return [
+        "' GB82 WEST 1234 5698 7654 32, DE89370400440532013000 EUR; GB82WEST12345698765433'",
+        f"' pay DE89 3704 0044 0532 0130 00 EUR or FR1420041010050500013M02606' || {number}",
+        f"' DE' || {_digits(f'{ident} * 31', 100, 2)} || '3704004405320130' || {_digits(ident, 100, 2)} || '.'",
+        f"' BE' || {_digits(f'{ident} * 13 + 2', 97, 2)} || ' 5390 0754 70' || {_digits(ident, 100, 2)} || ' NO9386011117947 XK051212012345678906'",
+        f"' from 2001:db8::' || substr({md5}, 1, 4) || ' to fe80::1%eth0, ::1. and :: end'",
+        f"' ::ffff:192.0.2.' || cast({ident} % 400 AS string) || ' 64:ff9b::192.0.2.33 at 12:34:56 std::string a::b::c'",
+        f"' [2001:0db8:85a3:0000:0000:8a2e:0370:7334]:443 1:2:3:4:5:6:7 1:2:3:4:5:6:7:8:9 1:2:3:4:5:6:7::'",
+        f"' ' || substr({md5}, 1, 4) || ':' || substr({md5}, 5, 4) || '::' || substr({md5}, 9, 3) || ' :1::2 1:::2 x2001:db8::1'",
+    ]
+
+
+def spiked(text: str, ident: str, modulus: int, made=spikes) -> str:
     """SQL text: ``text`` with a spike appended where ``ident % modulus`` names one."""
-    cases = "".join(f" WHEN {n} THEN {spike}" for n, spike in enumerate(spikes(ident)))
+    cases = "".join(f" WHEN {n} THEN {spike}" for n, spike in enumerate(made(ident)))
     return f"({text} || CASE ({ident}) % {modulus}{cases} ELSE '' END)"
 
 
 # key columns, text and spike of the tables used in the checks
 DOCUMENTS = spiked("text", "doc_id", 29)
+NUMBERS = spiked("text", "doc_id", 11, number_spikes)
 PAGES = spiked("html", "page_id", 29)
 CONVERSATIONS = spiked("text", "(conv_id * 7 + turn * 5)", 211)
