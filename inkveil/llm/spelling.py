@@ -8,9 +8,12 @@ their occurrences over all words, rare ones first; its prefix holds the three ra
 those that rank like the third), of which two that don't overlap are its pivots, chosen by
 dynamic programming so that their lists are short.  One edit leaves at least one pivot
 whole.  So of two near words, the one whose prefix ends earlier in the ranking has a pivot
-in the other's prefix, at the same place or one further, as the lengths tell.  Pivots of
-all words are joined with prefixes of all words on gram, place and length, and each pair
-that meets is verified.
+in the other's prefix: its first pivot, at the same place from the beginning, if the edit
+lies behind that one, else its second pivot, at the same place from the end.  The half of
+the word on that side, pivot included, is then the same in both.  Pivots of all words are
+joined with prefixes of all words on that half and the length.  Of the pairs that meet,
+those with more than two letters of different parity are passed over, and the others
+verified.
 
 Only words travel, never texts.  A word of more than ``LONG`` code points is named by its
 digest until its pairs are verified, so that long words cost rows of fixed size.
@@ -43,8 +46,8 @@ PREFIX = GRAM * EDITS + 1
 LONG = 64
 #: a word's name is what it travels by
 NAME = f"CASE WHEN length(word) <= {LONG} THEN word ELSE '#' || sha2(word, 256) END"
-#: difference of length and place of a gram in a near word, as seen from a pivot
-SHIFTS = ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))
+#: halves of words are compared by hash: a polynomial in BASE, modulo a prime of 61 bits
+BASE, PRIME = 0x1F3D5B79A6C8E2F, (1 << 61) - 1
 
 
 def _lower(run: str) -> str:
@@ -90,36 +93,53 @@ def pivots(prefix: list[tuple[int, int]]) -> list[int]:
     return list(best[-1][-1][1])
 
 
+#: a row of the index
+INDEX = {"pivot": "boolean", "half": "long", "size": "int", "name": "string", "n": "long",
+         "parity": "long"}
+
+
+def halves(word: str) -> tuple[list[int], list[int]]:
+    """Hashes of all beginnings and of all ends, even and odd ones."""
+    heads, tails = [0], [0]
+    for c in word:
+        heads.append((heads[-1] * BASE + ord(c)) % PRIME)
+    for c in reversed(word):
+        tails.append((tails[-1] * BASE + ord(c)) % PRIME)
+    return [2 * h for h in heads], [2 * t + 1 for t in reversed(tails)]
+
+
 def grams(vocabulary: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """Rows of the index and rows that look into it, for every word."""
+    """Rows of the index and rows that look into it, for every word.
+
+    ``half`` is the word up to the end of a gram, or from its beginning on.
+    """
     rank = {gram: n for n, gram in enumerate(sorted(counts, key=lambda g: (counts[g], g)))}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made: dict[str, list] = {x: [] for x in ("pivot", "gram", "place", "size", "name", "n")}
-
-            def add(pivot: bool, gram: str, place: int, size: int) -> None:
-                for column, value in zip(made, (pivot, gram, place, size, name, n)):  # noqa: B023
-                    made[column].append(value)  # noqa: B023
-
+            made: list[tuple] = []
             for word, name, n in zip(batch["word"], batch["name"], batch["n"]):
-                own = [word[i : i + GRAM] for i in range(len(word) - GRAM + 1)]
-                ranks = [rank[gram] for gram in own]
+                ranks = [rank[word[i : i + GRAM]] for i in range(len(word) - GRAM + 1)]
                 last = sorted(ranks)[PREFIX - 1]
-                prefix = [(i, counts[gram]) for i, gram in enumerate(own) if ranks[i] <= last]
+                prefix = [(i, counts[word[i : i + GRAM]]) for i, r in enumerate(ranks) if r <= last]
+                heads, tails = halves(word)
+                parity = 0
+                for c in word:
+                    parity ^= 1 << ord(c) % 63
                 for place, _ in prefix:
-                    add(False, own[place], place, len(word))
-                for place in pivots(prefix):
-                    for longer, further in SHIFTS:
-                        add(True, own[place], place + further, len(word) + longer)
-                if len(made["n"]) > 1 << 16:
-                    yield pd.DataFrame(made)
-                    for column in made.values():
-                        column.clear()
-            yield pd.DataFrame(made)
+                    for half in (heads[place + GRAM], tails[place]):
+                        made.append((False, half, len(word), name, n, parity))
+                first, second = pivots(prefix)
+                for half in (heads[first + GRAM], tails[second]):
+                    for size in range(len(word) - EDITS, len(word) + EDITS + 1):
+                        made.append((True, half, size, name, n, parity))
+                if len(made) > 1 << 16:
+                    yield pd.DataFrame(made, columns=list(INDEX))
+                    made = []
+            if made:
+                yield pd.DataFrame(made, columns=list(INDEX))
 
-    schema = "pivot boolean, gram string, place int, size int, name string, n long"
-    return vocabulary.mapInPandas(rows, schema)
+    return vocabulary.mapInPandas(rows, ", ".join(f"{k} {v}" for k, v in INDEX.items()))
 
 
 def _near(first: str | Column, second: str | Column) -> Column:
@@ -138,17 +158,19 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     assert len(counts) <= MOST_GRAMS
     index = staged(grams(vocabulary, counts), "grams")
     listed = index.where(~F.col("pivot")).select(
-        "gram", "place", "size", F.col("name").alias("peer"), F.col("n").alias("peer_n")
+        "half", "size", F.col("name").alias("peer"), F.col("n").alias("peer_n"), "parity"
     )
     # words of LONG code points and one more may be near each other
     by_digest = F.startswith("name", F.lit("#")) | F.startswith("peer", F.lit("#"))
-    same = [F.col(f"p.{key}") == F.col(f"l.{key}") for key in ("gram", "place", "size")]
+    same = [F.col(f"p.{key}") == F.col(f"l.{key}") for key in ("half", "size")]
+    # an edit changes one letter's parity, or those of two
+    alike = F.bit_count(F.col("p.parity").bitwiseXOR(F.col("l.parity"))) <= 2 * EDITS
     met = (
         index.where("pivot")
         .alias("p")
         .join(
             listed.alias("l"),
-            [*same, F.col("name") != F.col("peer"), by_digest | _near("name", "peer")],
+            [*same, alike, F.col("name") != F.col("peer"), by_digest | _near("name", "peer")],
         )
         .select("name", F.col("p.n").alias("n"), "peer", "peer_n", by_digest.alias("_open"))
     )
