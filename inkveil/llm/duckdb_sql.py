@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkveil.llm import line_templates, mixing
+from inkveil.llm import mixing
 
 WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 RUNS = """list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))"""
@@ -124,57 +124,51 @@ FROM p
 """
 
 
-def _op1() -> str:
-    least, like = line_templates.LEAST_DOCUMENTS, line_templates.SIMILARITY
-    masked = (
-        r"list_transform(string_split(regexp_replace(regexp_replace(text, '\S*[0-9]\S*', "
-        rf"'{line_templates.VARIABLE}', 'g'), '[ \t\r\f\x0B]+', ' ', 'g'), chr(10)), lambda x: trim(x))"
-    )
-    parts = [
-        f"""d AS MATERIALIZED (
+OP1 = r"""
+WITH RECURSIVE d AS MATERIALIZED (
   SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS plain,
-    {masked} AS masked FROM documents
+    list_transform(string_split(regexp_replace(regexp_replace(text, '\S*[0-9]\S*', '<*>', 'g'),
+      '[ \t\r\f\x0B]+', ' ', 'g'), chr(10)), lambda x: trim(x)) AS masked FROM documents
 ), l AS MATERIALIZED (
   SELECT r, unnest(list_filter(list_distinct(masked), lambda x: x <> '')) AS line FROM d
 ), n AS MATERIALIZED (
   SELECT line, count(*) AS docs, string_split(line, ' ') AS tokens,
-    len(string_split(line, ' ')) || ' ' || array_to_string(string_split(line, ' ')[1:3], ' ') AS leaf
+    len(string_split(line, ' ')) || ' ' || array_to_string(string_split(line, ' ')[1:3], ' ') AS leaf,
+    CASE WHEN len(string_split(line, ' ')) >= 50 THEN 2 ELSE 3 END AS least
   FROM l GROUP BY line
-), rest0 AS MATERIALIZED (
-  SELECT * FROM n WHERE leaf IN
-    (SELECT leaf FROM n GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {least})
-)"""
-    ]
-    for i in range(line_templates.ROUNDS):
-        parts.append(
-            f"""tok{i} AS (
-  SELECT leaf, pos, token, sum(docs) AS docs
-  FROM (SELECT leaf, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos
-        FROM rest{i}) GROUP BY ALL
-), top{i} AS (
-  SELECT leaf, pos, max((docs, token)) AS top FROM tok{i} GROUP BY ALL
-), vote{i} AS MATERIALIZED (
-  SELECT t.leaf, list(CASE WHEN t.top[1] >= s.total * {line_templates.CONSTANT} THEN t.top[2] END
-    ORDER BY t.pos) AS template
-  FROM top{i} t JOIN (SELECT leaf, sum(docs) AS total FROM rest{i} GROUP BY leaf) s USING (leaf)
-  GROUP BY t.leaf
-), judged{i} AS MATERIALIZED (
-  SELECT rest{i}.*, coalesce(len(list_filter(list_zip(tokens, template), lambda x: x[1] = x[2])), 0)
-    / len(tokens) >= {like} AS is_like FROM rest{i} JOIN vote{i} USING (leaf)
-), rest{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (is_like) FROM judged{i} WHERE NOT is_like)"""
-        )
-    found = " UNION ALL ".join(
-        f"SELECT line, leaf || ' {i}' AS shared FROM judged{i} WHERE is_like"
-        for i in range(line_templates.ROUNDS)
+), start AS MATERIALIZED (
+  SELECT line, docs, tokens, leaf FROM n WHERE leaf IN
+    (SELECT leaf FROM n GROUP BY leaf, least HAVING count(*) > 1 AND sum(docs) >= least)
+), walk(line, docs, tokens, grp, shared) AS (
+  SELECT line, docs, tokens, leaf, NULL::VARCHAR FROM start
+  UNION ALL (
+    WITH cur AS (SELECT line, docs, tokens, grp FROM walk WHERE shared IS NULL),
+    tok AS (
+      SELECT grp, pos, token, sum(docs) AS docs, count(*) AS lines
+      FROM (SELECT grp, docs, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS pos FROM cur) GROUP BY ALL
+    ), place AS (
+      SELECT grp, pos, max((docs, token)) AS top, max(docs) FILTER (lines > 1) AS recurs, count(*) AS kinds
+      FROM tok GROUP BY ALL
+    ), vote AS (
+      SELECT p.grp, list(CASE WHEN p.top[1] * 2 >= s.total THEN p.top[2] END ORDER BY p.pos) AS template,
+        arg_max(p.pos, (recurs, -p.pos)) FILTER (kinds > 1 AND recurs IS NOT NULL) AS split
+      FROM place p JOIN (SELECT grp, sum(docs) AS total FROM cur GROUP BY grp) s USING (grp) GROUP BY p.grp
+    ), judged AS (
+      SELECT cur.*, split, coalesce(len(list_filter(list_zip(tokens, template), lambda x: x[1] = x[2])), 0) * 10
+        >= len(tokens) * 7 AS is_like FROM cur JOIN vote USING (grp)
     )
-    parts.append(
-        f"""members AS MATERIALIZED ({found}),
+    SELECT line, j.docs, tokens, CASE WHEN is_like THEN j.grp
+        ELSE j.grp || '|' || split || '=' || CASE WHEN t.lines > 1 THEN t.token ELSE ' ' END END,
+      CASE WHEN is_like THEN j.grp END
+    FROM judged j LEFT JOIN tok t ON t.grp = j.grp AND t.pos = j.split AND t.token = j.tokens[j.split]
+    WHERE is_like OR split IS NOT NULL
+  )
+), members AS MATERIALIZED (SELECT line, shared FROM walk WHERE shared IS NOT NULL),
 many AS (
-  SELECT shared FROM l JOIN members USING (line) GROUP BY shared
-  HAVING count(DISTINCT r) >= {least}
+  SELECT shared FROM l JOIN members USING (line) JOIN n USING (line) GROUP BY shared, least
+  HAVING count(DISTINCT r) >= least
 ), gone AS MATERIALIZED (
-  SELECT line FROM members SEMI JOIN many USING (shared)
-  UNION ALL SELECT line FROM n ANTI JOIN members USING (line) WHERE docs >= {least}
+  SELECT line FROM members SEMI JOIN many USING (shared) UNION SELECT line FROM n WHERE docs >= least
 ), hit AS (
   SELECT l.r, list(line) AS lines FROM l SEMI JOIN gone USING (line) GROUP BY l.r
 ), pairs AS (
@@ -186,16 +180,15 @@ SELECT doc_id, coalesce(len(list_filter(pairs, lambda x: x[2] <> '')), 0) AS n_l
   CASE WHEN text IS NOT NULL THEN array_to_string(list_transform(
     list_filter(pairs, lambda x: x[2] = '' OR NOT list_contains(lines, x[2])), lambda x: x[1]), chr(10)) END
     AS text
-FROM pairs"""
-    )
-    return "WITH " + ",\n".join(parts)
+FROM pairs
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
     found = {
-        "op1_line_templates": _op1(),
+        "op1_line_templates": OP1,
         "op4_maxscore": OP4,
         "op7_containment": OP7,
         "op8_chat_machine": OP8,
