@@ -1,11 +1,13 @@
 """Sharding by balanced label propagation.
 
 Documents with the same text are linked. Labels are shards; a document looks at
-its neighbours' labels and wants the shard that most of them have, weighed by the
-room that is left there. Wishes are granted under quotas: what two shards exchange
-is free, what exceeds that must fit the room of the wanted shard. So no shard ever
-holds more linked bytes than its share. Documents without links, which cut
-nothing wherever they go, then fill all shards to the same size.
+its neighbours' labels and wants the shard that most of them have, weighed by the room that
+is left there, ties by a hash that all neighbours agree on. Wishes are granted under quotas: what two shards exchange
+is free, what exceeds that must fit the room of the wanted shard, which may hold a
+quarter more than its share while labels move. When they have settled, what a shard
+holds beyond its share goes on to shards with room, end to end in the order of the
+links, so that no more than one group is cut for each shard. Documents without links,
+which cut nothing wherever they go, then fill all shards to the same size.
 
 All of it is joins and sums: groups are summed per label before they are shuffled,
 a group of a third of all rows is one row per label and task, and quotas are
@@ -27,6 +29,12 @@ SHARDS = 8
 ROUNDS = 8
 #: parts of the wishes between two shards that a quota accepts or leaves
 SLICES = 256
+#: room beyond its share that a shard has while labels move
+SLACK = 0.25
+#: how often full shards hand on what they hold beyond their share; mostly once is enough
+EVENINGS = 6
+#: the pull of a full shard, beside that of an empty one
+LEAST_ROOM = 0.01
 
 
 def _votes(linked: DataFrame) -> DataFrame:
@@ -34,29 +42,33 @@ def _votes(linked: DataFrame) -> DataFrame:
     return linked.groupBy("link", "label").agg(F.count(F.lit(1)).alias("votes"))
 
 
-def _wishes(linked: DataFrame, loads: dict[int, int], quota: float) -> DataFrame:
-    """Linked documents with the label they want; a label without room is wanted by none."""
+def _wishes(linked: DataFrame, loads: dict[int, int], quota: float, turn: int) -> DataFrame:
+    """Linked documents with the label they want, of those that most of their link have.
+
+    A label counts more where it has room, but a full one is wanted too, as what goes there
+    may change places with what comes from there.  Nobody leaves a label for one that fewer
+    have.  Ties fall otherwise in another round, in case that the first wish isn't granted.
+    """
     room = F.element_at(
         F.create_map(
             *[
                 F.lit(x)
                 for shard, load in loads.items()
-                for x in (shard, max(0.0, 1 - load / max(quota, 1.0)))
+                for x in (shard, max(LEAST_ROOM, 1 - load / max(quota, 1.0)))
             ]
         ),
         F.col("label"),
     )
-    votes = _votes(linked)
-    best = staged(
-        votes.groupBy("link").agg(
-            F.max(F.struct((F.col("votes") * room).alias("pull"), (-F.col("label")).alias("label")))
-            .alias("top"),
-        ),
-        "best",
-    ).select("link", (-F.col("top.label")).alias("wanted"), F.col("top.pull").alias("pull"))
-    return linked.join(best, "link").withColumn(
-        "wants", (F.col("wanted") != F.col("label")) & (F.col("pull") > 0)
+    votes = staged(_votes(linked), "votes")
+    pull = F.struct(F.col("votes") * room, F.xxhash64("link", "label", F.lit(turn)))
+    best = votes.groupBy("link").agg(F.max_by(F.struct("label", "votes"), pull).alias("top"))
+    judged = votes.join(best, "link").select(
+        "link",
+        "label",
+        F.col("top.label").alias("wanted"),
+        ((F.col("top.label") != F.col("label")) & (F.col("top.votes") >= F.col("votes"))).alias("wants"),
     )
+    return linked.join(staged(judged, "judged"), ["link", "label"])
 
 
 def _slice():
@@ -116,7 +128,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         F.monotonically_increasing_id().alias("row"),
     ).withColumn("bits", F.xxhash64("doc_id", "link", "row").bitwiseAND(RANGE - 1))
     nodes = staged(narrow, "nodes")
-    totals = nodes.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    totals = nodes.agg(
+        F.sum("size").alias("bytes"),
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.max("size"), F.lit(0)).alias("largest"),
+    ).first()
     total, rows = totals["bytes"] or 0, totals["rows"]
     quota = total / shards
     groups = nodes.where("link IS NOT NULL").groupBy("link").agg(F.count(F.lit(1)).alias("n"))
@@ -130,10 +146,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         "marked",
     )
     linked, single = marked.where("label IS NOT NULL"), marked.where("label IS NULL")
-    for _ in range(rounds):
+    room = quota * (1 + SLACK)
+    for turn in range(rounds):
         loads = _loads(linked, shards)
-        wishes = staged(_wishes(linked, loads, quota), "wishes")
-        granted = staged(_granted(wishes, loads, quota), "granted")
+        wishes = staged(_wishes(linked, loads, room, turn), "wishes")
+        granted = staged(_granted(wishes, loads, room), "granted")
         if granted.isEmpty():
             break
         # one row for each pair of shards at most
@@ -145,6 +162,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
             "linked",
         )
     loads = _loads(linked, shards)
+    for _ in range(EVENINGS):
+        # documents without links even out what lacks, but not what is too much
+        least = min(loads.values()) if sum(loads.values()) == total else quota
+        if max(loads.values()) - least <= totals["largest"] / (1 if least < quota else 2):
+            break
+        linked = _evened(linked, loads, quota, rows)
+        loads = _loads(linked, shards)
     filled = _fill(single, loads, total, shards, rows)
     placed = linked.select(*nodes.columns, F.col("label").alias("shard")).unionByName(
         filled.select(*nodes.columns, "shard")
@@ -162,6 +186,53 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     )
 
 
+def _evened(linked: DataFrame, loads: dict[int, int], quota: float, rows: int) -> DataFrame:
+    """Move what shards hold beyond their share to those that hold less.
+
+    The documents of a full shard lie end to end, those of a link together and links that
+    are cut anyway last, and the ones behind its share go.  They fill the gaps of the other
+    shards in the same order.
+    """
+    over = [s for s, load in loads.items() if load > quota]
+    if not over:
+        return linked
+    full = linked.where(F.col("label").isin(over))
+    cut = _votes(linked).groupBy("link").agg((F.count(F.lit(1)) > 1).cast("long").alias("cut"))
+    half = F.lit(RANGE // 2)
+    groups = staged(
+        full.groupBy("label", "link")
+        .agg(F.sum("size").alias("bytes"))
+        .join(cut, "link")
+        .withColumn("link_bits", F.pmod(F.xxhash64("link"), half) + F.col("cut") * half),
+        "links",
+    )
+    first = running(groups, "label", "link_bits", ["link_bits", "link"], "bytes", rows)
+    first = first.select("label", "link", F.col("before").alias("start"))
+    # a link with a third of all documents is summed in stretches of its own
+    inside = full.withColumn("own", F.concat_ws(" ", "label", "link"))
+    inside = running(inside, "own", "bits", ["bits", "row"], "size", rows)
+    laid = inside.withColumnRenamed("before", "within").join(first, ["label", "link"])
+    laid = laid.withColumn("at", F.col("start") + F.col("within"))
+    laid = laid.withColumn("goes", F.col("at") + F.col("size") / 2 > quota).select(
+        *linked.columns, "at", "goes"
+    )
+    laid = staged(laid, "laid")
+    kept = _loads(laid.where("NOT goes"), max(loads) + 1)
+    start, ahead = F.lit(None).cast("double"), 0.0
+    for s in over:
+        start = F.when(F.col("label") == s, F.col("at") - kept[s] + ahead).otherwise(start)
+        ahead += loads[s] - kept[s]
+    gaps = [(s, quota - load) for s, load in loads.items() if load < quota]
+    middle, end = start + F.col("size") / 2, sum(gap for _, gap in gaps)
+    target = F.lit(gaps[-1][0]) if gaps else F.col("label")
+    for (s, _), (_, gap) in zip(gaps[-2::-1], gaps[:0:-1]):
+        end -= gap
+        target = F.when(middle < end, F.lit(s)).otherwise(target)
+    moved = laid.withColumn("label", F.when(F.col("goes"), target).otherwise(F.col("label")))
+    rest = linked.where(~F.col("label").isin(over))
+    return staged(moved.select(*linked.columns).unionByName(rest), "evened")
+
+
 def _fill(
     single: DataFrame, loads: dict[int, int], total: int, shards: int, rows: int
 ) -> DataFrame:

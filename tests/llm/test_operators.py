@@ -287,6 +287,39 @@ def test_shards(spark):
     assert sum(spread[:4]) >= 0.8 * 300, spread
 
 
+def cut_and_loads(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard_documents(docs).collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(i for i, _ in rows)
+    texts, where, load = dict(rows), {}, dict.fromkeys(range(8), 0)
+    for r in out:
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        load[r["shard"]] += r["size"]
+    slots = {s: sorted(r["slot"] for r in out if r["shard"] == s) for s in range(8)}
+    assert all(x == list(range(len(x))) for x in slots.values())
+    return sum(len(x) > 1 for x in where.values()), max(load.values()) - min(load.values())
+
+
+@pytest.mark.parametrize("sizes", ["even", "pareto"])
+@pytest.mark.parametrize("single", [0, 150])
+def test_shards_of_linked_documents(spark, sizes, single):
+    """Nothing but pairs: sizes are near equal, and few pairs are cut."""
+    rng = random.Random(sizes)
+    length = lambda: rng.randint(100, 1000) if sizes == "even" else int(80 * rng.paretovariate(1.5))
+    pairs = [f"{i} " + "x" * min(length(), 20_000) for i in range(300)]
+    rows = [(2 * i + k, text) for i, text in enumerate(pairs) for k in (0, 1)]
+    rows += [(1000 + i, f"single {i} " + "y" * length()) for i in range(single)]
+    cut, apart = cut_and_loads(spark, rows)
+    largest = max(len(t) + 1 for _, t in rows)
+    assert cut <= 15 and apart <= (2 if single else 1) * largest
+
+
+def test_shards_of_few_large_groups(spark):
+    rows = [(i, f"group {i % 3} " + "x" * 50) for i in range(900)] + [(2000, "alone")]
+    cut, apart = cut_and_loads(spark, rows)
+    assert cut <= 3 and apart <= 2 * 60
+
+
 def test_running_sums_over_buckets(spark, monkeypatch):
     monkeypatch.setattr("inkveil.llm.common.ROWS_PER_BUCKET", 4)  # 50 buckets in 13 stretches
     df = spark.range(200).selectExpr(
