@@ -4,12 +4,13 @@ A page becomes a list of blocks, each with its path of block tags from the root.
 For every path the text, the text in links and the punctuation of its blocks are
 added up, per block. Both ratios are smoothed over neighbouring blocks, fused by
 multiplication, and paths at or above a share of the standard deviation are content.
-Content nodes name the part of the page that is kept: the articles that hold most of
-them, else the main element, else their deepest common element; there everything
+Content nodes name the part of the page that is kept: the articles that hold one, all
+of them, else the main element, else their deepest common element; there everything
 stays that is not a menu, header, footer, sidebar, notice, advert, form, script, style
 or reader comment by its element, role, class or id. An element that only its class or
 id calls so, as in `has-sidebar` or `comments-open`, is kept where it holds the page
-itself. Only where the deepest common element is the body itself do the paths alone
+itself, and so is a form around a page; a paragraph needs a whole word of its class, as
+in `notice`, not `notice-board`. Only where the deepest common element is the body itself do the paths alone
 decide.
 
 Results: NULL and empty html give an empty text; so do pages without text. Broken
@@ -46,7 +47,7 @@ EMPTY = frozenset(
 )
 RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
 LEFT_OUT = frozenset(
-    "head nav footer aside form script style noscript template iframe svg canvas object button "
+    "head nav footer aside script style noscript template iframe svg canvas object button "
     "select menu dialog textarea title video audio search noembed noframes".split()
 )
 ROLES = frozenset(
@@ -60,6 +61,8 @@ NAMES = frozenset(
     "breadcrumbs footer masthead share sharing social related recommended newsletter subscribe "
     "signup login popup modal overlay widget widgets pagination pager toolbar skip".split()
 )
+#: elements that hold text itself: only a whole word of their class or id names them
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
 COMMENT_NAMES = frozenset("comment comments reply replies".split())
 #: names that wrappers of a whole page carry too: has-sidebar, widget-wrap, share-enabled
 LAYOUT_NAMES = frozenset(
@@ -133,7 +136,7 @@ def _marked(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
         if kind.lower() == "role" and value.strip() in ROLES:
             return True, False, False, False
         if kind.lower() in ("class", "id"):
-            names.update(_NAME.findall(value))
+            names.update(value.split() if name in TEXTUAL else _NAME.findall(value))
     if name in ("html", "body", "main"):
         return False, False, False, False
     named = names & (COMMENT_NAMES if name == "article" else NAMES)
@@ -261,6 +264,8 @@ def blocks_of(page: str) -> list[_Block]:
             continue
         top = stack[-1]
         marked, layout, other, header = _marked(name, attributes) if attributes else (False,) * 4
+        # a form may hold the whole page
+        layout = layout or name == "form"
         numbers += 1
         if other:
             strange.add(numbers)
@@ -350,8 +355,7 @@ def main_text(page: str | None) -> str:
         if not sums and any(getattr(b, kind) for b in blocks):
             sums = {getattr(b, kind): 1 for b in blocks if getattr(b, kind)}
         if sums:
-            chosen = {n for n, x in sums.items() if 4 * x >= max(sums.values())}
-            return "\n".join(b.text for b in blocks if getattr(b, kind) in chosen)
+            return "\n".join(b.text for b in blocks if getattr(b, kind) in sums)
     shared = _lineage(content[0])
     for b in content[1:]:
         place = {e.number: i for i, e in enumerate(shared)}

@@ -519,6 +519,32 @@ def test_content_named_like_what_stands_beside_it(name):
     assert html_text.main_text(f"<body><article>{body}</article>{replies}</body>") == text
 
 
+@pytest.mark.parametrize("article", [False, True])
+def test_form_around_the_page(article):
+    one, two = "Words, and more of them. " * 9, "Others; and so on. " * 9
+    search = "<form action=s><label>Search</label><input name=q> the site</form>"
+    body = f"<h1>Head</h1><p>{one}</p>{search}<p>{two}</p>"
+    body = f"<article>{body}</article>" if article else f"<div>{body}</div>"
+    reply = "<form class='respond'><p>Leave a reply, your name is needed.</p><label>Name</label></form>"
+    text = f"Head\n{one.strip()}\n{two.strip()}"
+    page = f"<body><form method=post action=x><div id=menu><a href=a>A</a></div>{body}{reply}</form></body>"
+    assert html_text.main_text(page) == text
+    assert html_text.main_text(f"<body>{search}{body}{reply}</body>") == text
+
+
+def test_all_articles_of_a_page_stay():
+    long, short = "Words, and more of them. " * 40, "A short one, but an article."
+    page = f"<body><nav><a href=a>A</a></nav><article><h2>One</h2><p>{long}</p></article><article><h2>Two</h2><p>{short}</p></article></body>"
+    assert html_text.main_text(page) == f"One\n{long.strip()}\nTwo\n{short}"
+
+
+@pytest.mark.parametrize("name", ["notice-board", "reply-quote", "share_price", "menu-item-text"])
+def test_paragraphs_are_not_named_by_parts_of_words(name):
+    one, two = "Words, and more of them. " * 9, "Others; and so on, and on."
+    page = f"<body><article><h1>Head</h1><p>{one}</p><p class='{name}'>{two}</p><p class='notice'>We use cookies.</p></article></body>"
+    assert html_text.main_text(page) == f"Head\n{one.strip()}\n{two}"
+
+
 @pytest.mark.parametrize("shape", ["<div>a ", "<font>a<p>b ", "<div class=sidebar>a, b", "<b></i>t"])
 def test_deep_pages_take_linear_time(shape):
     begin = time.perf_counter()
