@@ -1,10 +1,13 @@
 """Toxicity of texts behind a noisy channel.
 
 Words written in leetspeak, letter by letter or with repeated letters are restored
-first: each character of such a span is a set of letters it may stand for, or nothing
-if it only separates or repeats, at a cost; Viterbi decoding takes the path that the
-channel and a trigram model of characters find likeliest. The model's counts come from
-all documents. The restored text is then scored.
+first: each character of such a span is a set of letters it may stand for, nothing if it
+only separates or repeats, or itself, at a cost; Viterbi decoding takes the path that the
+channel and a trigram model of characters find likeliest. Every word with a lookalike, a
+separator or a letter three times anywhere in it is decoded, and every run of three or
+more single characters; where the words of a span come out as they stand there, it is
+left as it is. The model's counts come from all documents. The restored text is then
+scored.
 
 The scorer learns from labelled rows. Hashed runs of six characters, words framed by
 spaces, get the log odds of standing in toxic documents; a document's statistics
@@ -48,17 +51,23 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
     "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "*": "aeiou",
 }
-SEPARATORS = ".-_*·"
+SEPARATORS = ".-_*·/,~:;"
+#: lookalikes that often end or part words as they are
+PUNCTUATION = "!|+*"
 #: log costs of the channel
-COST = {"lookalike": -1.0, "repeat": -0.7, "pair": -4.0, "separator": -0.5, "boundary": -6.0}
+COST = {"lookalike": -1.0, "repeat": -0.7, "pair": -4.0, "separator": -0.5, "boundary": -2.0,
+        "space": -6.0, "itself": -2.0}
 
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _TOKEN = re.compile(r"\S+")
-_TRIM = re.compile(r"^[^\w@$|€]+|[^\w]+$")
+_TRIM = re.compile(r"^[^\w@$!|+*€]+|[^\w@$!|+*€]+$")
+#: a letter next to a lookalike, in front of a separator inside a word, or three times
 _SUSPECT = re.compile(
-    r"[^\W\d_][0-9@$!|+*€]+[^\W\d_]|^[0-9@$!|€]+[^\W\d_]{2}|([^\W\d_])\1\1"
-    r"|^[^\W\d_](?:[.\-_*·][^\W\d_]){2,}"
+    r"[^\W\d_][0-9@$!|+*€]|[0-9@$!|+*€][^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*·/,~:;]+[\w@$!|+€]"
 )
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: a longer word is decoded in parts of this size
+PART = 256
 _U32 = np.uint32
 _K = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 _MASK = 0xFFFFFFFF
@@ -114,12 +123,14 @@ class _Reader:
         last = np.ones(len(codes), dtype=bool)
         last[:-1] = edge[1:] | space[1:]
         flag = np.zeros(len(codes), dtype=bool)
-        flag[:-1] |= alike[:-1] & letter[1:] & ~edge[:-1]  # behind a letter or others like it
-        flag[:-2] |= alike[:-2] & letter[1:-1] & letter[2:]
+        inside = ~edge[1:]  # behind a character of the same word
+        flag[1:] |= alike[1:] & letter[:-1] & inside | letter[1:] & alike[:-1] & inside
         flag[:-2] |= letter[:-2] & (codes[:-2] == codes[1:-1]) & (codes[:-2] == codes[2:])
-        flag[:-4] |= letter[:-4] & part[1:-3] & letter[2:-2] & part[3:-1] & letter[4:]
-        single = edge & last & ~space
-        flag[:-4] |= single[:-4] & single[2:-2] & single[4:]
+        flag[:-2] |= letter[:-2] & part[1:-1] & ~edge[1:-1] & ~edge[2:] & ~space[2:]
+        starts = np.flatnonzero(edge & ~space)
+        single = last[starts]
+        run = single[:-2] & single[1:-1] & single[2:] & (rows[starts[:-2]] == rows[starts[2:]])
+        flag[starts[:-2][run]] = True
         out[np.unique(rows[flag & (rows >= 0)])] = True
         return out
 
@@ -184,15 +195,17 @@ def _options(span: str, i: int, spaced: bool) -> list[tuple[str | None, float]]:
     found += [(x, COST["lookalike"]) for x in LOOKALIKES.get(c, "")]
     if i and c in LOOKALIKES and span[i - 1] == c:
         found.append((None, COST["repeat"]))
-    if c in SEPARATORS or spaced and c == " ":
+    if c in SEPARATORS or spaced and c.isspace():
         found.append((None, COST["separator"]))
-        found.append((" ", COST["boundary"]))
+        found.append((" ", COST["space" if c.isspace() else "boundary"]))
+    elif c in LOOKALIKES:
+        found.append((" ", 0.0 if c in PUNCTUATION else COST["itself"]))
     return found or [(" ", 0.0)]
 
 
 def restored_span(span: str, model: CharacterModel) -> str:
     """The likeliest reading of a span, by Viterbi over the last two letters."""
-    spaced = " " in span
+    spaced = any(c.isspace() for c in span)
     paths: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for i in range(len(span) + 1):
         options = _options(span, i, spaced) if i < len(span) else [(" ", 0.0)]
@@ -219,12 +232,21 @@ def restorer(model: CharacterModel):
     """A function that restores whole texts, in lower case."""
     known = lru_cache(maxsize=1 << 16)(lambda span: restored_span(span, model))
 
+    def read(span: str) -> str:
+        """A reading, or the span itself if its words stay as they stand there."""
+        parts = (known(span[i : i + PART]) for i in range(0, len(span), PART))
+        reading = "".join(parts)
+        return span if reading.split() == _LETTERS.findall(span) else reading
+
     def token(match: re.Match) -> str:
         word = _TRIM.sub("", match.group())
-        return known(word) if _SUSPECT.search(word) else match.group()
+        if not _SUSPECT.search(word):
+            return match.group()
+        reading = read(word)
+        return match.group() if reading == word else reading
 
     def restored(text: str) -> str:
-        text = _SPACED.sub(lambda m: known(m.group()), text.lower())
+        text = _SPACED.sub(lambda m: read(m.group()), text.lower())
         return _TOKEN.sub(token, text)
 
     return restored

@@ -578,6 +578,53 @@ def test_restored_spans():
     assert read("the happy letter") == "the happy letter"
 
 
+def reader_of(texts):
+    import pandas as pd
+
+    counts = next(iter(toxicity._counter(iter([pd.DataFrame({"text": texts})]))))
+    table = np.zeros(toxicity.TRIGRAMS + toxicity.BIGRAMS, np.float32)
+    table[counts["slot"]] = counts["n"]
+    return toxicity.CharacterModel(table[: toxicity.TRIGRAMS], table[toxicity.TRIGRAMS :])
+
+
+FORMS = [
+    ("idio7", "idiot"), ("scum5", "scums"), ("tras4", "trasa"), ("m-0-r-o-n", "moron"), ("s..c..u..m", "scum"),
+    ("i/d/i/o/t", "idiot"), ("i,d,i,o,t", "idiot"), ("mo-ron", "moron"), ("st.up.id", "stupid"),
+    ("i  d  i  o  t", "idiot"), ("i\td\ti\to\tt", "idiot"), ("s\nc\nu\nm", "scum"), ("1d1ot", "idiot"),
+    ("tra$h", "trash"), ("m-o-r-o-n", "moron"), ("i d i o t", "idiot"), ("idiooot", "idiot"), ("m0r0n!", "moron"),
+    ("@ss", "ass"), ("$tup1d", "stupid"), ("s_c_u_m", "scum"), ("i:d:i:o:t", "idiot"), ("\"idio7\",", "idiot"),
+]
+CLEAN = ["win7", "a/b/c", "e.g.", "co-op", "the end.", "wow!", "on 3 days", "well-known", "and/or", "letter", "(see house)",
+         "a b", "2024-05-06", "12:30", "..."]
+
+
+def test_forms_of_the_channel():
+    rng = random.Random(5)
+    bad = "idiot moron stupid scum scums trash trasa ass".split()
+    good = "win the a b c e g co op end wow on days well known and or letter see house".split()
+    texts = [" ".join(rng.choices(bad + good * 3, k=40)) for _ in range(400)]
+    model = reader_of(texts)
+    read, reader = toxicity.restorer(model), toxicity._Reader()
+    for form, word in FORMS:
+        text = f"you are {form} today"
+        assert reader.suspects([text])[0], form
+        assert word in read(text).split(), (form, read(text))
+    for text in CLEAN:
+        assert read(f"so {text} then") == f"so {text} then", (text, read(f"so {text} then"))
+
+
+def test_the_first_look_leaves_out_nothing():
+    """A text that reads otherwise than it stands is always suspected."""
+    rng = random.Random(6)
+    model = reader_of(["idiot moron stupid " * 50])
+    read, reader = toxicity.restorer(model), toxicity._Reader()
+    alphabet = "idmorn 107$.-/, \t!"
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 14))) for _ in range(4000)]
+    suspected = reader.suspects(texts)
+    assert all(s or read(t) == t for t, s in zip(texts, suspected))
+    assert not reader.suspects(["plain words, and more. (all) of them; so - be it"])[0]
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(8)
     plain = [f"{a}{b}" for a in "ka lo mi ta ru".split() for b in "ne so di pa".split()]
