@@ -42,7 +42,7 @@ def source_shares(
     Sources are capped in the order in which a rising level of words per weight
     reaches their cap; ``kind`` is the source's place in the weights.
     """
-    sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = narrow.groupBy("source").agg(F.sum("words").alias("source_size"))
     ranked = sums.withColumn(
         "rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     ).withColumn("kind", F.pmod(F.col("rank"), F.lit(len(weights))))
@@ -117,19 +117,29 @@ def scheduled(
     """
     if len(schedules) != len(weights):
         raise ValueError("one schedule for each weight")
-    narrow = staged(_sized(docs), "narrow")
+    same = ["doc_id", "source", "size", "key", "bits"]
+    folded = _sized(docs).groupBy(*same).agg(F.count(F.lit(1)).alias("copies"))
+    narrow = _sized(docs).withColumn("copies", F.lit(1)) if keep else folded
+    narrow = staged(narrow.withColumn("words", F.col("size") * F.col("copies")), "narrow")
     shares = staged(source_shares(narrow, weights, most), "shares").select(
         F.col("source").alias("_source"), "source_size", "kind", "target",
         F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("part"),
     )
     met = F.col("source").eqNullSafe(F.col("_source"))
+    narrow = narrow.where("size > 0") if keep else narrow
     rows = narrow.count()
     narrow = narrow.join(shares, met)
-    wide = _sized(docs, F.struct(*docs.columns).alias("kept")).join(shares, met) if keep else narrow
+    if keep:
+        wide = _sized(docs, F.struct(*docs.columns).alias("kept")).where("size > 0")
+        wide = wide.withColumns({"copies": F.lit(1), "words": F.col("size")}).join(shares, met)
+    else:
+        wide = narrow
     laid = running(
-        wide, "part", "bits", ["bits", "key", "doc_id", "size"], "size", rows, narrow
+        wide, "part", "bits", ["bits", "key", "doc_id", "size"], "words", rows, narrow
     )
-    middle = F.col("before") + F.col("size") / 2
+    copies = F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)
+    laid = laid.withColumn("copy", F.explode(copies))
+    middle = F.col("before") + F.col("copy") * F.col("size") + F.col("size") / 2
     moments = []
     for p in range(most):
         share = (F.col("source_size") * p + middle) / F.col("target")

@@ -561,6 +561,29 @@ def test_pages(spark):
     assert out[1]["n_chars"] == len(out[1]["text"]) and out[2]["text"] == ""
 
 
+def test_identical_rows_are_no_hot_bucket(spark, monkeypatch):
+    """Very many rows without id and text, and copies of one row, are one row of the sums."""
+    seen = []
+    run = mixing.running
+    monkeypatch.setattr(mixing, "running", lambda df, *a: seen.append(df) or run(df, *a))
+    rows = [(i, "some words of text", "l", "a") for i in range(300)] + [(7, "one row", "l", "b")] * 500
+    docs = spark.createDataFrame(rows, SCHEMA)
+    blank = spark.range(100_000).selectExpr("cast(NULL AS long) AS doc_id", "cast(NULL AS string) AS text",
+                                            "'l' AS lang", "cast(NULL AS string) AS source")
+    out = mixing.taken(docs.unionByName(blank))
+    assert seen[0].count() == 302
+    sums = {r["doc_id"]: r for r in out.groupBy("doc_id").agg({"*": "count", "taken": "sum"}).collect()}
+    assert sums[None]["count(1)"] == 100_000 and sums[None]["sum(taken)"] == 0
+    assert sums[7]["count(1)"] == 501
+    again = mixing.taken(docs.unionByName(blank).repartition(7))
+    assert sorted(map(str, out.where("size > 0").collect())) == sorted(map(str, again.where("size > 0").collect()))
+    mixed = mixing.mixed(docs.unionByName(blank))
+    assert mixed.where("text IS NULL").count() == 0
+    words = out.where("size > 0").selectExpr("sum(taken) AS n").first()["n"]
+    taken = mixed.selectExpr("sum(size(split(text, ' '))) AS n").first()["n"]
+    assert taken == words
+
+
 def test_restored_spans():
     rng = random.Random(3)
     vocabulary = "idiot moron worthless stupid loser the and house letter happy running mouse".split()
