@@ -59,6 +59,10 @@ def partition_for(positions: int, different: int) -> int:
     return BY_RUNS if different <= FEW_RUNS or 2 * different < size else size
 
 
+#: items that a text is verified against in one row
+ITEMS_AT_ONCE = 256
+
+
 def telling(runs: np.ndarray, containment: float) -> np.ndarray:
     """Runs of an item of which a document has one if it has this share of all."""
     needed = -(-len(runs) * round(10 * containment) // 10)
@@ -177,21 +181,22 @@ def _layout(lengths: np.ndarray, begins: np.ndarray, sizes: list[int]) -> list[t
 
 
 def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Exact counts for rows of a text and some of the items that may be in it."""
     last, own = None, np.empty(0, _U)
     for batch in batches:
-        shared, sizes = [], []
-        for text, runs in zip(batch["text"], batch["runs"], strict=True):
+        out = []
+        for doc_id, text_hash, text, items in batch.itertuples(index=False):
             if text is not last and text != last:  # rows of a document stand together
                 last, own = text, np.unique(shingle_hashes([text])[0])
-            item = np.frombuffer(runs, _U)
-            at = np.searchsorted(own, item)
-            at[at == len(own)] = 0
-            shared.append(int((own[at] == item).sum()))
-            sizes.append(len(item))
-        yield pd.DataFrame(
-            {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"],
-             "item_id": batch["item_id"], "shared": shared, "item_runs": sizes}
-        )
+            for item in items:
+                runs = np.frombuffer(item["runs"], _U)
+                at = np.searchsorted(own, runs)
+                at[at == len(own)] = 0
+                shared = int((own[at] == runs).sum())
+                out.append((doc_id, text_hash, item["item_id"], shared, len(runs)))
+        columns = ["doc_id", "text_hash", "item_id", "shared", "item_runs"]
+        frame = pd.DataFrame(out, columns=columns)
+        yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 
 
 def _bit_table(items: DataFrame, n: int) -> tuple[list[int], bytes, int]:
@@ -245,12 +250,17 @@ def contained(
         .distinct(),
         "candidates",
     )
-    with_runs = candidates.join(items.select("item_id", "runs").distinct(), "item_id")
-    with_runs = with_runs.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    # a text travels with some hundred items at once, not with each
+    part = F.pmod(F.xxhash64("item_id"), F.lit(-(-items.count() // ITEMS_AT_ONCE)))
+    with_runs = (
+        candidates.join(items.select("item_id", "runs").distinct(), "item_id")
+        .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), part.alias("_part"))
+        .agg(F.collect_list(F.struct("item_id", "runs")).alias("items"))
+    )
     met = own.join(
         with_runs, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     )
-    verified = met.select("doc_id", "text_hash", "item_id", "text", "runs").mapInPandas(
+    verified = met.select("doc_id", "text_hash", "text", "items").mapInPandas(
         _verified, "doc_id long, text_hash long, item_id long, shared long, item_runs long"
     )
     return verified.where(F.col("shared") * 10 >= F.col("item_runs") * round(10 * containment))

@@ -561,6 +561,20 @@ def test_pages(spark):
     assert out[1]["n_chars"] == len(out[1]["text"]) and out[2]["text"] == ""
 
 
+def test_text_travels_once_for_many_items(spark):
+    """A long document that holds thousands of items."""
+    rng = random.Random(4)
+    items = [" ".join(f"w{rng.randrange(9000)}" for _ in range(20)) for _ in range(5000)]
+    rows = [(1, " and ".join(items)), (2, " ".join(items[7].split()[:12]) + " end"), (None, items[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontamination.contained(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, i) for i in range(5000)} | {(None, 3)}
+    assert all(r["shared"] == r["item_runs"] == 16 for r in found)
+    plan = decontamination.contained(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan, "the text meets lists of items"
+
+
 def test_identical_rows_are_no_hot_bucket(spark, monkeypatch):
     """Very many rows without id and text, and copies of one row, are one row of the sums."""
     seen = []
