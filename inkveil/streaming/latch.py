@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ class Latch(StatefulProcessor):
             if known is not None:
                 yield own.assign(held=True)
                 continue
-            held = own[turn] >= first[1] if first else own[turn] != own[turn]
+            held = self._at_or_after(own, first)
             yield own[held].assign(held=True)
             kept.append(own[~held])
             if sum(map(len, kept)) > self.most:
@@ -98,7 +99,14 @@ class Latch(StatefulProcessor):
 
     def _judged(self, kept: list[pd.DataFrame], first: tuple | None) -> pd.DataFrame:
         rows = pd.concat(kept)
-        return rows.assign(held=rows[self.turn] >= first[1] if first else False)
+        return rows.assign(held=self._at_or_after(rows, first))
+
+    def _at_or_after(self, rows: pd.DataFrame, first: tuple | None) -> np.ndarray:
+        """Rows without a turn are after none."""
+        if not first:
+            return np.zeros(len(rows), dtype=bool)
+        held = [not pd.isna(turn) and turn >= first[1] for turn in rows[self.turn]]
+        return np.array(held, dtype=bool)
 
     def close(self) -> None:
         pass

@@ -296,12 +296,13 @@ def test_latch_holds_by_arrival(spark, tmp_path):
 def test_latch_with_many_waiting_messages(spark, tmp_path):
     """More messages of one conversation than wait in memory."""
     feed = Feed(spark, tmp_path / "in", MESSAGES)
-    feed.add(*[(1, i, "bad a@b.com" if i == 700 else "clean") for i in range(900)], (2, 1, "clean"))
+    feed.add(*[(1, i, "bad a@b.com" if i == 700 else "clean") for i in range(900)], (2, 1, "clean"),
+             *[(c, None, "no turn") for c in (1, 2, 3)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     try:
         decided = run_latch(BlockLatch(spread=2, waiting=100), feed.stream(), tmp_path)
         assert {r.turn for r in decided.where("held").collect()} == set(range(700, 900))
-        assert decided.count() == 901
+        assert decided.count() == 904 and decided.where("turn IS NULL AND NOT held").count() == 3
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
