@@ -15,7 +15,7 @@ ROWS_PER_BUCKET = 1024
 RANGE = 1 << 32
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write the rows to the shared folder and read them again.
 
     Cuts the lineage: a lost executor costs the stage that runs, not the ones
@@ -24,7 +24,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -139,6 +139,7 @@ def recurring(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     lines = staged(
         exploded.select("row", "doc_id", "text_hash", _leaf(), mid, _words().alias("words"), "line"),
         "lines",
+        "zstd",
     )
     counts = staged(
         lines.groupBy("leaf", "mid", "words").agg(F.count(F.lit(1)).alias("docs")), "counts"
@@ -152,8 +153,8 @@ def recurring(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
         "leaves",
     )
     wanted = staged(counts.join(varied, "leaf").select("leaf", "mid", "docs"), "wanted")
-    # a hot line is one row of each task before it meets the leaves
-    once = lines.groupBy("leaf", "mid", "line").agg(F.lit(1).alias("one"))
+    # a hot line is one row of each task before it meets the leaves, by the same keys
+    once = lines.groupBy("leaf", "mid").agg(F.any_value("line").alias("line"))
     texts = once.join(wanted, ["leaf", "mid"]).select(
         "leaf", "mid", "docs", F.split("line", " ").alias("tokens")
     )
