@@ -60,7 +60,8 @@ COST = {"lookalike": -1.0, "repeat": -0.7, "pair": -4.0, "separator": -0.5, "bou
 
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _TOKEN = re.compile(r"\S+")
-_TRIM = re.compile(r"^[^\w@$!|+*€]+|[^\w@$!|+*€]+$")
+#: what goes in front of a word and behind it; an exclamation mark at the end is one
+_TRIM = re.compile(r"^[^\w@$!|+*€]+|(?:[^\w@$|+*€]|[|+*]{2,})+$")
 #: a letter next to a lookalike, in front of a separator inside a word, or three times
 _SUSPECT = re.compile(
     r"[^\W\d_][0-9@$!|+*€]|[0-9@$!|+*€][^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*·/,~:;]+[\w@$!|+€]"
@@ -238,16 +239,27 @@ def restorer(model: CharacterModel):
         reading = "".join(parts)
         return span if reading.split() == _LETTERS.findall(span) else reading
 
-    def token(match: re.Match) -> str:
-        word = _TRIM.sub("", match.group())
+    def token(text: str) -> str:
+        word = _TRIM.sub("", text)
         if not _SUSPECT.search(word):
-            return match.group()
+            return text
         reading = read(word)
-        return match.group() if reading == word else reading
+        return text if reading == word else reading
 
     def restored(text: str) -> str:
+        """Only words around something suspicious are looked at."""
         text = _SPACED.sub(lambda m: read(m.group()), text.lower())
-        return _TOKEN.sub(token, text)
+        out, last = [], 0
+        for match in _SUSPECT.finditer(text):
+            begin = match.start()
+            if begin < last:
+                continue
+            while begin > last and not text[begin - 1].isspace():
+                begin -= 1
+            end = _TOKEN.match(text, begin).end()
+            out += (text[last:begin], token(text[begin:end]))
+            last = end
+        return "".join([*out, text[last:]])
 
     return restored
 
