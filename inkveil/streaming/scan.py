@@ -8,8 +8,11 @@ from pyspark.sql.types import StructType
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """A parquet table as a stream of its files."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*").parquet(folder)
+    """A parquet table as a stream of its files: it is one file, or a folder of them.
+
+    The pattern stands for the table's own name; a plain path to a stream must be a folder.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
 
 
 def write_stream(

@@ -374,3 +374,20 @@ def test_stream_equals_batch(spark, conversations, tmp_path):
     batch = findings(conversations, ["conv_id", "turn"], "text", policy, lines=True)
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
     assert batch.count() > 0
+
+
+def test_a_table_is_a_file_or_a_folder(spark, tmp_path):
+    """A stream reads every file of a table that is a folder, and no table of a longer name."""
+    from inkveil.streaming.scan import stream_table
+
+    spark.range(30).repartition(3).write.parquet(f"{tmp_path}/folder/turns.parquet")
+    spark.range(5).write.parquet(f"{tmp_path}/folder/turns.parquet_old")
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/made")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "file" / "turns.parquet")
+    for folder, wanted in (("folder", 30), ("file", 7)):
+        stream = stream_table(spark, f"{tmp_path}/{folder}", "turns", spark.range(1).schema)
+        place = f"{tmp_path}/of-{folder}"
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/state")
+        writer.trigger(availableNow=True).start(f"{place}/out").awaitTermination()
+        assert spark.read.schema("id long").parquet(f"{place}/out").count() == wanted
