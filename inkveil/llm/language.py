@@ -7,9 +7,10 @@ bit's logistic loss weighed by how well its classifier did on that language. The
 score is the share of the nearest codeword among all; a text whose second codeword
 is almost as near is flagged as ambiguous.
 
-Classifiers are trained on a bounded sample, ``per_language`` different texts of each
-language in the order of a hash, of fixed-size features that executors compute;
-predictions read whole texts.
+Every labelled row is learned from. Hashes deal the texts into groups of bounded size, in
+which all languages stand; executors train a model in each group, on features of a fixed
+size, and the model is the mean of all. A text counts once however often it stands there.
+Whatever was dealt to one group alone is one model. Predictions read whole texts.
 
 Results: NULL texts and texts without a letter are `und`, score 0, never ambiguous.
 Where no labelled row is left to learn from, all texts are `und`; with a single
@@ -34,9 +35,12 @@ from inkveil.llm.shingles import chunks
 UNKNOWN = "und"
 #: size of the hashed features
 BUCKETS = 4096
-#: rows of a language that classifiers learn from
-PER_LANGUAGE = 800
-STEPS, RATE, DECAY = 150, 4.0, 1e-4
+#: rows of a group, for each language; a language with less than LEAST_ROWS of its texts in a
+#: group is dealt to more than one
+PER_LANGUAGE, LEAST_ROWS = 800, 100
+#: texts that a task remembers, so that it sends copies once
+REMEMBERED = 1 << 16
+STEPS, RATE, DECAY, BLOCK = 150, 4.0, 1e-4, 64
 #: a text is ambiguous if the nearest codeword's share is not this much above the second's
 MARGIN = 0.2
 #: a text is rejected if it lies this much farther from all codewords, in loss per bit, than any
@@ -136,29 +140,31 @@ class Model:
         return self.distances(rows).min(1) / self.words.shape[1]
 
 
-def train(rows: np.ndarray, labels: list[str]) -> Model:
-    """Logistic classifiers of all bits, by gradient descent on the whole sample."""
-    languages = tuple(sorted(set(labels)))
-    words = codewords(len(languages))
-    of = {name: i for i, name in enumerate(languages)}
-    index = np.array([of[x] for x in labels], dtype=np.int64)
+def descended(rows: np.ndarray, index: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
+    """Logistic classifiers of all bits, by gradient descent on all rows: their weights and
+    offsets, and for each language how many rows each bit is right on, and how many there are."""
     weights = np.zeros((BUCKETS, words.shape[1]), dtype=np.float32)
     offsets = np.zeros(words.shape[1], dtype=np.float32)
-    if not words.shape[1]:
-        return Model(languages, words, weights, offsets, np.ones(words.shape))
     wanted = words[index].astype(np.float32)
-    even = 1.0 / np.bincount(index, minlength=len(languages))[index]  # languages weigh the same
+    known = np.bincount(index, minlength=len(words))
+    even = 1.0 / known[index]  # languages weigh the same
     even = (even / even.sum()).astype(np.float32)[:, None]
     speed = np.zeros_like(weights)
+    # few rows at once stay in the cache between their two products
+    blocks = [slice(at, at + BLOCK) for at in range(0, len(rows), BLOCK)]
     for _ in range(STEPS):
-        pull = wanted * even / (1 + np.exp(wanted * (rows @ weights + offsets)))
-        speed = 0.9 * speed + rows.T @ pull - DECAY * weights
+        speed = 0.9 * speed - DECAY * weights
+        shift = np.zeros_like(offsets)
+        for own in blocks:
+            side = wanted[own]
+            pull = side * even[own] / (1 + np.exp(side * (rows[own] @ weights + offsets)))
+            speed += rows[own].T @ pull
+            shift += pull.sum(0)
         weights += RATE * speed
-        offsets += RATE * pull.sum(0)
-    right = (np.sign(rows @ weights + offsets) == wanted).astype(np.float64)
-    trust = np.stack([right[index == c].mean(0) for c in range(len(languages))])
-    trust = (trust + 1e-6) / (trust + 1e-6).sum(1, keepdims=True) * words.shape[1]
-    return Model(languages, words, weights, offsets, trust)
+        offsets += RATE * shift
+    hit = (np.sign(rows @ weights + offsets) == wanted).astype(np.float64)
+    right = np.stack([hit[index == c].sum(0) for c in range(len(words))])
+    return [weights, offsets, right, known]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -176,7 +182,8 @@ def _sample_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sampled(ready: DataFrame, per_language: int) -> pd.DataFrame:
-    """``lang, features`` of at most ``per_language`` different texts of each language.
+    """``lang, features`` of at most ``per_language`` different texts of each language, to look
+    at; no model or limit comes from these.
 
     Those with the smallest hashes are taken, whatever their ids.  Languages are bounded one
     by one, and a text counts once however often it stands there: neither rows without an
@@ -206,29 +213,140 @@ def _sampled(ready: DataFrame, per_language: int) -> pd.DataFrame:
     return made.toPandas()
 
 
-def _rows(taken: pd.DataFrame) -> np.ndarray:
-    rows = [np.frombuffer(x, np.float16) for x in taken["features"]]
-    return np.array(rows, np.float32).reshape(-1, BUCKETS)
+def _packed(row: np.ndarray) -> bytes:
+    """Features as the places that are not zero, as bits, and what stands there."""
+    short = row.astype(np.float16)
+    return np.packbits(short != 0).tobytes() + short[short != 0].tobytes()
+
+
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    rows = np.zeros((len(packed), BUCKETS), dtype=np.float32)
+    for row, raw in zip(rows, packed, strict=True):
+        places = np.unpackbits(np.frombuffer(raw, np.uint8, BUCKETS // 8)).astype(bool)
+        row[places] = np.frombuffer(raw, np.float16, offset=BUCKETS // 8)
+    return rows
+
+
+def _dealer(groups: int, repeats: dict[str, int]):
+    """Features of all texts with the groups they are dealt to."""
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters = _letters()
+        seen: set[tuple[str, int]] = set()
+        for batch in batches:
+            new = []
+            for i, key in enumerate(zip(batch["lang"], batch["hash"], strict=True)):
+                if key not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
+                    new.append(i)
+            batch = batch.iloc[new]
+            for part in chunks(batch["text"].tolist()):
+                own = batch.iloc[part]
+                rows = features(own["text"].tolist(), letters)
+                out = []
+                for lang, key, row in zip(own["lang"], own["hash"], rows, strict=True):
+                    packed, often = _packed(row), repeats[lang]
+                    out += [
+                        ((key + n * groups // often) % groups, lang, key, packed) for n in range(often)
+                    ]
+                yield pd.DataFrame(out, columns=["group", "lang", "hash", "features"])
+
+    return dealt
+
+
+def _trainer(languages: tuple[str, ...], words: np.ndarray, parts: int):
+    """The model of a group."""
+    of = {name: i for i, name in enumerate(languages)}
+
+    def trained(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates(["lang", "hash"]).sort_values(["lang", "hash"])
+        index = group["lang"].map(of).to_numpy(np.int64)
+        found = descended(_unpacked(group["features"].tolist()), index, words)
+        number = int(group["group"].iloc[0]) if len(group) else 0
+        model = np.concatenate([x.astype(np.float64).ravel() for x in found])
+        return pd.DataFrame({"part": [number % parts], "group": [number], "model": [model.tobytes()]})
+
+    return trained
+
+
+def _added(models: pd.DataFrame) -> pd.DataFrame:
+    """The sum of models, in the order of their groups."""
+    models = models.sort_values("group")
+    total = sum(np.frombuffer(x, np.float64) for x in models["model"])
+    return models.iloc[:1].assign(model=[total.tobytes()])
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """A model of the languages of ``docs(doc_id, text, lang)``; ids only decide the sample."""
+    """A model of the languages of ``docs(doc_id, text, lang)``, from all rows but those held out.
+
+    The rows of a language too rare for all groups are dealt to several, so that every group
+    learns all languages.  Sums of models are added up by about as many tasks as each adds
+    models: the driver gets no more than these.
+    """
     ready = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(~held_out(F.col("doc_id")))
-    taken = _sampled(ready, per_language)
-    return train(_rows(taken), taken["lang"].tolist())
+    ready = ready.select("lang", "text", F.xxhash64("text").alias("hash"))
+    counted = ready.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["lang"]: r["n"] for r in counted.collect()}
+    languages = tuple(sorted(counts))
+    words = codewords(len(languages))
+    bits = words.shape[1]
+    shapes = [(BUCKETS, bits), (bits,), (len(languages), bits), (len(languages),)]
+    if not bits:
+        return Model(languages, words, *(np.zeros(x, np.float32) for x in shapes[:2]), np.ones(words.shape))
+    groups = max(1, math.ceil(sum(counts.values()) / (per_language * len(languages))))
+    repeats = {x: max(1, math.ceil(min(n, LEAST_ROWS) * groups / n)) for x, n in counts.items()}
+    parts = math.isqrt(groups - 1) + 1
+    dealt = ready.mapInPandas(
+        _dealer(groups, repeats), "group long, lang string, hash long, features binary"
+    )
+    models = (
+        # each group is work for a task of its own, however small its rows are
+        dealt.repartition(min(groups, 2000), "group")
+        .groupBy("group")
+        .applyInPandas(_trainer(languages, words, parts), "part long, group long, model binary")
+        .groupBy("part")
+        .applyInPandas(_added, "part long, group long, model binary")
+    )
+    total = np.frombuffer(_added(models.toPandas())["model"].iloc[0], np.float64)
+    ends = np.cumsum([math.prod(x) for x in shapes])[:-1]
+    weights, offsets, right, known = (
+        x.reshape(shape) for x, shape in zip(np.split(total, ends), shapes, strict=True)
+    )
+    trust = right / np.maximum(known, 1)[:, None] + 1e-6
+    trust = trust / trust.sum(1, keepdims=True) * bits
+    mean = [(x / groups).astype(np.float32) for x in (weights, offsets)]
+    return Model(languages, words, *mean, trust)
+
+
+def _measurer(model: Model):
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters = _letters()
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for part in chunks(texts):
+                far = model.nearest(features(texts[part], letters))
+                yield batch.iloc[part].drop(columns=["text"]).assign(distance=far)
+
+    return measured
 
 
-def farthest(docs: DataFrame, model: Model, per_language: int = PER_LANGUAGE) -> float:
+def farthest(docs: DataFrame, model: Model) -> float:
     """The distance up to which a text is like the held-out rows of the model's languages."""
     if len(model.languages) < 2:
         return math.inf
     ready = docs.where(F.col("text").isNotNull() & F.col("lang").isin(*model.languages))
     # letters are counted no further than needed
     told = F.col("text").rlike(r"(?:\p{L}[^\p{L}]*+){%d}" % LEAST_LETTERS)
-    taken = _sampled(ready.where(held_out(F.col("doc_id")) & told), per_language)
-    if len(taken) < LEAST_HELD_OUT:
+    ready = ready.where(held_out(F.col("doc_id")) & told)
+    ready = ready.select("lang", F.xxhash64("text").alias("hash"), "text")
+    measured = ready.mapInPandas(_measurer(model), "lang string, hash long, distance double")
+    once = measured.groupBy("lang", "hash").agg(F.max("distance").alias("distance"))
+    found = once.agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("distance")).first()
+    if found["n"] < LEAST_HELD_OUT:
         return math.inf
-    return float(model.nearest(_rows(taken)).max()) + BEYOND
+    return found["distance"] + BEYOND
 
 
 def _predictor(model: Model):

@@ -448,6 +448,33 @@ def test_language_stage_rejects_noise(spark):
     assert kept == {i for i, x, _, _ in rows if i % 3 == 1 and language.has_letter(x)}
 
 
+def test_every_text_is_learned_from(spark):
+    """Without any one text the model is another, however small the groups; the limit is that
+    of all held-out texts."""
+    rng = random.Random(11)
+    stems = {"aa": "ka lo mi ta".split(), "bb": "shra wen oth ing".split()}
+    rows = []
+    for i in range(3000):
+        lang = "bb" if i % 20 == 0 else "aa"
+        text = " ".join("".join(rng.choices(stems[lang], k=3)) for _ in range(12))
+        rows.append((i, text, lang, "s"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    few = docs.where("doc_id < 200").repartition(3)
+    model = language.fit(few, 10)
+    again = language.fit(few.repartition(5), 10)
+    assert np.array_equal(model.weights, again.weights) and np.array_equal(model.trust, again.trust)
+    assert (np.sign(model.offsets + language.features([rows[0][1], rows[1][1]], language._letters())
+                    @ model.weights) == model.words[::-1]).all()
+    learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for i in learned[1:90:30]:
+        other = language.fit(few.where(f"doc_id <> {i}"), 10)
+        assert not np.array_equal(model.weights, other.weights)
+    held = [x for i, x, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    far = model.nearest(language.features(held, language._letters()))
+    assert len(held) > 900
+    assert language.farthest(docs, model) == pytest.approx(far.max() + language.BEYOND, abs=1e-6)
+
+
 def test_language_without_learning(spark, odd):
     blank = odd.withColumn("lang", odd["lang"].substr(9, 1).isNull().cast("string").substr(9, 9))
     out = language.identified(odd, language.fit(blank.where("lang = 'never'"))).collect()
