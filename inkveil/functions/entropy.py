@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from inkveil.functions.sqltext import column, expr, let, literal, struct
+from inkveil.functions.sqltext import column, expr, let, literal
 from inkveil.functions.text import text_length
 
 # --- fixed values: limits of the entropy detector ---------------------------
@@ -35,31 +39,38 @@ def entropy_sql(text: str, alphabet: str) -> str:
     return f"round({let('_n', n, total)}, {ROUNDING})"
 
 
-def _grouped_entropy_sql(text: str) -> str:
-    """The same for long texts with many different characters.
+@F.pandas_udf(ArrayType(LongType()))
+def _counts(texts: pd.Series) -> pd.Series:
+    """UTF-16 units of each text, then how often each character stands there, by its first place."""
 
-    Characters are sorted with their places; where one differs from the next, a group
-    ends.  Groups are added up in the order of their first places, as above, so both
-    ways give the same bits.  The cost does not depend on the number of groups.
-    """
-    chars = f"regexp_extract_all({text}, '(?s).', 0)"
-    placed = f"sort_array(transform({chars}, (_c, _i) -> {struct(char='_c', at='_i')}))"
-    ends = (
-        "filter(transform(_sorted, (_c, _i) -> CASE WHEN _i = size(_sorted) - 1 OR "
-        "_sorted[least(_i + 1, size(_sorted) - 1)].char <> _c.char THEN _i + 1 END), "
-        "_e -> _e IS NOT NULL)"
-    )
-    begin = "CASE WHEN _i = 0 THEN 0 ELSE _ends[_i - 1] END"
-    group = struct(first=f"_sorted[{begin}].at", n=f"cast(_e - {begin} AS double)")
-    groups = f"sort_array(transform(_ends, (_e, _i) -> {group}))"
-    total = f"aggregate({groups}, 0D, (_bits, _g) -> _bits + _g.n / _n * log2(_n / _g.n))"
-    n = f"cast({text_length(text, utf16=True)} AS double)"
-    return f"round({let('_n', n, let('_sorted', placed, let('_ends', ends, total)))}, {ROUNDING})"
+    def counted(text: str | None) -> list[int] | None:
+        if text is None:
+            return None
+        found = Counter(text)
+        pairs = sum(n for char, n in found.items() if char > "\uffff")
+        return [len(text) + pairs, *found.values()]
+
+    return texts.map(counted)
 
 
 def shannon_entropy(text: str) -> Column:
-    """Bits per character of a text column, rounded to 12 places; 0 for the empty text."""
-    return expr(let("_text", column(text), _grouped_entropy_sql("_text")))
+    """Bits per character of a text column, rounded to 12 places; 0 for the empty text.
+
+    For whole texts: a character is counted in one pass, whatever others there are.  Terms
+    are added up as in :func:`entropy_sql`, so both give the same bits.
+    """
+
+    def bits(counts: Column) -> Column:
+        n = F.element_at(counts, 1).cast("double")
+
+        def add(total: Column, count: Column) -> Column:
+            return total + count.cast("double") / n * F.log2(n / count)
+
+        return F.aggregate(F.slice(counts, 2, F.size(counts)), F.lit(0.0), add)
+
+    # bound once: a lambda can't call Python
+    total = F.element_at(F.transform(F.array(_counts(expr(column(text)))), bits), 1)
+    return F.round(total, ROUNDING)
 
 
 def rejection_sql(candidate: str) -> str:
