@@ -21,6 +21,8 @@ from inkveil.operators.gate import UNREADABLE
 
 #: a pack ends with the file that makes it reach one of these
 PACK_BYTES, PACK_FILES = 32 << 20, 4096
+#: bytes of the files that a task holds at once, beside one that is larger
+BATCH_BYTES = 4 << 20
 SCHEMA = "source string, bytes long, text string, error string"
 
 
@@ -83,15 +85,43 @@ class Pack(InputPartition):
 
 
 class PackReader(DataSourceReader):
-    def __init__(self, packs: list[list[str]]) -> None:
-        self.packs = packs
+    """Every task gets the reader as it is after listing, and its own pack: the reader keeps
+    the options alone, not the names of all files."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.given = options.get("paths") or options.get("path") or ""
+        self.pattern = options.get("pattern")
+        self.tasks = int(options.get("tasks", "1"))
 
     def partitions(self) -> list[Pack]:
-        return [Pack(paths) for paths in self.packs]
+        found: dict[str, int | None] = {}
+        for path in self.given.splitlines():
+            found.update(_listed(path, self.pattern))
+        return [Pack(paths) for paths in packed(list(found.items()), self.tasks)]
+
+    def read(self, partition: Pack | None) -> Iterator:
+        import pyarrow as pa
 
-    def read(self, partition: Pack | None) -> Iterator[tuple]:
+        schema = pa.schema(
+            [("source", pa.string()), ("bytes", pa.int64()), ("text", pa.string()), ("error", pa.string())]
+        )
         # where there are no packs, Spark asks for one that is None
-        return map(read_file, partition.paths if partition else [])
+        for rows in bounded(map(read_file, partition.paths if partition else [])):
+            columns = [pa.array(x, f.type) for x, f in zip(zip(*rows), schema)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def bounded(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows of :func:`read_file` in lists that end with the one that makes them reach a size."""
+    waiting, size = [], 0
+    for row in rows:
+        waiting.append(row)
+        size += row[1] or 0
+        if size >= BATCH_BYTES or len(waiting) >= PACK_FILES:
+            yield waiting
+            waiting, size = [], 0
+    if waiting:
+        yield waiting
 
 
 class TextFiles(DataSource):
@@ -106,11 +136,7 @@ class TextFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> PackReader:
-        given = self.options.get("paths") or self.options.get("path") or ""
-        found: dict[str, int | None] = {}
-        for path in given.splitlines():
-            found.update(_listed(path, self.options.get("pattern")))
-        return PackReader(packed(list(found.items()), int(self.options.get("tasks", "1"))))
+        return PackReader(dict(self.options))
 
 
 def read_texts(spark: SparkSession, path: str | list[str], pattern: str | None = None) -> DataFrame:
@@ -137,15 +163,8 @@ def read_listed(paths: DataFrame, tasks: int | None = None) -> DataFrame:
         import pandas as pd
 
         for batch in batches:
-            waiting, size = [], 0
-            for path in batch["source"]:
-                waiting.append(read_file(path))
-                size += waiting[-1][1] or 0
-                if size > PACK_BYTES:
-                    yield _frame(pd, waiting)
-                    waiting, size = [], 0
-            if waiting:
-                yield _frame(pd, waiting)
+            for rows in bounded(map(read_file, batch["source"])):
+                yield _frame(pd, rows)
 
     named = paths.select("source").where(F.col("source").isNotNull())
     spread = named.repartition(tasks, "source") if tasks else named.repartition("source")
