@@ -28,6 +28,10 @@ LINES, TEXTS = "\n", "\0"
 #: bytes of a batch and of a task; a batch is longer only where a single record is
 BATCH_BYTES, TASK_BYTES = 1 << 30, 32 << 20
 BLOCK = 1 << 16
+#: a batch of less than a task for every core is cut into as many, of no less than this
+LEAST_TASK_BYTES = 1 << 18
+#: bytes of records that a task gives at once, beside a record that is longer
+GIVEN_BYTES = 1 << 20
 KEY = "inkveil_feed"
 
 
@@ -57,6 +61,7 @@ class FeedReader(DataSourceStreamReader):
             raise ValueError("a separator is one byte")
         self.batch_bytes = int(options.get("batchbytes", BATCH_BYTES))
         self.task_bytes = int(options.get("taskbytes", TASK_BYTES))
+        self.tasks = int(options.get("tasks", "1"))
         self.checkpoint = options.get("checkpoint")
         self.at: dict[str, int] | None = None
 
@@ -79,11 +84,18 @@ class FeedReader(DataSourceStreamReader):
         return {KEY: reached}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        spans = []
-        for path, until in end[KEY].items():
-            begin = start[KEY].get(path, 0)
-            for at in range(begin, until, self.task_bytes):
-                spans.append(Span(path, at, min(at + self.task_bytes, until), until))
+        """Spans of a batch: of the bytes of a task, or less, so that every core has one."""
+        spans, begins = [], start[KEY]
+        new = [(path, begins.get(path, 0), until) for path, until in end[KEY].items()]
+        new = [(path, begin, until) for path, begin, until in new if until > begin]
+        step = max(-(-sum(until - begin for _, begin, until in new) // self.tasks), LEAST_TASK_BYTES)
+        # ends of files make spans of their own: a few more than cores would take twice the time
+        while step < self.task_bytes and sum(-(-(u - b) // step) for _, b, u in new) > self.tasks:
+            step += -(-step // 8)
+        step = min(step, self.task_bytes)
+        for path, begin, until in new:
+            for at in range(begin, until, step):
+                spans.append(Span(path, at, min(at + step, until), until))
         self.at = dict(end[KEY])
         return spans
 
@@ -142,7 +154,29 @@ class FeedReader(DataSourceStreamReader):
         return begin
 
     # --- records: on the executors ----------------------------------------------
-    def read(self, partition: Span) -> Iterator[tuple[str, int, str]]:
+    def read(self, partition: Span) -> Iterator:
+        """Arrow batches of the records."""
+        import pyarrow as pa
+
+        schema = pa.schema([("source", pa.string()), ("position", pa.int64()), ("text", pa.string())])
+
+        def batch(places: list[int], texts: list[str]) -> pa.RecordBatch:
+            columns = [[partition.path] * len(places), places, texts]
+            arrays = [pa.array(x, f.type) for x, f in zip(columns, schema)]
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+        places, texts, size = [], [], 0
+        for at, record in self._records(partition):
+            places.append(at)
+            texts.append(record.decode("utf-8", "replace"))
+            size += len(record)
+            if size >= GIVEN_BYTES or len(places) >= BLOCK:
+                yield batch(places, texts)
+                places, texts, size = [], [], 0
+        if places:
+            yield batch(places, texts)
+
+    def _records(self, partition: Span) -> Iterator[tuple[int, bytes]]:
         """Records that begin in the range; the last one may end behind it."""
         system, _ = file_system(self.folder)
         mark = len(self.separator)
@@ -161,7 +195,7 @@ class FeedReader(DataSourceStreamReader):
                     end = at + block.rfind(self.separator) + mark
                     block = block[: end - at]
                 for record in block[:-mark].split(self.separator):
-                    yield partition.path, at, record.decode("utf-8", "replace")
+                    yield at, record
                     at += len(record) + mark
 
     def _next(self, file, at: int, limit: int) -> int:
@@ -176,7 +210,7 @@ class FeedReader(DataSourceStreamReader):
 
 class Feed(DataSource):
     """``spark.readStream.format("inkveil_feed")`` with the options ``path``, ``separator``,
-    ``batchBytes``, ``taskBytes`` and ``checkpoint``."""
+    ``batchBytes``, ``taskBytes``, ``tasks`` and ``checkpoint``."""
 
     @classmethod
     def name(cls) -> str:
@@ -205,6 +239,7 @@ def read_feed(
     """
     spark.dataSource.register(Feed)
     options = {"path": folder, "separator": separator, "batchBytes": batch_bytes, "taskBytes": task_bytes}
+    options["tasks"] = spark.sparkContext.defaultParallelism
     if checkpoint:
         options["checkpoint"] = checkpoint
     return spark.readStream.format(Feed.name()).options(**options).load()

@@ -9,7 +9,7 @@ from inkveil import findings, redacted
 from inkveil.operators import gate, report
 from inkveil.session import shared_folder
 from inkveil.sources import sinks
-from inkveil.sources.feed import TEXTS, read_feed, spool
+from inkveil.sources.feed import TEXTS, FeedReader, read_feed, spool
 from inkveil.sources.files import TextFiles, bounded, packed, read_listed, read_texts, unreadable
 from inkveil.sources.tables import read_table
 
@@ -79,7 +79,7 @@ def test_a_task_gets_its_own_pack_alone(tmp_path):
     reader = TextFiles({"paths": str(tmp_path), "tasks": "3"}).reader(None)
     packs = reader.partitions()
     assert [len(pack.paths) for pack in packs] == [1000, 1000, 1000]
-    assert len(cloudpickle.dumps(reader)) < 2000
+    assert len(cloudpickle.dumps(reader)) < 20_000
     batches = list(reader.read(packs[0]))
     assert sum(batch.num_rows for batch in batches) == 1000
     files = [("f", 3 << 20, "", None)] * 5 + [("gone", None, None, "error")] + [("e", 0, "", None)] * 9000
@@ -168,6 +168,23 @@ def test_feed_limits_hold_after_a_restart(spark, tmp_path):
     assert [r[1] for r in feed.rows()] == starts
 
 
+def test_a_batch_is_work_for_all_cores(tmp_path):
+    """A batch shorter than a task is cut for every core; records are read once each."""
+    sizes = {"a": 5 << 20, "b": 3 << 20, "c": 9 << 20}
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes((b"x" * 63 + b"\0") * (size // 64))
+    options = {"path": str(tmp_path), "separator": TEXTS, "batchbytes": str(16 << 20), "tasks": "8"}
+    reader = FeedReader(options)
+    end = reader.latestOffset()
+    spans = reader.partitions(reader.initialOffset(), end)
+    assert 6 <= len(spans) <= 8 and max(s.end - s.begin for s in spans) <= 4 << 20
+    found = [b.to_pydict() for s in spans for b in reader.read(s)]
+    places = sorted(x for b in found for x in zip(b["source"], b["position"]))
+    wanted = [(p, i) for p, until in sorted(end["inkveil_feed"].items()) for i in range(0, until, 64)]
+    assert places == wanted and sum(end["inkveil_feed"].values()) == 16 << 20
+    assert {t for b in found for t in b["text"]} == {"x" * 63}
+
+
 def test_spool(tmp_path):
     place = tmp_path / "spooled.txt"
     for part in (b"a\nb", b"c\n"):
