@@ -23,6 +23,8 @@ Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,13 @@ VARIABLE = "<*>"
 
 def _masked(text: Column) -> Column:
     """Lines with variable fields masked and single spaces."""
-    variable = F.regexp_replace(text, r"(?<!\S)\S*?[0-9]\S*", VARIABLE)
+    # a token is passed over in one step, so that none is tried from each of its letters
+    variable = F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)
     masked = F.when(text.rlike("[0-9]"), variable).otherwise(text)
-    even = F.regexp_replace(masked, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
+    # most texts have single spaces alone, which searches for fixed strings tell; masks leave them
+    odd = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in ("  ", "\t", "\r", "\f", "\x0b")])
+    spaced = F.regexp_replace(masked, r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " ")
+    even = F.when(odd, spaced).otherwise(masked)
     return F.transform(F.split(even, "\n", -1), F.trim)
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkveil.llm import line_templates
 
@@ -71,3 +73,18 @@ def test_very_many_dropped_lines_in_a_document(spark):
     assert [out[i].n_dropped for i in range(4)] == [40_000] * 3 + [0]
     assert out[0].text == "" and out[3].text == "kept line"
     assert time.time() - started < 120
+
+
+def test_masks_of_odd_texts(spark):
+    """Tokens with digits are masked whole, and white space is one space, in any mix of both."""
+    rng = random.Random(3)
+    parts = ["a", "7", "b9c", "x", " ", "  ", "\t", "\r", "\f", "\x0b", "\n", "\u00a0", "é", "٣", "<*>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(2000)] + [None]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    for row in df.select("text", line_templates._masked(F.col("text")).alias("lines")).collect():
+        if row.text is None:
+            assert row.lines is None
+            continue
+        masked = re.sub(r"[^ \t\n\x0b\f\r]*[0-9][^ \t\n\x0b\f\r]*", "<*>", row.text)
+        wanted = [x.strip(" ") for x in re.sub(r"[ \t\r\f\x0b]+", " ", masked).split("\n")]
+        assert row.lines == wanted, row.text
